@@ -2,9 +2,9 @@
 
 New pre-tokens of a batch form one partition-wide symbol chain.  An index maps each adjacent
 pair to all its positions; active ranks are taken in ascending order, all positions of the pair
-are merged, and only the lists of the neighbouring pairs are updated.  Pre-tokens never reach
-across a border between a non-space and a space, so texts are cut there and the ids of each
-distinct chunk are kept (a bounded table) - the encoder then only joins byte strings.
+are merged, and only the lists of the neighbouring pairs are updated.  The ids
+of each distinct pre-token are kept in a bounded table, so that the encoder then only joins
+byte strings.
 
 Defined results: null text is the empty text (0 ids); the special token's string in a text is
 one id, as in the library's default; empty tables give no rows; extra columns are ignored.
@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import json
 import re
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import WS, slices
 
-CACHE_CHUNKS = 250_000
+CACHE_TOKENS = 800_000
 # The published pre-tokenisation pattern of byte-level BPE.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 
-_CHUNK = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
+# The same for texts of Latin script and common punctuation, with its letters and numerals listed.
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_L}{_N}{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+_OTHER = re.compile("[^\0-\u024f\u2010-\u2027\u2030-\u2038\u20ac]")
 _CODECS: dict = {}
 
 
@@ -62,102 +66,109 @@ class PairIndexCodec:
         self.rank = {}
         for r, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[vocab[a], vocab[b]] = (r, vocab[a + b])
+            self.rank[vocab[a] << 17 | vocab[b]] = (r, vocab[a + b])
+        self.by_rank = [(pair, new) for pair, (_, new) in self.rank.items()]
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.pattern = regex.compile(PATTERN)
-        self.chunks: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {}
 
     def merge_all(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word; one pair occurrence index over all of them."""
-        sym: list[int] = []
-        starts = []
-        for w in words:
-            starts.append(len(sym))
-            sym += map(self.byte_id.__getitem__, w)
-            sym.append(-1)  # no pair reaches over it
-        n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank, where = self.rank, {}
-        for i, pair in enumerate(zip(sym, sym[1:], strict=False)):
-            if pair in rank:
-                where.setdefault(pair, []).append(i)
-        active = [(rank[p][0], p) for p in where]
+        flat = np.frombuffer(b"\0".join([*words, b""]), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        start = np.array(self.byte_id, np.int64)[flat]
+        start[ends] = -1  # no pair reaches over it
+        n = len(start)
+        sym, nxt, prv = start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, where, push, pop = self.rank, {}, heapq.heappush, heapq.heappop
+        code = start[:-1] << 17 | start[1:]
+        code[(start[:-1] < 0) | (start[1:] < 0)] = -1
+        order = np.argsort(code, kind="stable")
+        kinds, first = np.unique(code[order], return_index=True)
+        for c, at in zip(kinds.tolist(), np.split(order, first[1:]), strict=True):
+            if c in rank:
+                where[c] = at.tolist()
+        active = [rank[c][0] for c in where]
         heapq.heapify(active)
+        by_rank = self.by_rank
         while active:
-            _, pair = heapq.heappop(active)
-            a, b = pair
-            new = rank[pair][1]
-            fresh: dict = {}
+            pair, new = by_rank[pop(active)]
+            a, b = pair >> 17, pair & 0x1FFFF
+            high = new << 17
             for i in sorted(where.pop(pair)):
                 if sym[i] != a:
                     continue
                 j = nxt[i]
-                if j >= n or sym[j] != b:
+                if sym[j] != b:
                     continue
                 k = nxt[j]
-                sym[i], sym[j], nxt[i] = new, -2, k
-                if k < n:
-                    prv[k] = i
-                    right = (new, sym[k])
-                    if right in rank:
-                        fresh.setdefault(right, []).append(i)
+                sym[i], sym[j], nxt[i], prv[k] = new, -2, k, i
+                p = high | sym[k]
+                if p in rank:
+                    if p in where:
+                        where[p].append(i)
+                    else:
+                        where[p] = [i]
+                        push(active, rank[p][0])
                 h = prv[i]
-                if h >= 0:
-                    left = (sym[h], new)
-                    if left in rank:
-                        fresh.setdefault(left, []).append(h)
-            for p, at in fresh.items():
-                if p in where:
-                    where[p] += at
-                else:
-                    where[p] = at
-                    heapq.heappush(active, (rank[p][0], p))
-        out = []
-        for s in starts:
-            ids, i = [], s
-            while sym[i] != -1:
+                p = sym[h] << 17 | new
+                if p in rank:
+                    if p in where:
+                        where[p].append(h)
+                    else:
+                        where[p] = [h]
+                        push(active, rank[p][0])
+        out, i = [], 0
+        for e in ends.tolist():
+            ids = []
+            while i != e:
                 ids.append(sym[i])
                 i = nxt[i]
             out.append(ids)
+            i += 1
         return out
 
-    def learn_chunks(self, chunks: set[str]) -> None:
-        """Encode chunks that aren't known yet."""
-        split = {c: self.pattern.findall(c) for c in chunks}
-        words = list({w for ws in split.values() for w in ws})
-        ids = {w: np.array(x, dtype="<u4").tobytes() for w, x in zip(words, self.merge_all([w.encode() for w in words]), strict=True)}
-        for c, ws in split.items():
-            self.chunks[c] = b"".join([ids[w] for w in ws])
+    def tokens(self, text: str) -> list[str]:
+        """Pre-tokens of the published pattern."""
+        return (self.pattern if _OTHER.search(text) else _LATIN).findall(text)
+
+    def learn(self, words: list[str]) -> None:
+        for w, x in zip(words, self.merge_all([w.encode() for w in words]), strict=True):
+            self.ids[w] = pack(f"<{len(x)}I", *x)
+
+    def add(self, new: set[str], again) -> None:
+        """Encode pre-tokens that aren't known; if the table is full, start it anew with ``again``."""
+        if len(self.ids) + len(new) > CACHE_TOKENS:
+            self.ids.clear()
+            new = set(again)
+        self.learn(list(new))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         out = []
         for k, run in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                out.append(np.array([self.special[run]], dtype="<u4").tobytes())
+                out.append(pack("<I", self.special[run]))
                 continue
             for part in slices(run):
-                found = _CHUNK.findall(part)
-                if new := set(found).difference(self.chunks):
-                    if len(self.chunks) + len(new) > CACHE_CHUNKS:
-                        self.chunks.clear()
-                        new = set(found)
-                    self.learn_chunks(new)
-                out.append(b"".join(map(self.chunks.__getitem__, found)))
+                found = self.tokens(part)
+                try:
+                    out.append(b"".join(map(self.ids.__getitem__, found)))
+                except KeyError:
+                    self.add(set(found).difference(self.ids), found)
+                    out.append(b"".join(map(self.ids.__getitem__, found)))
         return b"".join(out)
 
-    def prime(self, texts: list[str]) -> None:
-        """Index the new chunks of many texts at once."""
-        new: set[str] = set()
-        for text in texts:
-            if len(text) < 1 << 16 and not (self.cut and self.cut.search(text)):
-                new.update(_CHUNK.findall(text))
-        new.difference_update(self.chunks)
-        if len(self.chunks) + len(new) > CACHE_CHUNKS:
-            self.chunks.clear()
-        if new:
-            self.learn_chunks(new)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Several short texts: their new pre-tokens share one index."""
+        if any(len(t) > 1 << 20 for t in texts) or self.cut and any(map(self.cut.search, texts)):
+            return [self.encode(t) for t in texts]
+        found = [self.tokens(t) for t in texts]
+        seen = set().union(*found)
+        if new := seen.difference(self.ids):
+            self.add(new, seen)
+        return [b"".join(map(self.ids.__getitem__, f)) for f in found]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -189,8 +200,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             at = 0
             for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
-                c.prime(group)
-                ids = [c.encode(t) for t in group]
+                ids = c.encode_all(group)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
                 at += len(group)
 
@@ -206,10 +216,8 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             at = 0
             for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
-                c.prime(group)
                 n, ids_sha, text_sha = [], [], []
-                for t in group:
-                    ids = c.encode(t)
+                for ids in c.encode_all(group):
                     n.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())

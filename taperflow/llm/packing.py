@@ -32,10 +32,11 @@ from .common import WS, checkpoint, slices
 CAPACITY = 4096
 SLACK = 1 / 64
 END_ID = 2
-CACHE_WORDS = 250_000
+CACHE_WORDS = 800_000
 
 _WORD = re.compile(f"[^{WS}]+")
-_STATE: dict = {}
+_SEPARATOR = re.compile("[\x1c-\x1f]")  # split() takes these for spaces
+_STATE: dict[str, WordEncoder] = {}
 
 
 def reciprocal_cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[int]:
@@ -52,34 +53,61 @@ def reciprocal_cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> l
     return out
 
 
-def word_ids(tokenizer_path: str) -> dict:
-    """word -> little-endian uint32 ids, filled by need.  The tokenizer drops white space, so a
-    text's ids are those of its space-separated words in order."""
-    if tokenizer_path not in _STATE:
+class WordEncoder:
+    """Ids of a text by its words.  The tokenizer drops white space, so a text's ids are those of
+    its space-separated words in order; each new word is encoded once and kept (bounded table)."""
+
+    MARK = "\x01"  # stands between new words that are encoded in one call; gives one id of its own
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer_path)
-        t.no_truncation()
-        t.no_padding()
-        _STATE[tokenizer_path] = (t, {})
-    return _STATE[tokenizer_path]
-
-
-def encode_text(text: str, tokenizer_path: str, limit: int = CACHE_WORDS) -> bytes:
-    tok, cache = word_ids(tokenizer_path)
-    out = []
-    for part in slices(text):
-        words = _WORD.findall(part)
-        if new := set(words).difference(cache):
-            if len(cache) + len(new) > limit:
-                cache.clear()
-                new = set(words)
-            new = list(new)
-            for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        out.append(b"".join(map(cache.__getitem__, words)))
-    return b"".join(out)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.ids: dict[str, bytes] = {}
+        mark = self.call(self.MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def call(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, words: list[str]) -> None:
+        odd = [w for w in words if self.MARK in w or self.mark is None]
+        for w in odd:
+            self.ids[w] = self.call(w).tobytes()
+        words = [w for w in words if self.MARK not in w] if odd else words
+        for at in range(0, len(words), 4096) if self.mark is not None else ():
+            some = words[at : at + 4096]
+            ids = self.call(f" {self.MARK} ".join(some))
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ends, strict=True):
+                self.ids[w] = raw[4 * start : 4 * end]
+                start = end + 1
+
+    def encode(self, text: str) -> bytes:
+        out = []
+        for part in slices(text):
+            words = _WORD.findall(part) if _SEPARATOR.search(part) else part.split()
+            try:
+                out.append(b"".join(map(self.ids.__getitem__, words)))
+            except KeyError:
+                new = set(words).difference(self.ids)
+                if len(self.ids) + len(new) > CACHE_WORDS:
+                    self.ids.clear()
+                    new = set(words)
+                self.learn(list(new))
+                out.append(b"".join(map(self.ids.__getitem__, words)))
+        return b"".join(out)
+
+
+def encode_text(text: str, tokenizer_path: str) -> bytes:
+    """The ids as little-endian unsigned 32-bit integers."""
+    if tokenizer_path not in _STATE:
+        _STATE[tokenizer_path] = WordEncoder(tokenizer_path)
+    return _STATE[tokenizer_path].encode(text)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack: float = SLACK, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
