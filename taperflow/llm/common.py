@@ -52,15 +52,15 @@ def doc_crc32() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
 
 
-_CUT = re.compile(rf"(?<=[^{WS}])(?=[{WS}])")
+_CUT = {ascii: re.compile(rf"(?<=[^{c}])(?=[{c}])") for ascii, c in ((False, WS), (True, "\t-\r "))}
 
 
-def slices(text: str, size: int = 1 << 20):
+def slices(text: str, size: int = 1 << 20, ascii_spaces: bool = False):
     """Cut a text between a non-space and a following space, into parts of about ``size``
     characters, so that one huge text never becomes one huge list of words."""
     at = 0
     while len(text) - at > size:
-        m = _CUT.search(text, at + size)
+        m = _CUT[ascii_spaces].search(text, at + size)
         if not m:
             break
         yield text[at : m.start()]
