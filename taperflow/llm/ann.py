@@ -29,7 +29,7 @@ from .common import checkpoint
 
 SAMPLE = 20_000
 MAX_LISTS = 2048
-PROBE = 0.25  # of the lists
+PROBE = 0.6  # of the lists
 LEAST_PROBES = 8
 BLOCK = 4096  # vectors of a list in one task's block
 GROUP = 2048  # queries of a block's group
@@ -121,7 +121,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, probe: float = PROBE) -> D
     out_schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], out_schema)
-    lists = int(min(MAX_LISTS, max(1, round(total**0.5))))
+    lists = int(min(MAX_LISTS, max(1, round(total**0.5 / 2))))
     sample = np.array([r[0] for r in reps.orderBy("key").select("e").limit(SAMPLE).collect()])  # SAMPLE rows at most
     held = spark.sparkContext.broadcast(fit_lists(sample, min(lists, len(sample))))  # MAX_LISTS * dims floats at most
     lists = len(held.value)

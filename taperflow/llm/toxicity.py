@@ -37,8 +37,8 @@ PER_CLASS = 4000
 MIN_DOCS = 3
 FOLDS = 4
 L2 = 1e-3
-STEPS = 250
-THRESHOLD = 0.5
+STEPS = 120
+THRESHOLD = 0.4
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
@@ -68,7 +68,7 @@ class Link:
                 at = np.searchsorted(self.place, r)
                 at[at == len(self.place)] = 0
                 hit = self.place[at] == r
-                out[k] += self.weight[at[hit]].sum() / np.sqrt(1.0 + hit.sum())
+                out[k] += self.weight[at[hit]].sum()
         return out + before @ self.earlier if len(self.earlier) else out
 
 
@@ -91,8 +91,7 @@ def fit_link(name: str, rows: list[np.ndarray], y: np.ndarray, before: np.ndarra
     pos = np.bincount(at, weights=y[row], minlength=len(place)) + 0.25
     neg = np.bincount(at, weights=1 - y[row], minlength=len(place)) + 0.25
     ratio = np.log(pos / (y.sum() + 0.5)) - np.log(neg / ((1 - y).sum() + 0.5))
-    norm = 1 / np.sqrt(1.0 + np.bincount(row, minlength=len(rows)))
-    value = ratio[at] * norm[row]
+    value = ratio[at]
     share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w, e, b = np.zeros(len(place)), np.zeros(before.shape[1]), 0.0
     wv, ev, bv, t = w, e, b, 1.0
