@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 GRAM = 32
 REPEAT = 50
@@ -36,14 +36,16 @@ def hash60(x: Column) -> Column:
     return F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)), "_t": hash60(F.col("text"))})
+def _keys() -> tuple[Column, Column]:
+    """The document's place in the order, and the hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)), hash60(F.col("text"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """d, t (hash of the text), pos, h (hash of the line), w (words: 1 + spaces)."""
     x = F.transform(F.split("text", "\n", -1), lambda s: F.struct(hash60(s).alias("h"), (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1).cast("long").alias("w")))
-    rows = _keyed(docs.filter(F.col("text").isNotNull())).select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.posexplode(x).alias("pos", "x"))
+    d, t = _keys()
+    rows = docs.filter(F.col("text").isNotNull()).select(d.alias("d"), t.alias("t"), F.posexplode(x).alias("pos", "x"))
     return rows.select("d", "t", F.col("pos").cast("long").alias("pos"), "x.h", "x.w").dropDuplicates(["d", "t", "pos"])
 
 
@@ -77,16 +79,19 @@ def repeated_runs(rows: DataFrame, gram: int = GRAM, repeat: int = REPEAT) -> Da
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, repeat: int = REPEAT) -> DataFrame:
-    """docs with the repeated runs deleted from ``text``, and lines_removed (long)."""
+    """docs with the repeated runs deleted from ``text``, and lines_removed (long), which replaces
+    a column of that name."""
+    docs = docs.drop("lines_removed")
     rows = written(lines(docs), "lines")
-    runs = repeated_runs(rows, gram, repeat).groupBy("d", "t").agg(F.collect_list(F.struct("begin", "end")).alias("_runs"))
-    keyed = _keyed(docs).join(runs.select(F.col("d").alias("_d"), F.col("t").alias("_t"), "_runs"), ["_d", "_t"], "left")
+    d, t, runs, left = fresh(docs, "_d", "_t", "_runs", "_left")
+    found = repeated_runs(rows, gram, repeat).groupBy(F.col("d").alias(d), F.col("t").alias(t)).agg(F.collect_list(F.struct("begin", "end")).alias(runs))
+    keyed = docs.withColumns(dict(zip((d, t), _keys(), strict=True))).join(found, [d, t], "left")
     parts = F.split("text", "\n", -1)
-    left = F.filter(parts, lambda _, i: ~F.exists("_runs", lambda r: i.between(r["begin"], r["end"])))
-    keyed = keyed.withColumn("_left", F.when(F.col("_runs").isNotNull(), left))
-    removed = F.when(F.col("_left").isNotNull(), F.size(parts) - F.size("_left")).otherwise(0).cast("long")
-    out = {"lines_removed": removed, "text": F.when(F.col("_left").isNotNull(), F.array_join("_left", "\n")).otherwise(F.col("text"))}
-    return keyed.select(*(out["text"].alias("text") if c == "text" else F.col(c) for c in docs.columns), out["lines_removed"].alias("lines_removed"))
+    stay = F.filter(parts, lambda _, i: ~F.exists(runs, lambda r: i.between(r["begin"], r["end"])))
+    keyed = keyed.withColumn(left, F.when(F.col(runs).isNotNull(), stay))
+    removed = F.when(F.col(left).isNotNull(), F.size(parts) - F.size(left)).otherwise(0).cast("long")
+    text = F.when(F.col(left).isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
+    return keyed.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), removed.alias("lines_removed"))
 
 
 #: The same for DuckDB; columns doc_id, text, lines_removed.

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices
+from .common import checkpoint, fresh, slices
 
 SHINGLE = 3
 SEED = 42
@@ -167,9 +167,11 @@ def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The documents without the later ones of each near-duplicate group: the smallest doc_id
     stays (of repeated rows with that id, one)."""
     marked = checkpoint(near_groups(docs, hot))
-    later = marked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_later"))
-    repeated = checkpoint(marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_later")))
-    same = F.col("doc_id").eqNullSafe(F.col("_later"))
+    (key,) = fresh(docs, "_later")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    later = marked.filter(~first).select(F.col("doc_id").alias(key))
+    repeated = checkpoint(marked.filter(first).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key)))
+    same = F.col("doc_id").eqNullSafe(F.col(key))
     kept = docs.join(later, same, "left_anti")
     if repeated.isEmpty():
         return kept
