@@ -13,8 +13,11 @@ a bucket sums equal hashes and answers each chunk with the totals, in the order
 or pair counts once a chunk in the shuffle, however frequent.  Held-out pairs of relative
 frequencies are counted on a logarithmic grid (a table of bounded size) for the weights.
 
+A context's frequency is its frequency as a word (each token but the end is a context once), and
+that of the start is that of the end, so only words and pairs are asked for.
+
 Counts cover the whole training part and grow with it; nothing is cut off.  Words and pairs are
-told apart by 64-bit hashes.
+told apart by the bucket and 48 more bits of a hash.
 
 Defined results: null text is the empty text (one end token); repeated rows are scored each, and
 count each; with no training token at all every score is that of the uniform part over one word;
@@ -28,18 +31,19 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_crc32, slices, written
 
-CHUNK = 1_000_000
+CHUNK = 500_000
 BUCKETS = 24  # of context frequency, by powers of two
 GRID = 96  # cells of a relative frequency's logarithm
 FLOOR = -24.0  # log2 of the smallest relative frequency that the grid tells apart
 EM_ROUNDS = 200
 #: Characters of text per bucket of the hash space.
-PER_BUCKET = 8_000_000
+PER_BUCKET = 5_000_000
 
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -52,6 +56,14 @@ def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
 class _Chunk:
     """Distinct words (hashes) and the tokens as numbers of them; 0 is the start, 1 the end."""
 
@@ -72,7 +84,7 @@ class _Chunk:
     def row(self, name: int) -> list:
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.number), np.uint64, len(self.number))
         rows, ids, training, sizes = zip(*self.docs, strict=True)
-        return [name, np.array(rows, "<i8").tobytes(), list(ids), np.array(training, np.uint8).tobytes(), np.array(sizes, "<u4").tobytes(), np.concatenate(self.parts).astype("<u4").tobytes(), np.concatenate([[START, END], hashes]).astype("<u8").tobytes()]
+        return [name, np.array(rows, "<i8").tobytes(), list(ids), np.array(training, np.uint8).tobytes(), np.array(sizes, "<u4").tobytes(), _packed(np.concatenate(self.parts).astype("<u4")), np.concatenate([[START, END], hashes]).astype("<u8").tobytes()]
 
 
 STATE = "chunk long, rows binary, ids array<long>, training binary, sizes binary, tokens binary, words binary"
@@ -110,47 +122,53 @@ def chunks(docs: DataFrame, training: F.Column, chunk: int = CHUNK) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), training).mapInArrow(run, STATE)
 
 
+def _tokens(rec: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, context, word) of each token, as numbers in the chunk."""
+    tokens, sizes = _unpacked(rec["tokens"], "<u4"), np.frombuffer(rec["sizes"], "<u4").astype(np.int64)
+    keep = np.ones(len(tokens), bool)
+    keep[np.cumsum(sizes + 1) - sizes - 1] = False  # each document part begins with a context
+    at = np.flatnonzero(keep)
+    return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), tokens[at - 1], tokens[at]
+
+
 class _State:
-    """A chunk's arrays again."""
+    """A chunk's distinct words and pairs, each with its training count here."""
 
     def __init__(self, rec: dict):
         self.chunk = rec["chunk"]
-        self.rows = np.frombuffer(rec["rows"], "<i8")
-        self.ids = rec["ids"]
-        self.training = np.frombuffer(rec["training"], np.uint8).astype(bool)
-        self.sizes = np.frombuffer(rec["sizes"], "<u4").astype(np.int64)
-        tokens = np.frombuffer(rec["tokens"], "<u4").astype(np.int64)
         self.words = np.frombuffer(rec["words"], "<u8")
-        starts = np.cumsum(self.sizes + 1) - self.sizes - 1  # each document's context place
-        keep = np.ones(len(tokens), bool)
-        keep[starts] = False
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.word = tokens[keep]
-        self.context = tokens[np.flatnonzero(keep) - 1]
-        codes, self.pair = np.unique(self.context * len(self.words) + self.word, return_inverse=True)
-        self.pair_context, self.pair_word = codes // len(self.words), codes % len(self.words)
-        self.pairs = _mix(self.words[self.pair_context], self.words[self.pair_word])
-        learn = self.training[self.doc]
-        self.word_count = np.bincount(self.word[learn], minlength=len(self.words))
-        self.context_count = np.bincount(self.context[learn], minlength=len(self.words))
+        doc, context, word = _tokens(rec)
+        code = context.astype(np.int64) * len(self.words) + word
+        codes, self.pair = np.unique(code, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
+        self.pair_context, self.pair_word = (codes // len(self.words)).astype(np.int32), (codes % len(self.words)).astype(np.int32)
+        learn = np.frombuffer(rec["training"], np.uint8).astype(bool)[doc]
+        self.word_count = np.bincount(word[learn], minlength=len(self.words))
         self.pair_count = np.bincount(self.pair[learn], minlength=len(codes))
-        # What is asked, in one order: words as words, words as contexts, pairs.  The low bits tell kinds apart.
-        self.keys = np.concatenate([self.words & ~np.uint64(3), self.words & ~np.uint64(3) | np.uint64(1), self.pairs & ~np.uint64(3) | np.uint64(2)])
-        self.counts = np.concatenate([self.word_count, self.context_count, self.pair_count])
-        self.order = np.argsort(self.keys)
+        self.word_order = np.argsort(self.words)
+        self.pairs = _mix(self.words[self.pair_context], self.words[self.pair_word])
+        self.pair_order = np.argsort(self.pairs)
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted keys."""
+    return np.concatenate([[0], np.searchsorted(keys, _edges(buckets)[1:]), [len(keys)]])
 
-    def cuts(self, buckets: int) -> np.ndarray:
-        """Where each bucket's keys begin in the order."""
-        edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.keys[self.order], edges), [len(self.keys)]])
 
-    def answered(self, raw: dict[int, bytes], buckets: int) -> None:
-        """Take the totals in."""
-        got = np.concatenate([np.frombuffer(raw[b], "<u8") for b in sorted(raw)]) if raw else np.zeros(0, np.uint64)
-        total = np.empty(len(self.keys), np.int64)
-        total[self.order] = got
-        v, p = len(self.words), 2 * len(self.words)
-        self.word_total, self.context_total, self.pair_total = total[:v], total[v:p], total[p:]
+def _edges(buckets: int) -> np.ndarray:
+    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+
+
+def _short(keys: np.ndarray, edge: np.uint64, buckets: int) -> bytes:
+    """A bucket's keys as 48 bits each."""
+    drop = np.uint64(max(0, 17 - (buckets.bit_length() - 1)))
+    return ((keys - edge) >> drop).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    x = np.zeros((len(raw) // 6, 8), np.uint8)
+    x[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return x.view("<u8")[:, 0]
 
 
 def _each_state(batches):
@@ -173,39 +191,46 @@ def _counts(raw: bytes) -> np.ndarray:
 
 
 def requests(state: DataFrame, buckets: int) -> DataFrame:
-    """bucket, chunk, keys, counts: what each chunk has and asks of a bucket."""
+    """bucket, chunk, and keys and counts of words and pairs: what each chunk has and asks."""
+    names = ["bucket", "chunk", "words", "word_counts", "pairs", "pair_counts"]
 
     def run(batches):
+        edges = _edges(buckets)
         for rec in _each_state(batches):
             s = _State(rec)
-            keys, counts, cuts = s.keys[s.order], s.counts[s.order], s.cuts(buckets)
-            full = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int64()), pa.array(np.full(len(full), s.chunk), pa.int64()), pa.array([keys[cuts[b] : cuts[b + 1]].astype("<u8").tobytes() for b in full], pa.binary()), pa.array([_varint(counts[cuts[b] : cuts[b + 1]]) for b in full], pa.binary())],
-                names=["bucket", "chunk", "keys", "counts"],
-            )
+            words, pairs = s.words[s.word_order], s.pairs[s.pair_order]
+            nw, np_ = s.word_count[s.word_order], s.pair_count[s.pair_order]
+            cw, cp = _cuts(words, buckets), _cuts(pairs, buckets)
+            full = np.flatnonzero((np.diff(cw) > 0) | (np.diff(cp) > 0))
+            blobs = [[_short(words[cw[b] : cw[b + 1]], edges[b], buckets), _varint(nw[cw[b] : cw[b + 1]]), _short(pairs[cp[b] : cp[b + 1]], edges[b], buckets), _varint(np_[cp[b] : cp[b + 1]])] for b in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.full(len(full), s.chunk), pa.int64()), *(pa.array(list(c), pa.binary()) for c in zip(*blobs, strict=True))], names=names)
 
-    return state.mapInArrow(run, "bucket long, chunk long, keys binary, counts binary")
+    return state.mapInArrow(run, "bucket long, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
+def _totals(keys: list[bytes], counts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """For each list of keys their totals over all lists, and all totals once."""
+    parts = [_long(k) for k in keys]
+    distinct, at = np.unique(np.concatenate(parts), return_inverse=True)
+    # Weights are doubles: exact to 2**53.
+    total = np.bincount(at, weights=np.concatenate([_counts(c) for c in counts]), minlength=len(distinct)).astype(np.uint64)
+    return [_varint(x) for x in np.split(total[at], np.cumsum([len(k) for k in parts])[:-1])], total
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """bucket, chunk, totals, and once a bucket: tokens (N) and distinct words (V)."""
+    """bucket, chunk, totals of its words and pairs, and once a bucket: tokens (N) and distinct
+    words (V)."""
 
-    def run(_, t):
-        keys = [np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()]
-        counts = [_counts(x) for x in t.column("counts").to_pylist()]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        # In 64-bit integers: bincount's weights are doubles, exact to 2**53.
-        total = np.bincount(at, weights=np.concatenate(counts).astype(np.float64), minlength=len(distinct)).astype(np.uint64)
-        words = distinct & np.uint64(3) == 0
-        n, v = int(total[words].sum()), int((total[words] > 0).sum())
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        return pa.table({"bucket": t.column("bucket"), "chunk": t.column("chunk"), "totals": pa.array([_varint(x) for x in np.split(total[at], cuts)], pa.binary()), "tokens": pa.array([n] + [0] * (len(keys) - 1), pa.int64()), "distinct": pa.array([v] + [0] * (len(keys) - 1), pa.int64())})
+    def run(t):
+        words, total = _totals(t.column("words").to_pylist(), t.column("word_counts").to_pylist())
+        pairs, _ = _totals(t.column("pairs").to_pylist(), t.column("pair_counts").to_pylist())
+        rest = [0] * (len(words) - 1)
+        return pa.table({"bucket": t.column("bucket"), "chunk": t.column("chunk"), "words": pa.array(words, pa.binary()), "pairs": pa.array(pairs, pa.binary()), "tokens": pa.array([int(total.sum()), *rest], pa.int64()), "distinct": pa.array([int((total > 0).sum()), *rest], pa.int64())})
 
-    return asked.groupBy("bucket").applyInArrow(run, "bucket long, chunk long, totals binary, tokens long, distinct long")
+    return asked.groupBy("bucket").applyInArrow(run, "bucket long, chunk long, words binary, pairs binary, tokens long, distinct long")
 
 
-KNOWN = "chunk long, rows binary, ids array<long>, sizes binary, word_total binary, context_total binary, pair_total binary, context binary, word binary, grid array<struct<cell:int,weight:double>>"
+KNOWN = "chunk long, rows binary, ids array<long>, sizes binary, tokens binary, word_total binary, pair_total binary, grid array<struct<cell:int,weight:double>>"
 
 
 def _bucket_of(count: np.ndarray) -> np.ndarray:
@@ -223,21 +248,30 @@ def _value(cell: np.ndarray) -> np.ndarray:
     return np.where(cell > 0, 2.0 ** (((cell - 1) / (GRID - 2) - 1) * -FLOOR), 0.0)
 
 
-def known(state: DataFrame, answered: DataFrame, buckets: int, n: int) -> DataFrame:
+def _context_total(word_total: np.ndarray) -> np.ndarray:
+    """By word number; the start (0) is as frequent as the end (1)."""
+    out = word_total.copy()
+    out[0] = out[1]
+    return out
+
+
+def known(state: DataFrame, answered: DataFrame, n: int) -> DataFrame:
     """Each chunk with the totals it asked for, and its held-out counts on the grid."""
 
     def run(left, right):
-        s = _State(left.slice(0, 1).to_pylist()[0])
-        s.answered({b: _counts(x).astype("<u8").tobytes() for b, x in zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True)}, buckets)
-        ch, cw, chw = s.context_total[s.pair_context], s.word_total[s.pair_word], s.pair_total
-        on = s.pair_count > 0
-        ch, cw, chw, weight = ch[on] - 1, cw[on] - 1, chw[on] - 1, s.pair_count[on]
+        rec = left.slice(0, 1).to_pylist()[0]
+        s = _State(rec)
+        got = right.select(["bucket", "words", "pairs"]).sort_by("bucket")
+        word_total, pair_total = np.empty(len(s.words), np.int64), np.empty(len(s.pairs), np.int64)
+        word_total[s.word_order] = np.concatenate([_counts(x) for x in got.column("words").to_pylist()])
+        pair_total[s.pair_order] = np.concatenate([_counts(x) for x in got.column("pairs").to_pylist()])
+        on = np.flatnonzero(s.pair_count)
+        ch, cw, chw, weight = _context_total(word_total)[s.pair_context[on]] - 1, word_total[s.pair_word[on]] - 1, pair_total[on] - 1, s.pair_count[on]
         f2, f1 = chw / np.maximum(ch, 1), cw / max(1, n - 1)
-        cell = (_bucket_of(ch) * GRID + _cell(f2)) * GRID + _cell(f1)
-        cells, at = np.unique(cell, return_inverse=True)
+        cells, at = np.unique((_bucket_of(ch) * GRID + _cell(f2)) * GRID + _cell(f1), return_inverse=True)
         grid = [{"cell": c, "weight": w} for c, w in zip(cells.tolist(), np.bincount(at, weights=weight, minlength=len(cells)).tolist(), strict=True)]
-        out = [s.chunk, left.column("rows")[0].as_py(), left.column("ids")[0].as_py(), left.column("sizes")[0].as_py(), s.word_total.astype("<i8").tobytes(), s.context_total.astype("<i8").tobytes(), _varint(s.pair_total[s.pair]), s.context.astype("<u4").tobytes(), s.word.astype("<u4").tobytes(), grid]
-        types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 6, pa.list_(pa.struct([("cell", pa.int32()), ("weight", pa.float64())]))]
+        out = [s.chunk, rec["rows"], rec["ids"], rec["sizes"], rec["tokens"], _varint(word_total), _varint(pair_total[s.pair]), grid]
+        types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.list_(pa.struct([("cell", pa.int32()), ("weight", pa.float64())]))]
         return pa.table({k.split()[0]: pa.array([v], t) for k, v, t in zip(KNOWN.split(", "), out, types, strict=True)})
 
     return state.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, KNOWN)
@@ -275,11 +309,11 @@ def score(held: DataFrame, weights: np.ndarray, n: int, v: int) -> DataFrame:
     def run(batches):
         for rec in _each_state(batches):
             sizes = np.frombuffer(rec["sizes"], "<u4").astype(np.int64)
-            cw_of, ch_of = np.frombuffer(rec["word_total"], "<i8"), np.frombuffer(rec["context_total"], "<i8")
-            cw, ch, chw = cw_of[np.frombuffer(rec["word"], "<u4")], ch_of[np.frombuffer(rec["context"], "<u4")], _counts(rec["pair_total"])
+            doc, context, word = _tokens(rec)
+            word_total = _counts(rec["word_total"]).astype(np.int64)
+            cw, ch, chw = word_total[word], _context_total(word_total)[context], _counts(rec["pair_total"]).astype(np.int64)
             lam = weights[_bucket_of(ch)]
             p = lam[:, 0] * chw / np.maximum(ch, 1) + lam[:, 1] * cw / max(1, n) + lam[:, 2] / (v + 1)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
             total = lambda x: np.bincount(doc, weights=x, minlength=len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.frombuffer(rec["rows"], "<i8")), pa.array(rec["ids"], pa.int64()), pa.array(sizes), pa.array(total(cw > 0).astype(np.int64)), pa.array(total(np.log10((cw + 1) / (n + v + 1)))), pa.array(total(np.log10(p)))],
@@ -296,7 +330,7 @@ def score_documents(docs: DataFrame, held_out: F.Column, chunk: int = CHUNK) ->
     state = written(chunks(docs, (~held_out).alias("training"), chunk), "lm-chunks")
     answered = written(answers(requests(state, buckets)), "lm-totals")
     n, v = answered.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    held = written(known(state, answered.select("bucket", "chunk", "totals"), buckets, n), "lm-known")
+    held = written(known(state, answered.select("bucket", "chunk", "words", "pairs"), n), "lm-known")
     grid = held.select(F.explode("grid").alias("g")).groupBy("g.cell").agg(F.sum("g.weight").alias("w"))  # at most BUCKETS * GRID * GRID rows
     weights = learn_weights([(r[0], r[1]) for r in grid.collect()], v)
     parts = score(held, weights, n, v)

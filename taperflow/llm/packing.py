@@ -27,15 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import printable_bytes
 from .common import WS, checkpoint, slices
 
 CAPACITY = 4096
 SLACK = 1 / 64
 END_ID = 2
-CACHE_WORDS = 800_000
+CACHE_TOKENS = 1_000_000
 
-_WORD = re.compile(f"[^{WS}]+")
-_SEPARATOR = re.compile("[\x1c-\x1f]")  # split() takes these for spaces
+_WORDS = [i.to_bytes(4, "little") for i in range(1 << 16)]
+# The tokenizer's pattern for Latin script and common punctuation, its letters and numerals listed.
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN = re.compile(f"[{_L}]+|[{_N}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_L}{_N}{WS}]+")
+_OTHER = re.compile("[^\0-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u2038\u20ac]")
 _STATE: dict[str, WordEncoder] = {}
 
 
@@ -54,10 +58,11 @@ def reciprocal_cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> l
 
 
 class WordEncoder:
-    """Ids of a text by its words.  The tokenizer drops white space, so a text's ids are those of
-    its space-separated words in order; each new word is encoded once and kept (bounded table)."""
+    """Ids of a text by its pre-tokens; each distinct one is encoded once and kept (bounded table).
 
-    MARK = "\x01"  # stands between new words that are encoded in one call; gives one id of its own
+    Texts of Latin script are lower-cased and cut here, by the tokenizer's own pattern (it drops
+    white space), and only new pre-tokens go to its merge model.  Other texts take its whole way
+    (normal forms, other scripts, special tokens)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,40 +71,32 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
         self.ids: dict[str, bytes] = {}
-        mark = self.call(self.MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 else None
-
-    def call(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def learn(self, words: list[str]) -> None:
-        odd = [w for w in words if self.MARK in w or self.mark is None]
-        for w in odd:
-            self.ids[w] = self.call(w).tobytes()
-        words = [w for w in words if self.MARK not in w] if odd else words
-        for at in range(0, len(words), 4096) if self.mark is not None else ():
-            some = words[at : at + 4096]
-            ids = self.call(f" {self.MARK} ".join(some))
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(some, ends, strict=True):
-                self.ids[w] = raw[4 * start : 4 * end]
-                start = end + 1
+        self.chars = {b: c for b, c in enumerate(printable_bytes()) if chr(b) != c}
+
+    def learn(self, tokens: set[str]) -> None:
+        merge, chars, ids = self.merge, self.chars, self.ids
+        for t in tokens:
+            letters = t if t.isascii() and t.isprintable() else t.encode().decode("latin-1").translate(chars)
+            ids[t] = b"".join([_WORDS[x.id] for x in merge(letters)])
 
     def encode(self, text: str) -> bytes:
         out = []
         for part in slices(text):
-            words = _WORD.findall(part) if _SEPARATOR.search(part) else part.split()
+            if "<|" in part or _OTHER.search(part):
+                out.append(np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                continue
+            found = _LATIN.findall(part.lower())
             try:
-                out.append(b"".join(map(self.ids.__getitem__, words)))
+                out.append(b"".join(map(self.ids.__getitem__, found)))
             except KeyError:
-                new = set(words).difference(self.ids)
-                if len(self.ids) + len(new) > CACHE_WORDS:
+                new = set(found).difference(self.ids)
+                if len(self.ids) + len(new) > CACHE_TOKENS:
                     self.ids.clear()
-                    new = set(words)
-                self.learn(list(new))
-                out.append(b"".join(map(self.ids.__getitem__, words)))
+                    new = set(found)
+                self.learn(new)
+                out.append(b"".join(map(self.ids.__getitem__, found)))
         return b"".join(out)
 
 
