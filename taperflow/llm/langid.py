@@ -18,6 +18,7 @@ ignored by ``predict`` and kept by ``keep_known``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,6 @@ MAX_LANGUAGES = 64
 CENTROIDS = 4
 #: A distance counts as too large beyond this quantile of the language's own, times the margin.
 QUANTILE, MARGIN = 0.999, 1.25
-#: Characters of a sample text that the fit may hold at once; longer ones are all read, in parts.
 _LETTER = regex.compile(r"\p{L}")
 _NOT_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
 _ASCII = bytes(c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(128)) + bytes(range(128, 256))
@@ -103,21 +103,40 @@ def _k_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit_rows(rows: list[tuple[str, np.ndarray]], centroids: int = CENTROIDS) -> Model:
-    """From (language, counts) of a bounded sample."""
-    rows = [(lang, c) for lang, c in rows if c.any()]
-    languages = sorted({lang for lang, _ in rows})
+def _weigh(part: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """The vectors of these (place, count) rows, as ``Model.vectors`` makes them, in one matrix."""
+    m = np.zeros((len(part), DIMS), np.float32)
+    for k, (at, n) in enumerate(part):
+        m[k, at] = n
+    np.log1p(m, out=m)
+    m *= idf
+    m /= np.maximum(np.sqrt(np.einsum("ij,ij->i", m, m))[:, None], 1e-12)
+    return m
+
+
+def fit_rows(rows: Iterable[tuple[str, np.ndarray]], centroids: int = CENTROIDS) -> Model:
+    """From (language, counts) of a bounded sample; dense vectors are held of one language at a time."""
+    some: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    df, total = np.zeros(DIMS, np.int64), 0
+    for lang, c in rows:
+        at = np.flatnonzero(c)
+        if len(at):
+            some.setdefault(lang, []).append((at.astype(np.int16), np.minimum(c[at], 65535).astype(np.uint16)))
+            df[at] += 1
+            total += 1
+    languages = sorted(some)
+    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+    model = Model(languages, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
     if not languages:
-        return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    m = np.stack([c for _, c in rows]).astype(np.float32)
-    df = (m > 0).sum(axis=0)
-    model = Model(languages, (np.log((1 + len(m)) / (1 + df)) + 1).astype(np.float32), np.zeros((0, DIMS)), np.zeros(0, int), np.zeros(0))
-    v = model.vectors(m)
-    own = np.array([languages.index(lang) for lang, _ in rows])
-    parts = [_k_means(v[own == k], centroids) for k in range(len(languages))]
+        return model
+    parts, reach = [], []
+    for lang in languages:
+        v = _weigh(some.pop(lang), idf)
+        parts.append(_k_means(v, centroids))
+        reach.append(min(0.98, MARGIN * float(np.quantile(1 - (v @ parts[-1].T).max(axis=1), QUANTILE))))
     model.centroids = np.concatenate(parts).astype(np.float32)
     model.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    model.reach = np.array([min(0.98, MARGIN * float(np.quantile(1 - (v[own == k] @ p.T).max(axis=1), QUANTILE))) for k, p in enumerate(parts)])
+    model.reach = np.array(reach)
     return model
 
 
@@ -137,12 +156,13 @@ def fit(docs: DataFrame, training: F.Column, per_language: int = PER_LANGUAGE) -
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype("<i2").tobytes()], pa.binary()), pa.array([np.minimum(c[at], 65535).astype("<u2").tobytes()], pa.binary())], names=["lang", "at", "n"])
 
-    rows = []
-    for r in sample.mapInArrow(run, "lang string, at binary, n binary").toLocalIterator():
-        c = np.zeros(DIMS, np.uint16)
-        c[np.frombuffer(r["at"], "<i2")] = np.frombuffer(r["n"], "<u2")
-        rows.append((r["lang"], c))
-    return fit_rows(rows)
+    def dense():
+        for r in sample.mapInArrow(run, "lang string, at binary, n binary").toLocalIterator():
+            c = np.zeros(DIMS, np.uint16)
+            c[np.frombuffer(r["at"], "<i2")] = np.frombuffer(r["n"], "<u2")
+            yield r["lang"], c
+
+    return fit_rows(dense())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
