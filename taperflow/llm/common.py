@@ -64,6 +64,16 @@ def doc_crc32() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
 
 
+def near_first(near: F.Column, group: F.Column, counts: dict, n: int) -> F.Column:
+    """Whether ``near``, an even hash of 32 bits, is among about the 2 * n smallest of its group
+    (counts: rows by group, of a bounded number of groups).  Before a window that picks the n
+    smallest, this keeps what one task reads within a bound that doesn't grow with the input."""
+    out = F.lit(False)
+    for value, rows in counts.items():
+        out = F.when(group == value, near < min(2**32, -(-(2 * n << 32) // max(1, rows)))).otherwise(out)
+    return out
+
+
 _CUT = {ascii: re.compile(rf"(?<=[^{c}])(?=[{c}])") for ascii, c in ((False, WS), (True, "\t-\r "))}
 
 

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_crc32, slices
+from .common import doc_crc32, near_first, slices
 
 DIMS = 1 << 13
 PER_LANGUAGE = 1500
@@ -143,9 +143,10 @@ def fit_rows(rows: Iterable[tuple[str, np.ndarray]], centroids: int = CENTROIDS)
 def fit(docs: DataFrame, training: F.Column, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on at most per_language rows of each language (MAX_LANGUAGES at most, by count)."""
     able = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r[0] for r in able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")), "doc_id")
-    chosen = able.filter(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+    langs = {r[0]: r[1] for r in able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    near = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
+    order = Window.partitionBy("lang").orderBy(near, "doc_id")
+    chosen = able.filter(near_first(near, F.col("lang"), langs, per_language)).select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
     ids = chosen.select("doc_id").distinct()  # at most per_language * MAX_LANGUAGES rows
     sample = able.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
 

@@ -10,9 +10,10 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from taperflow.llm import ann, langid, linededup, lm, sharding, simhash, toxicity
-from taperflow.llm.common import doc_crc32
+from taperflow.llm.common import doc_crc32, near_first
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _t string, _later int, fp string, lines_removed string"
 
@@ -271,3 +272,15 @@ def test_out_of_fold_probabilities_are_less_certain():
     own = toxicity._sigmoid(chain.links[0].margin(rows, np.zeros((120, 0))))
     assert np.mean((own > 0.5) == noise) > 0.8  # fits its own rows
     assert abs(chain.links[1].earlier[0]) < 5  # but the chain has seen how little that is worth
+
+
+def test_near_first_keeps_the_smallest(spark):
+    near = F.crc32(F.col("id").cast("string").cast("binary"))
+    rows = spark.range(20_000).select("id", F.when(F.col("id") < 50, "rare").otherwise("hot").alias("kind"), near.alias("near"))
+    kept = rows.filter(near_first(F.col("near"), F.col("kind"), {"rare": 50, "hot": 19_950}, 200)).toPandas()
+    every = rows.toPandas()
+    for kind, n in (("rare", 50), ("hot", 200)):
+        want = every[every.kind == kind].nsmallest(n, "near")
+        assert set(want.id) <= set(kept[kept.kind == kind].id)
+    assert 200 <= (kept.kind == "hot").sum() < 600
+    assert not len(rows.filter(near_first(F.col("near"), F.col("kind"), {}, 200)).toPandas())
