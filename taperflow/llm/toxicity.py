@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import near_first, slices
 
 DIMS = 1 << 20
 PER_CLASS = 4000
@@ -143,10 +143,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], per_cla
     """Fit on labelled rows: per_class rows of each value of each category at most."""
     able = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).dropna().dropDuplicates(["doc_id"])
     near = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
+    kinds = able.agg(*(F.count_if(F.col(c) == v).alias(f"{c}_{v}") for c in categories for v in (0, 1))).first()
     chosen = None
     for c in categories:
         order = Window.partitionBy(c).orderBy(near, "doc_id")
-        part = able.withColumn("_n", F.row_number().over(order)).filter((F.col("_n") <= per_class) & F.col(c).isin(0, 1)).drop("_n")
+        likely = near_first(near, F.col(c), {v: kinds[f"{c}_{v}"] for v in (0, 1)}, per_class)
+        part = able.filter(likely).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class).drop("_n")
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.distinct()  # at most 2 * per_class * categories rows
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
