@@ -166,7 +166,12 @@ def near_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
 def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The documents without the later ones of each near-duplicate group: the smallest doc_id
     stays (of repeated rows with that id, one)."""
-    marked = checkpoint(near_groups(docs, hot))
+    return first_of(docs, near_groups(docs, hot))
+
+
+def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents without the later ones of the groups given (doc_id, component_id)."""
+    marked = checkpoint(groups)
     (key,) = fresh(docs, "_later")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     later = marked.filter(~first).select(F.col("doc_id").alias(key))
