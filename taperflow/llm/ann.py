@@ -4,7 +4,9 @@ Index: spherical k-means lists, fitted on a bounded sample (``SAMPLE`` distinct
 smallest hash, at most ``MAX_LISTS`` lists), hold every distinct vector.  Equal vectors are one
 entry that carries its smallest ids, so that copies cost nothing and none of their links is lost.
 
-Search: a query probes its nearest lists.  Lists are cut into blocks of bounded size, a hot list
+Search: a query probes its nearest lists: so many that, on a bounded set of queries held against
+brute force over the fitting sample, ``RECALL`` of the true nearest are in them (``PROBE`` of the
+lists at least).  The sample is no denser than the table, so its nearest are no nearer.  Lists are cut into blocks of bounded size, a hot list
 into many, and a block's queries into groups of bounded size, so that no task holds an unbounded
 list.  In a block the unit vectors are turned by a fixed random rotation and read in blocks of
 columns; after each block of columns a hypothesis test compares the distance so far, scaled up to
@@ -29,7 +31,9 @@ from .common import checkpoint
 
 SAMPLE = 20_000
 MAX_LISTS = 2048
-PROBE = 0.6  # of the lists
+PROBE = 0.6  # of the lists, at least
+RECALL = 0.97  # of the true nearest in the probed lists, measured at fit time
+TRIED = 500  # queries of that measurement
 LEAST_PROBES = 8
 BLOCK = 4096  # vectors of a list in one task's block
 GROUP = 2048  # queries of a block's group
@@ -66,6 +70,24 @@ def fit_lists(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
+def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """How many lists a query must probe so that they hold this share of its k nearest."""
+    v = _unit(sample).astype(np.float32)
+    of, ranks = (v @ centres.T).argmax(axis=1), []
+    k = min(k, len(v) - 1)
+    if k < 1:
+        return 1
+    tried = np.random.default_rng(SEED).permutation(len(v))[:TRIED]
+    for at in np.array_split(tried, max(1, len(tried) // 50)):
+        s = v[at] @ v.T
+        s[np.arange(len(at)), at] = -np.inf
+        near = of[np.argpartition(-s, k - 1, axis=1)[:, :k]]
+        place = np.argsort(np.argsort(-(v[at] @ centres.T), axis=1), axis=1)
+        ranks.append(np.take_along_axis(place, near, axis=1).ravel())
+    ranks = np.sort(np.concatenate(ranks))
+    return int(ranks[min(len(ranks), int(np.ceil(recall * len(ranks)))) - 1]) + 1
+
+
 def rotation(dims: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dims, dims)))
     return q * np.sign(np.diag(r))
@@ -123,9 +145,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, probe: float = PROBE) -> D
         return spark.createDataFrame([], out_schema)
     lists = int(min(MAX_LISTS, max(1, round(total**0.5 / 2))))
     sample = np.array([r[0] for r in reps.orderBy("key").select("e").limit(SAMPLE).collect()])  # SAMPLE rows at most
-    held = spark.sparkContext.broadcast(fit_lists(sample, min(lists, len(sample))))  # MAX_LISTS * dims floats at most
+    centres = fit_lists(sample, min(lists, len(sample)))
+    held = spark.sparkContext.broadcast(centres)  # MAX_LISTS * dims floats at most
     lists = len(held.value)
-    probes = min(lists, max(LEAST_PROBES, round(probe * lists)))
+    probes = min(lists, max(LEAST_PROBES, round(probe * lists), probes_for(sample, centres, k)))
 
     def place(n: int):
         def run(batches):
