@@ -6,11 +6,15 @@ it (winnowing, with spans in words instead of places).  A run of ``REPEAT`` word
 two places share has all grams of such a span in common, so both select the same one: it is
 certain to be found.  Each selected gram is joined to the first place of its hash (order: doc_id,
 place), the match is extended both ways along its diagonal while line hashes agree, and the later
-run is deleted.  A deleted line always has an equal line at an earlier place; by induction the
-first place of each line stays.
+run is deleted.  That place may hold less of the run than another one, so the ends are found by
+windows: in documents with a match, the shortest run of ``REPEAT`` words or more from each line on,
+and that up to each line, are joined to the first place of their hash.  The windows inside a
+repeated run cover it to both ends, and each has its earlier place: every line of every repeated
+run of ``REPEAT`` words is deleted.  A deleted line always has an equal line at an earlier place;
+by induction the first place of each line stays.
 
-Only selected grams, and lines of documents with a match, are joined; a hash with very many
-places meets one row (its first place), never its other places.
+Only selected grams, and lines and windows of documents with a match, are joined; a hash with very
+many places meets one row (its first place), never its other places.
 
 Defined results: a null text stays null, an empty one empty; a document whose lines are all
 deleted keeps its row with an empty text; repeated rows (same doc_id and text) are one document
@@ -62,9 +66,27 @@ def fingerprints(rows: DataFrame, gram: int = GRAM, repeat: int = REPEAT) -> Dat
     return rows.filter("g = m").select("d", "t", "pos", "g")
 
 
+def repeated_windows(rows: DataFrame, prints: DataFrame, repeat: int = REPEAT) -> DataFrame:
+    """d, t, begin, end: shortest runs of ``repeat`` words from a line on or up to it that repeat an
+    earlier place, in documents that share a selected gram with another place."""
+    doc = Window.partitionBy("d", "t")
+    shared = prints.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    rows = rows.join(prints.join(shared, "g").select("d", "t").distinct(), ["d", "t"])
+    rows = rows.withColumn("upto", F.sum("w").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("cum", F.col("upto") - F.col("w"))
+    on, back = doc.orderBy("cum").rangeBetween(0, repeat - 1), doc.orderBy("upto").rangeBetween(1 - repeat, 0)
+    rows = rows.withColumns({"n": F.sum("w").over(on), "a": F.collect_list("h").over(on), "m": F.sum("w").over(back), "b": F.collect_list("h").over(back)})
+    ahead = F.when(F.col("n") >= repeat, F.struct(F.xxhash64("a").alias("key"), F.col("pos").alias("begin"), (F.col("pos") + F.size("a") - 1).alias("end")))
+    # One that stays long enough without its last line only; the others are windows from a line on.
+    behind = F.when(F.col("m") - F.col("w") >= repeat, F.struct(F.xxhash64("b").alias("key"), (F.col("pos") - F.size("b") + 1).alias("begin"), F.col("pos").alias("end")))
+    found = rows.select("d", "t", F.explode(F.array_compact(F.array(ahead, behind))).alias("x")).select("d", "t", "x.*")
+    first = found.groupBy("key").agg(F.min(F.struct("d", "t", "begin")).alias("f"), F.max(F.struct("d", "t", "begin")).alias("last")).filter("f < last").select("key", "f")
+    return found.join(first, "key").filter(F.struct("d", "t", "begin") > F.col("f")).select("d", "t", "begin", "end")
+
+
 def repeated_runs(rows: DataFrame, gram: int = GRAM, repeat: int = REPEAT) -> DataFrame:
     """d, t, begin, end: runs of lines that repeat an earlier place."""
-    prints = fingerprints(rows, gram, repeat)
+    prints = written(fingerprints(rows, gram, repeat), "prints")
     first = prints.groupBy("g").agg(F.min(F.struct("d", "t", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("g", "f")
     found = prints.join(first, "g").filter(F.struct("d", "t", "pos") > F.col("f"))
     found = found.select("d", "t", F.col("f.d").alias("d0"), F.col("f.t").alias("t0"), (F.col("pos") - F.col("f.pos")).alias("shift"), "pos")
@@ -75,7 +97,8 @@ def repeated_runs(rows: DataFrame, gram: int = GRAM, repeat: int = REPEAT) -> Da
     same = mine.join(theirs, ["d0", "t0", "pos0"]).filter("h = h0")
     island = (F.col("pos") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("pos"))).alias("island")
     runs = same.select(*diagonal, "pos", "starts", island).groupBy(*diagonal, "island").agg(F.min("pos").alias("begin"), F.max("pos").alias("end"), F.first("starts").alias("starts"))
-    return runs.filter("exists(starts, s -> s between begin and end)").select("d", "t", "begin", "end").distinct()
+    runs = runs.filter("exists(starts, s -> s between begin and end)").select("d", "t", "begin", "end")
+    return runs.unionByName(repeated_windows(rows, prints, repeat)).distinct()
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, repeat: int = REPEAT) -> DataFrame:
