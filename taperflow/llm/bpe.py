@@ -180,9 +180,11 @@ def codec(path: str) -> PairIndexCodec:
     return _CODECS[path]
 
 
-def _groups(texts: list[str], size: int = 1 << 20):
+def _groups(column, size: int = 1 << 20):
+    """The texts of an Arrow column in lists of bounded size, so that they are never all held."""
     group, held = [], 0
-    for t in texts:
+    for x in column:
+        t = x.as_py() or ""
         group.append(t)
         held += len(t)
         if held >= size:
@@ -199,7 +201,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for batch in batches:
             at = 0
-            for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
+            for group in _groups(batch.column(1)):
                 ids = c.encode_all(group)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
                 at += len(group)
@@ -215,7 +217,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for batch in batches:
             at = 0
-            for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
+            for group in _groups(batch.column(1)):
                 n, ids_sha, text_sha = [], [], []
                 for ids in c.encode_all(group):
                     n.append(len(ids) // 4)

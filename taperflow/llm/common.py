@@ -2,12 +2,17 @@
 
 Lineage is cut only in the folder that the cluster names in ``spark.checkpoint.dir``
 (shared by driver and executors).  A folder of our own is used only where that setting
-is absent, as in unit tests on one machine.
+is absent and everything runs in one process, as in unit tests; on a cluster its absence is
+an error.  Written intermediates are deleted as soon as nothing reads them, the rest when the
+driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -22,12 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written intermediates."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="taperflow-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
@@ -44,7 +55,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/taperflow-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    _WRITTEN[path] = spark
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        _delete(df.written_path)
+
+
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_WRITTEN):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -64,14 +97,16 @@ def doc_crc32() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
 
 
-def near_first(near: F.Column, group: F.Column, counts: dict, n: int) -> F.Column:
-    """Whether ``near``, an even hash of 32 bits, is among about the 2 * n smallest of its group
-    (counts: rows by group, of a bounded number of groups).  Before a window that picks the n
-    smallest, this keeps what one task reads within a bound that doesn't grow with the input."""
-    out = F.lit(False)
-    for value, rows in counts.items():
-        out = F.when(group == value, near < min(2**32, -(-(2 * n << 32) // max(1, rows)))).otherwise(out)
-    return out
+def near_first(rows: DataFrame, near: F.Column, group: str, counts: dict, n: int) -> DataFrame:
+    """The rows of which ``near``, an even hash of 32 bits, is among about the 2 * n smallest of
+    their group (counts: rows by group).  Before a window that picks the n smallest, this keeps
+    what one task reads within a bound that doesn't grow with the input."""
+    spark = rows.sparkSession
+    kind = rows.schema[group].dataType.simpleString()
+    most = [(value, min(2**32, -(-(2 * n << 32) // max(1, c)))) for value, c in counts.items()]
+    key, limit = fresh(rows, "_group", "_limit")
+    limits = spark.createDataFrame(most, f"{key} {kind}, {limit} long")  # a row a group
+    return rows.join(F.broadcast(limits), F.col(group) == F.col(key)).filter(near < F.col(limit)).drop(key, limit)
 
 
 _CUT = {ascii: re.compile(rf"(?<=[^{c}])(?=[{c}])") for ascii, c in ((False, WS), (True, "\t-\r "))}

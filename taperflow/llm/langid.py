@@ -7,9 +7,11 @@ language of the nearest centroid by cosine is predicted.  A prediction is reject
 distance to that centroid is larger than almost all distances of the language's own training
 texts (a quantile of them, times a margin).
 
-The model is fitted on a bounded sample: at most ``PER_LANGUAGE`` training rows a language, those
-of smallest hash, of which ids are chosen first and texts read after.  Everything else reads all
-rows and whole texts.
+Centroids and distances are fitted on a bounded sample: at most ``PER_LANGUAGE`` training rows a
+language and about ``SAMPLE`` rows in all, those of smallest hash, of which ids are chosen first and
+texts read after.  Every language of the training rows is learned, however many there are.
+Document frequencies are counted over all training rows, and everything else reads all rows and
+whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; with
 no training rows every text is ``und``; repeated rows give repeated results; extra columns are
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_crc32, near_first, slices
+from .common import checkpoint, doc_crc32, near_first, slices
 
 DIMS = 1 << 13
 PER_LANGUAGE = 1500
-MAX_LANGUAGES = 64
+#: Rows in all; a language has at least LEAST of them, so many languages share fewer each.
+SAMPLE, LEAST = 60_000, 20
 CENTROIDS = 4
 #: A distance counts as too large beyond this quantile of the language's own, times the margin.
 QUANTILE, MARGIN = 0.999, 1.25
@@ -114,61 +118,77 @@ def _weigh(part: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.nda
     return m
 
 
-def fit_rows(rows: Iterable[tuple[str, np.ndarray]], centroids: int = CENTROIDS) -> Model:
-    """From (language, counts) of a bounded sample; dense vectors are held of one language at a time."""
-    some: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    df, total = np.zeros(DIMS, np.int64), 0
-    for lang, c in rows:
-        at = np.flatnonzero(c)
-        if len(at):
-            some.setdefault(lang, []).append((at.astype(np.int16), np.minimum(c[at], 65535).astype(np.uint16)))
-            df[at] += 1
-            total += 1
-    languages = sorted(some)
-    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+def inverse_frequencies(df: np.ndarray, total: int) -> np.ndarray:
+    return (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+
+
+def fit_rows(rows: Iterable[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, centroids: int = CENTROIDS) -> Model:
+    """From (language, places, counts) of a bounded sample in order of language: the vectors of
+    one language are held at a time."""
+    languages, parts, reach = [], [], []
+    for lang, group in groupby(rows, key=lambda r: r[0]):
+        part = [(at, n) for _, at, n in group if len(at)]
+        if part:
+            v = _weigh(part, idf)
+            languages.append(lang)
+            parts.append(_k_means(v, centroids))
+            reach.append(min(0.98, MARGIN * float(np.quantile(1 - (v @ parts[-1].T).max(axis=1), QUANTILE))))
     model = Model(languages, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    if not languages:
-        return model
-    parts, reach = [], []
-    for lang in languages:
-        v = _weigh(some.pop(lang), idf)
-        parts.append(_k_means(v, centroids))
-        reach.append(min(0.98, MARGIN * float(np.quantile(1 - (v @ parts[-1].T).max(axis=1), QUANTILE))))
-    model.centroids = np.concatenate(parts).astype(np.float32)
-    model.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    model.reach = np.array(reach)
+    if languages:
+        model.centroids = np.concatenate(parts).astype(np.float32)
+        model.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        model.reach = np.array(reach)
     return model
 
 
-def fit(docs: DataFrame, training: F.Column, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most per_language rows of each language (MAX_LANGUAGES at most, by count)."""
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts of docs each place occurs, and how many texts have any: one pass, of
+    which DIMS + 1 rows a task are shuffled."""
+
+    def run(batches):
+        df = np.zeros(DIMS + 1, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                hit = counts(t.as_py() or "") > 0
+                df[:DIMS] += hit
+                df[DIMS] += hit.any()
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["place", "n"])
+
+    df = np.zeros(DIMS + 1, np.int64)
+    for place, n in docs.select(F.col("text").cast("string")).mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n")).collect():  # DIMS + 1 rows at most
+        df[place] = n
+    return df[:DIMS], int(df[DIMS])
+
+
+def fit(docs: DataFrame, training: F.Column, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
+    """Fit on the rows for which ``training`` holds: per_language rows of each language at most for
+    the centroids, all for the document frequencies."""
     able = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = {r[0]: r[1] for r in able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    langs = {r[0]: r[1] for r in able.groupBy("lang").count().collect()}  # a row a language
+    per_language = min(per_language, max(LEAST, sample // max(1, len(langs))))
     near = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
     order = Window.partitionBy("lang").orderBy(near, "doc_id")
-    chosen = able.filter(near_first(near, F.col("lang"), langs, per_language)).select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
-    ids = chosen.select("doc_id").distinct()  # at most per_language * MAX_LANGUAGES rows
-    sample = able.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    chosen = near_first(able.select("doc_id", "lang"), near, "lang", langs, per_language)
+    chosen = chosen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+    ids = chosen.select("doc_id").distinct()  # about SAMPLE rows, or LEAST a language
+    some = able.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
 
     def run(batches):
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
                 c = counts(text.as_py())
                 at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype("<i2").tobytes()], pa.binary()), pa.array([np.minimum(c[at], 65535).astype("<u2").tobytes()], pa.binary())], names=["lang", "at", "n"])
-
-    def dense():
-        for r in sample.mapInArrow(run, "lang string, at binary, n binary").toLocalIterator():
-            c = np.zeros(DIMS, np.uint16)
-            c[np.frombuffer(r["at"], "<i2")] = np.frombuffer(r["n"], "<u2")
-            yield r["lang"], c
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype("<i2").tobytes()], pa.binary()), pa.array([c[at].astype("<u4").tobytes()], pa.binary())], names=["lang", "at", "n"])
 
-    return fit_rows(dense())
+    found = checkpoint(some.mapInArrow(run, "lang string, at binary, n binary")).repartitionByRange("lang").sortWithinPartitions("lang", "at", "n")
+    idf = inverse_frequencies(*document_frequencies(able))
+    return fit_rows(((r["lang"], np.frombuffer(r["at"], "<i2"), np.frombuffer(r["n"], "<u4")) for r in found.toLocalIterator()), idf)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected, for every row and whole text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES * CENTROIDS * DIMS floats at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS * DIMS floats a language
 
     def run(batches):
         for b in batches:

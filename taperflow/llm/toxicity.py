@@ -14,7 +14,7 @@ training and in prediction.
 
 Defined results: a null, empty or wordless text has no word features and takes the chain's
 intercepts, but is never rejected for it: its probability is set to 0; unlabelled rows and null
-labels take no part in training; a category without both kinds of rows has the probability of
+labels take no part in training; a doc_id with several labels has a category if one of them says so; a category without both kinds of rows has the probability of
 the kind it has; repeated rows give repeated results; extra columns are ignored by ``predict`` and kept by
 ``keep_clean``.
 """
@@ -141,14 +141,14 @@ def fit_chain(rows: list[np.ndarray], labels: dict[str, np.ndarray], folds: int
 
 def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], per_class: int = PER_CLASS) -> Chain:
     """Fit on labelled rows: per_class rows of each value of each category at most."""
-    able = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).dropna().dropDuplicates(["doc_id"])
+    able = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     near = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
     kinds = able.agg(*(F.count_if(F.col(c) == v).alias(f"{c}_{v}") for c in categories for v in (0, 1))).first()
     chosen = None
     for c in categories:
         order = Window.partitionBy(c).orderBy(near, "doc_id")
-        likely = near_first(near, F.col(c), {v: kinds[f"{c}_{v}"] for v in (0, 1)}, per_class)
-        part = able.filter(likely).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class).drop("_n")
+        likely = near_first(able, near, c, {v: kinds[f"{c}_{v}"] for v in (0, 1)}, per_class)
+        part = likely.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class).drop("_n")
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.distinct()  # at most 2 * per_class * categories rows
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
