@@ -1,18 +1,20 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Anchors.  A fingerprint has 64 bits; two that link differ in at most 2.  So in one of its two
-32-bit halves they differ in at most 1 bit (the threshold per half).  In a half, the anchors are
-the words of the perfect Hamming code on bits 1..31: its covering radius is 1, so every
-fingerprint has a home anchor within 1, and each fingerprint that links to it through this half
-is within 1 + 1 of that anchor.  Every distinct fingerprint is sent to its home anchor and to all
-anchors within radius + threshold (16 a half), and each anchor compares its homes with its
-guests.  (Taking all 63 bits at once would need 652 copies instead of 2 * 16.)
-
-Hot anchors.  An anchor with more than ``hot`` members would compare the square of them.  All
-fingerprints that stand at such an anchor are linked by midpoints instead: two differ in at most
-2 bits exactly if some word is within 1 of both, so each goes to the 65 words within 1 of it, and
-all that meet in a word link to the smallest there.  This is exact, makes no pairs, and is a plain
-aggregation.
+Anchors.  A fingerprint has 64 bits in two halves a and b; two that link differ in at most 2.  So
+they differ in at most 1 bit of each half, or in at most 2 of one half and in none of the other.
+Three covering codes take these cases, each the product of a code on one half and of all words of
+a block of the other (of which one block at least is equal):
+
+* at most 1 bit in each half: the perfect Hamming code on bits 1..31 of a (covering radius 1, threshold
+  1) times all words of a 16-bit block of b (radius 0, threshold 0), for both blocks;
+* none in a: all words of a times all words of a third of b, for the three thirds;
+* none in b: the same with the halves exchanged.
+
+Every distinct fingerprint is sent to its home anchors and to all anchors within radius + threshold
+of each code (16 * 2 + 3 + 3 copies), and each anchor compares its homes with its guests.  The second
+half's part of an anchor is what keeps one that many fingerprints crowd around small: its members
+agree in 16 bits of b besides.  It is the same for all anchors.  (Taking all 63 bits at once would
+need 652 copies.)
 
 Groups are the connected components, by alternating large-star and small-star steps.
 
@@ -37,7 +39,6 @@ from .common import checkpoint, fresh, slices
 SHINGLE = 3
 SEED = 42
 THRESHOLD = 2
-HOT = 64
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -77,67 +78,61 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> Dat
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def anchors(half: int) -> F.Column:
-    """array<struct<key, home>>: the anchors within 2 of this half's bits 1..31, the home one marked.
+def anchors() -> tuple[F.Column, F.Column]:
+    """(_s, array<struct<key, home>>): the anchors of the Hamming code on bits 1..31 within 2 of the
+    fingerprint, the home one marked; the second needs the first as a column.
 
     The syndrome s (the exclusive or of the places of set bits) is 0 on code words.  Otherwise the
     home anchor is bit s flipped, and those at distance 2 flip places i and i^s for each i.
     """
-    word = F.shiftrightunsigned("fp", 32 * half).bitwiseAND(F.lit(0xFFFFFFFE))
+    word = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFE))
     masks = [sum(1 << i for i in range(1, 32) if i >> b & 1) for b in range(5)]
     s = F.lit(0)
     for b, mask in enumerate(masks):
         s = s + F.bit_count(word.bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(1)) * F.lit(1 << b)
-    key = lambda flips: word.bitwiseXOR(flips).bitwiseOR(F.lit(half))  # noqa: E731  bit 0 is free: it names the half
-    power = lambda i: F.expr(f"shiftleft(1L, cast({i} as int))")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    entry = lambda key, home: F.struct(key.alias("key"), F.lit(home).alias("home"))
     # Guests by pairs i < i^s; i runs over 1..31 without s.  Of each pair the smaller place stands.
     pairs = F.expr("filter(sequence(1, 31), i -> i < (i ^ _s) and i != _s)")
-    guests = F.transform(pairs, lambda i: F.struct(key(F.call_function("shiftleft", F.lit(1).cast("long"), i).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseXOR(F.col("_s"))))).alias("key"), F.lit(False).alias("home")))
-    home = F.array(F.struct(key(F.when(F.col("_s") == 0, F.lit(0).cast("long")).otherwise(power("_s"))).alias("key"), F.lit(True).alias("home")))
-    return s, F.when(F.col("_s") == 0, home).otherwise(F.concat(home, guests))
+    guests = F.transform(pairs, lambda i: entry(word.bitwiseXOR(bit(i).bitwiseXOR(bit(i.bitwiseXOR(F.col("_s"))))), False))
+    home = F.array(entry(word.bitwiseXOR(F.when(F.col("_s") == 0, F.lit(0).cast("long")).otherwise(bit(F.col("_s")))), True))
+    return s.cast("int"), F.when(F.col("_s") == 0, home).otherwise(F.concat(home, guests))
 
 
 def at_anchors(fps: DataFrame) -> DataFrame:
-    """key, fp, home: every distinct fingerprint at its anchors in both halves."""
-    parts = []
-    for half in (0, 1):
-        s, found = anchors(half)
-        parts.append(fps.withColumn("_s", s.cast("int")).select("fp", F.explode(found).alias("a")).select(F.col("a.key").alias("key"), "fp", F.col("a.home").alias("home")))
-    return parts[0].unionByName(parts[1])
-
-
-def midpoint_links(fps: DataFrame) -> DataFrame:
-    """u, v (v the smallest fingerprint at a word within 1 of u), for all fingerprints given."""
-    words = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    at = fps.select("fp", F.explode(words).alias("word"))
-    least = at.groupBy("word").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
-    least = least.filter(F.col("least") < F.col("most")).drop("most")
-    return at.join(least, "word").filter("fp > least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
-
-
-def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """u, v: enough links between distinct fingerprints for the right connected components."""
+    """code, key, block, fp, home: every distinct fingerprint at the anchors of the three codes."""
+    s, found = anchors()
+    half = lambda k: F.shiftrightunsigned("fp", 32 * k).bitwiseAND(F.lit(0xFFFFFFFF))
+    part = lambda low, bits, k: F.struct(F.lit(k).alias("code"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("block"))
+    near = fps.withColumn("_s", s).select("fp", F.explode(found).alias("a"))
+    near = near.select("fp", "a.*", F.explode(F.array(part(32, 16, 0), part(48, 16, 1))).alias("p"))
+    out = near.select("p.code", "key", "p.block", "fp", "home")
+    for k in (0, 1):
+        low = 32 * (1 - k)
+        thirds = F.array(part(low, 11, 2 + 3 * k), part(low + 11, 11, 3 + 3 * k), part(low + 22, 10, 4 + 3 * k))
+        same = fps.select("fp", half(k).alias("key"), F.explode(thirds).alias("p"))
+        out = out.unionByName(same.select("p.code", "key", "p.block", "fp", F.lit(True).alias("home")))
+    return out
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """u, v (u > v): all links between distinct fingerprints."""
     at = at_anchors(fps)
-    crowded = checkpoint(at.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"))
-    cold = at.join(crowded, "key", "left_anti")
-    near = cold.filter("home").select("key", F.col("fp").alias("u")).join(cold.select("key", F.col("fp").alias("v")), "key")
+    where = ["code", "key", "block"]
+    near = at.filter("home").select(*where, F.col("fp").alias("u")).join(at.select(*where, F.col("fp").alias("v")), where)
     near = near.filter((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= THRESHOLD))
-    pairs = near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    if crowded.isEmpty():
-        return pairs.distinct()
-    busy = at.join(crowded, "key", "left_semi").select("fp").distinct()
-    return pairs.unionByName(midpoint_links(busy)).distinct()
+    return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for nodes that have an edge (u > v).
 
-    Alternating large-star and small-star steps; each halves path lengths or so, every round's
-    edges are checkpointed, and the end is told by a sum over the edges.
+    Alternating large-star and small-star steps until nothing changes; each halves path lengths or
+    so, every round's edges are checkpointed, and the end is told by a sum over the edges.
     """
     edges = checkpoint(edges)
     last = None
-    for _ in range(most_rounds):
+    while True:
         sign = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == last or not sign[0]:
             break
@@ -152,21 +147,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable by links, itself included)."""
     marked = checkpoint(fingerprints(docs))
     nodes = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = checkpoint(components(links(nodes.select("fp"), hot)))
+    roots = checkpoint(components(links(nodes.select("fp"))))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(names, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def keep_first(docs: DataFrame) -> DataFrame:
     """The documents without the later ones of each near-duplicate group: the smallest doc_id
     stays (of repeated rows with that id, one)."""
-    return first_of(docs, near_groups(docs, hot))
+    return first_of(docs, near_groups(docs))
 
 
 def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
