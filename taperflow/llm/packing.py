@@ -12,7 +12,7 @@ first-fit decreasing on the driver - a table of at most 2*sqrt(capacity) rows.
 
 Defined results: null text is an empty document (only the end id); repeated rows are separate
 documents; an empty table gives no rows; extra columns are ignored by the token path and carried
-by ``harmonic_pack``; pieces with null or non-positive length, or longer than the capacity, are
+by ``harmonic_pack``, whatever their names but ``sequence_id`` and ``offset``, which it gives; pieces with null or non-positive length, or longer than the capacity, are
 an error in ``harmonic_pack``.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import printable_bytes
-from .common import WS, checkpoint, slices
+from .common import WS, checkpoint, fresh, slices, written
 
 CAPACITY = 4096
 SLACK = 1 / 64
@@ -154,34 +154,38 @@ def first_fit_decreasing(blocks: list[tuple[int, int]], capacity: int) -> dict[i
     return out
 
 
-def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ()) -> DataFrame:
-    """Adds sequence_id (long, from 0) and offset (long) to rows with a ``length`` in 1..capacity.
+def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id (long, from 0) and offset (long) to rows with a ``length`` in 1..capacity;
+    they replace columns of these names.
 
-    Shuffles: one by (partition, class) to number the pieces, one by sequence for offsets.
+    The pieces are written once with a number; bins are found for (number, length) alone, in one
+    shuffle by (partition, class) and one by sequence for offsets, and joined back by number, so
+    that wide columns (ids) are shuffled once.
     """
     spark = pieces.sparkSession
-    names = pieces.columns
+    pieces = pieces.drop("sequence_id", "offset")
+    pid, mid, kind = fresh(pieces, "_pid", "_mid", "_kind")
     good = (F.col("length") >= 1) & (F.col("length") <= capacity)
     k = F.when(good, F.floor(F.lit(capacity) / F.col("length"))).otherwise(F.raise_error(F.lit("length must be in 1..capacity"))).cast("int")
-    held = checkpoint(pieces.withColumn("_k", k))
-    held = held.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
-    counts = held.groupBy("_pid", "_k").agg(F.count("*").alias("_n"))
-    totals = {r["_k"]: r["n"] for r in counts.groupBy("_k").agg(F.sum("_n").alias("n")).collect()}  # at most 2*sqrt(capacity) rows
+    whole = written(pieces.withColumns({pid: F.spark_partition_id(), mid: F.monotonically_increasing_id(), kind: k}), "pieces")
+    held = whole.select(F.col(pid).alias("pid"), F.col(mid).alias("mid"), F.col(kind).alias("k"), "length")
+    counts = checkpoint(held.groupBy("pid", "k").agg(F.count("*").alias("n")))
+    totals = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # at most 2*sqrt(capacity) rows
     base, at = {}, 0
     for c in sorted(totals):
         base[c] = at
         at += totals[c] // c
     tail = first_fit_decreasing([(c, (n % c) * (capacity // c)) for c, n in totals.items() if n % c], capacity)
-    plan = spark.createDataFrame([(c, base[c], totals[c] // c, at + tail.get(c, 0)) for c in totals], "_k int, _base long, _full long, _tail long")
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).select("_pid", "_k", F.coalesce("_before", F.lit(0)).alias("_before"))
-    numbered = held.withColumn("_i", F.row_number().over(Window.partitionBy("_pid", "_k").orderBy("_mid")) - 1)
-    numbered = numbered.join(before, ["_pid", "_k"]).join(F.broadcast(plan), "_k")
-    numbered = numbered.withColumn("_i", F.col("_i") + F.col("_before"))
-    b = F.floor(F.col("_i") / F.col("_k")).cast("long")
-    numbered = numbered.withColumn("sequence_id", F.when(b < F.col("_full"), F.col("_base") + b).otherwise(F.col("_tail")))
-    w = Window.partitionBy("sequence_id").orderBy("_k", "_i")
-    out = numbered.withColumn("offset", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    return out.select(*names, "sequence_id", "offset")
+    plan = spark.createDataFrame([(c, base[c], totals[c] // c, at + tail.get(c, 0)) for c in totals], "k int, base long, full long, tail long")
+    before = F.sum("n").over(Window.partitionBy("k").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("pid", "k", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = held.withColumn("i", F.row_number().over(Window.partitionBy("pid", "k").orderBy("mid")) - 1)
+    placed = placed.join(before, ["pid", "k"]).join(F.broadcast(plan), "k").withColumn("i", F.col("i") + F.col("before"))
+    b = F.floor(F.col("i") / F.col("k")).cast("long")
+    placed = placed.withColumn("sequence_id", F.when(b < F.col("full"), F.col("base") + b).otherwise(F.col("tail")))
+    w = Window.partitionBy("sequence_id").orderBy("k", "i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.select(F.col("mid").alias(mid), "sequence_id", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long").alias("offset"))
+    return whole.join(placed, mid).select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
