@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Fixed values of the transport stream format.
 PACKET = 188
 SYNC = 0x47
@@ -222,6 +224,11 @@ def mux_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def store(media: DataFrame) -> DataFrame:
+    """The media written as Parquet in the shared folder; the rows that are read from there."""
+    return written(media, "media")
+
+
 def read_media(media: DataFrame, keep_payload: bool = True) -> DataFrame:
     """Parse the ``media`` column: digests, features, timestamps with random-access points, and
     the payload if kept."""

@@ -51,8 +51,8 @@ def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = media_ts.mux_documents(table(spark, sf_dir, "documents"))
-    return media_ts.read_media(media, keep_payload=False).drop("units")
+    media = media_ts.store(media_ts.mux_documents(table(spark, sf_dir, "documents")))
+    return media_ts.read_media(media, keep_payload=False)
 
 
 def op9_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
