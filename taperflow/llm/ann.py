@@ -1,15 +1,18 @@
 """Nearest neighbours by cosine with adaptive dimension scans over inverted lists.
 
-Index: spherical k-means lists, fitted on a bounded sample (``SAMPLE`` distinct vectors of
-smallest hash, at most ``MAX_LISTS`` lists), hold every distinct vector.  Equal vectors are one
-entry that carries its smallest ids, so that copies cost nothing and none of their links is lost.
+Index: spherical k-means lists, about half the square root of the number of vectors, fitted on a
+bounded sample (``SAMPLE`` distinct vectors of smallest hash), hold every distinct vector.  More lists
+than ``COARSE`` are the sums of a coarse centre and a centre of residuals, so that the sample needn't
+grow with them.  Equal vectors are one entry that carries its smallest ids, so that copies cost
+nothing and none of their links is lost.
 
 Search: a query probes its nearest lists: so many that, on a bounded set of queries held against
-brute force over the fitting sample, ``RECALL`` of the true nearest are in them (``PROBE`` of the
-lists at least).  The sample is no denser than the table, so its nearest are no nearer.  Lists are cut into blocks of bounded size, a hot list
-into many, and a block's queries into groups of bounded size, so that no task holds an unbounded
-list.  In a block the unit vectors are turned by a fixed random rotation and read in blocks of
-columns; after each block of columns a hypothesis test compares the distance so far, scaled up to
+brute force over the fitting sample, ``RECALL`` of the true nearest are in them.  The sample is no
+denser than the table, so its nearest are no nearer.  The ``FIRST`` nearest lists are searched first;
+their k-th best is the bound with which the others are.  Lists are cut into blocks of bounded size,
+a hot list into many, and a block's queries into groups of bounded size, so that no task holds an
+unbounded list.  In a block the unit vectors are turned by a fixed random rotation and read in blocks
+of columns; after each block of columns a hypothesis test compares the distance so far, scaled up to
 all dimensions, with the query's k-th best: a candidate whose scaled distance is too large for
 chance is abandoned.  The survivors' exact cosines are computed in double precision from the
 original vectors.
@@ -30,11 +33,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 SAMPLE = 20_000
-MAX_LISTS = 2048
-PROBE = 0.6  # of the lists, at least
-RECALL = 0.97  # of the true nearest in the probed lists, measured at fit time
+COARSE = 1024  # centres fitted on whole vectors
+RECALL = 0.98  # of the true nearest in the probed lists, measured at fit time
 TRIED = 500  # queries of that measurement
-LEAST_PROBES = 8
+FIRST = 8  # lists that a query probes for its bound, and the fewest it probes
 BLOCK = 4096  # vectors of a list in one task's block
 GROUP = 2048  # queries of a block's group
 COLUMNS = 16
@@ -56,24 +58,57 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-300)
 
 
-def fit_lists(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
+def _rows(column) -> np.ndarray:
+    """An Arrow column of lists of equal length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _k_means(v: np.ndarray, k: int, rounds: int, unit: bool) -> np.ndarray:
     rng = np.random.default_rng(SEED)
-    v = _unit(sample).astype(np.float32)
-    c = v[rng.permutation(len(v))[:lists]].copy()
+    c = v[rng.permutation(len(v))[:k]].copy()
     for _ in range(rounds):
-        of = (v @ c.T).argmax(axis=1)
+        of = (v @ c.T - (0 if unit else (c * c).sum(axis=1) / 2)).argmax(axis=1)
         total = np.zeros_like(c)
         np.add.at(total, of, v)
-        empty = np.bincount(of, minlength=len(c)) == 0
-        total[empty] = v[rng.integers(len(v), size=int(empty.sum()))]
-        c = _unit(total).astype(np.float32)
+        n = np.bincount(of, minlength=len(c))
+        total[n == 0] = v[rng.integers(len(v), size=int((n == 0).sum()))]
+        c = (_unit(total) if unit else total / np.maximum(n, 1)[:, None]).astype(np.float32)
     return c
 
 
-def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float = RECALL) -> int:
+class Lists:
+    """The lists' centres: coarse ones, and centres of what they leave over."""
+
+    def __init__(self, sample: np.ndarray, lists: int, rounds: int = 10):
+        v = _unit(sample).astype(np.float32)
+        self.coarse = _k_means(v, min(lists, COARSE, len(v)), rounds, True)
+        fine = -(-lists // COARSE)
+        left = v - self.coarse[(v @ self.coarse.T).argmax(axis=1)]
+        self.fine = _k_means(left, min(fine, len(v)), rounds, False) if fine > 1 else np.zeros((1, v.shape[1]), np.float32)
+        self.centres = _unit((self.coarse[:, None] + self.fine).reshape(-1, v.shape[1])).astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.centres)
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        """The list that holds each unit vector."""
+        c = (v @ self.coarse.T).argmax(axis=1)
+        if len(self.fine) == 1:
+            return c
+        return c * len(self.fine) + ((v - self.coarse[c]) @ self.fine.T - (self.fine * self.fine).sum(axis=1) / 2).argmax(axis=1)
+
+    def ranked(self, v: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest lists of each unit vector, nearest first."""
+        near = -(v @ self.centres.T)
+        some = np.argpartition(near, n - 1, axis=1)[:, :n]
+        return np.take_along_axis(some, np.take_along_axis(near, some, axis=1).argsort(axis=1, kind="stable"), axis=1)
+
+
+def probes_for(sample: np.ndarray, lists: Lists, k: int, recall: float = RECALL) -> int:
     """How many lists a query must probe so that they hold this share of its k nearest."""
     v = _unit(sample).astype(np.float32)
-    of, ranks = (v @ centres.T).argmax(axis=1), []
+    of, ranks = lists.of(v), []
     k = min(k, len(v) - 1)
     if k < 1:
         return 1
@@ -82,7 +117,7 @@ def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float =
         s = v[at] @ v.T
         s[np.arange(len(at)), at] = -np.inf
         near = of[np.argpartition(-s, k - 1, axis=1)[:, :k]]
-        place = np.argsort(np.argsort(-(v[at] @ centres.T), axis=1), axis=1)
+        place = np.argsort(np.argsort(-(v[at] @ lists.centres.T), axis=1), axis=1)
         ranks.append(np.take_along_axis(place, near, axis=1).ravel())
     ranks = np.sort(np.concatenate(ranks))
     return int(ranks[min(len(ranks), int(np.ceil(recall * len(ranks)))) - 1]) + 1
@@ -93,20 +128,21 @@ def rotation(dims: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def adaptive_scan(x: np.ndarray, q: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> list[np.ndarray]:
+def adaptive_scan(x: np.ndarray, q: np.ndarray, k: int, bounds: np.ndarray | None = None, columns: int = COLUMNS, epsilon: float = EPSILON) -> list[np.ndarray]:
     """For each row of q places of x that may be among its k nearest (x, q: rotated unit rows).
+    bounds: squared distances within which a row's nearest are known to be.
 
     Each column block's squared distances are summed for all rows that are still in; a row
     leaves if its distance so far * dims / columns so far > best * (1 + epsilon / sqrt(columns so far))^2.
     """
     dims, out = x.shape[1], []
     edges = [*range(columns, dims, columns), dims]
-    for row in q:
+    for row, bound in zip(q, np.full(len(q), np.inf) if bounds is None else bounds, strict=True):
         places, best = np.zeros(0, np.int64), np.zeros(0, np.float32)
         for at in range(0, len(x), 512):
             part = x[at : at + 512]
             alive, so_far, begin = np.arange(len(part)), np.zeros(len(part), np.float32), 0
-            limit = np.partition(best, k - 1)[k - 1] if len(best) >= k else np.inf
+            limit = min(bound, np.partition(best, k - 1)[k - 1]) if len(best) >= k else bound
             for end in edges:
                 d = part[alive, begin:end] - row[begin:end]
                 so_far = so_far + np.einsum("ij,ij->i", d, d)
@@ -129,7 +165,40 @@ def adaptive_scan(x: np.ndarray, q: np.ndarray, k: int, columns: int = COLUMNS,
     return out
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, probe: float = PROBE) -> DataFrame:
+def _search(k: int):
+    """What one task does: the best of a block for a group of queries."""
+
+    def run(x: pa.Table, q: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if len(x) and len(q):
+            xu, qu = _unit(_rows(x.column("e"))), _unit(_rows(q.column("vector")))
+            turn, ids = rotation(xu.shape[1]), x.column("ids").to_pylist()
+            bounds = np.array([np.inf if b is None else b for b in q.column("bound").to_pylist()])
+            places = adaptive_scan((xu @ turn).astype(np.float32), (qu @ turn).astype(np.float32), k, bounds)
+            for key, unit, at in zip(q.column("asked").to_pylist(), qu, places, strict=True):
+                score = np.clip(xu[at] @ unit, -1.0, 1.0)
+                best = sorted(zip((-score).tolist(), at.tolist(), strict=True), key=lambda r: (r[0], ids[r[1]][0]))[:k]
+                found += [(key, -s, ids[p]) for s, p in best]
+        cols = [list(c) for c in zip(*found, strict=True)] if found else [[], [], []]
+        return pa.table({"key": pa.array(cols[0], pa.int64()), "score": pa.array(cols[1], pa.float64()), "ids": pa.array(cols[2], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _scan(data: DataFrame, probing: DataFrame, k: int) -> DataFrame:
+    """key, score, ids: the best k of each list probed, by tiles of a block and a group of queries.
+    data: list, key, e, ids; probing: list, key, e, bound."""
+    probing = checkpoint(probing)
+    blocks = data.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    groups = probing.groupBy("list").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    plan = blocks.join(groups, "list")  # a row a list
+    left = data.join(plan, "list").select("list", F.pmod("key", F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "key", "e", "ids")
+    right = probing.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod("key", F.col("groups")).cast("int").alias("grp"), F.col("key").alias("asked"), F.col("e").alias("vector"), "bound")
+    tile = ["list", "block", "grp"]
+    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_search(k), "key long, score double, ids array<long>")
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score for the rows where ``is_query`` (a column) holds."""
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -140,56 +209,36 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, probe: float = PROBE) -> D
     reps = checkpoint(few.groupBy("e").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("key", by))
     asked = rows.filter(is_query).select("vec_id", by.alias("key")).distinct()
     total = reps.count()
-    out_schema = "query_id long, rank int, vec_id long, score double"
     if not total:
-        return spark.createDataFrame([], out_schema)
-    lists = int(min(MAX_LISTS, max(1, round(total**0.5 / 2))))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.array([r[0] for r in reps.orderBy("key").select("e").limit(SAMPLE).collect()])  # SAMPLE rows at most
-    centres = fit_lists(sample, min(lists, len(sample)))
-    held = spark.sparkContext.broadcast(centres)  # MAX_LISTS * dims floats at most
-    lists = len(held.value)
-    probes = min(lists, max(LEAST_PROBES, round(probe * lists), probes_for(sample, centres, k)))
-
-    def place(n: int):
-        def run(batches):
-            for b in batches:
-                if not len(b):
-                    continue
-                v = _unit(np.array(b.column(1).to_pylist())).astype(np.float32)
-                near = v @ held.value.T
-                best = near.argmax(axis=1)[:, None] if n == 1 else np.argpartition(-near, n - 1, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["key", "lists"])
-
-        return run
-
-    listed = reps.select("key", "e").mapInArrow(place(1), "key long, lists array<int>").select("key", F.col("lists")[0].alias("list"))
+    lists = Lists(sample, max(1, round(total**0.5 / 2)))
+    probes = min(len(lists), max(FIRST, probes_for(sample, lists, k)))
+    held = spark.sparkContext.broadcast(lists)  # as many floats as half the square root of the table's rows
+
+    def place(batches):
+        for b in batches:
+            if len(b):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.of(_unit(_rows(b.column(1))).astype(np.float32)).astype(np.int32))], names=["key", "list"])
+
+    def probe(batches):
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                near = held.value.ranked(_unit(_rows(part.column(1))).astype(np.float32), probes).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(near), pa.list_(pa.int32()))], names=["key", "lists"])
+
+    listed = reps.select("key", "e").mapInArrow(place, "key long, list int")
     data = checkpoint(reps.join(listed, "key"))
-    sizes = data.groupBy("list").agg(F.count("*").alias("n"))  # MAX_LISTS rows at most
-    blocks = sizes.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     queries = reps.join(asked.select("key").distinct(), "key", "left_semi").select("key", "e")
-    probing = queries.mapInArrow(place(probes), "key long, lists array<int>").select("key", F.explode("lists").alias("list"))
-    probing = checkpoint(probing.join(queries, "key"))
-    groups = probing.groupBy("list").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    plan = F.broadcast(blocks.join(groups, "list"))  # MAX_LISTS rows at most
-    left = data.join(plan, "list").select("list", F.pmod("key", F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "key", "e", "ids")
-    right = probing.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod("key", F.col("groups")).cast("int").alias("grp"), "key", "e")
-
-    def search(x, q):
-        found: list[tuple] = []
-        if len(x) and len(q):
-            xe, qe = np.array(x.column("e").to_pylist()), np.array(q.column("e").to_pylist())
-            xu, qu, turn = _unit(xe), _unit(qe), rotation(xe.shape[1])
-            ids = x.column("ids").to_pylist()
-            places = adaptive_scan((xu @ turn).astype(np.float32), (qu @ turn).astype(np.float32), k + 1)
-            for key, unit, at in zip(q.column("key").to_pylist(), qu, places, strict=True):
-                score = np.clip(xu[at] @ unit, -1.0, 1.0)
-                best = sorted(zip((-score).tolist(), at.tolist(), strict=True), key=lambda r: (r[0], ids[r[1]][0]))[: k + 1]
-                found += [(key, -s, ids[p]) for s, p in best]
-        cols = [list(c) for c in zip(*found, strict=True)] if found else [[], [], []]
-        return pa.table({"key": pa.array(cols[0], pa.int64()), "score": pa.array(cols[1], pa.float64()), "ids": pa.array(cols[2], pa.list_(pa.int64()))})
-
-    tile = ["list", "block", "grp"]
-    hits = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(search, "key long, score double, ids array<long>")
+    ranked = checkpoint(queries.mapInArrow(probe, "key long, lists array<int>"))
+    probing = lambda of, begin, n: of.join(ranked, "key").select("key", "e", "bound", F.explode(F.slice("lists", begin, n)).alias("list"))
+    unbound = queries.withColumn("bound", F.lit(None).cast("double"))
+    hits = checkpoint(_scan(data, probing(unbound, 1, FIRST), k + 1))
+    if probes > FIRST:
+        kth = F.get(F.sort_array(F.collect_list("score"), False), k)  # FIRST * (k + 1) at most a block; null: fewer found
+        bounds = hits.groupBy("key").agg((2 - 2 * kth + 1e-6).alias("bound"))
+        hits = hits.unionByName(_scan(data, probing(queries.join(bounds, "key", "left"), FIRST + 1, probes), k + 1))
     one = hits.select("key", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     top = one.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1)
