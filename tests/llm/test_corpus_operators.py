@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from taperflow.llm import ann, langid, linededup, lm, sharding, simhash, toxicity
+from taperflow.llm import ann, langid, linededup, lm, queries, sharding, simhash, toxicity
 from taperflow.llm.common import doc_crc32, near_first
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _t string, _later int, fp string, lines_removed string"
@@ -52,35 +52,50 @@ def brute_groups(ids, fps):
     return {i: least[find(k)] for k, i in enumerate(ids)}
 
 
-@pytest.mark.parametrize("hot", [2, 64])
-def test_near_groups(spark, hot):
+def test_near_groups(spark):
     rnd = random.Random(5)
     base = [words(rnd, 120) for _ in range(12)]
     texts = [*base, *(b.replace(b.split()[k], "new", 1) for k, b in enumerate(base)), *base[:4], base[0] + " tail", "", None, "  ", "one", "one two", "ONE two", "a" * 50_000, "x y z " * 3000]
-    got = {r["doc_id"]: r for r in simhash.near_groups(frame(spark, texts), hot).collect()}
+    got = {r["doc_id"]: r for r in simhash.near_groups(frame(spark, texts)).collect()}
     fps = [brute_fingerprint(t) for t in texts]
     assert [got[k]["fp"] & (1 << 64) - 1 for k in range(len(texts))] == fps
     assert {k: r["component_id"] for k, r in got.items()} == brute_groups(range(len(texts)), fps)
-    kept = {r["doc_id"] for r in simhash.keep_first(frame(spark, texts), hot).collect()}
+    kept = {r["doc_id"] for r in simhash.keep_first(frame(spark, texts)).collect()}
     assert kept == set(brute_groups(range(len(texts)), fps).values())
 
 
-@pytest.mark.parametrize("hot", [1, 5, 10_000])
-def test_links_lose_no_pair(spark, hot):
+@pytest.mark.parametrize("crowded", [False, True])
+def test_links_lose_no_pair(spark, crowded):
     rnd = random.Random(2)
     fps = {rnd.getrandbits(64) for _ in range(60)}
+    if crowded:  # one large group of words that differ in a few bits of either half
+        fps |= {sum(rnd.getrandbits(1) << b for b in (0, 1, 5, 13, 17, 30, 31, 33, 47, 48, 62, 63)) for _ in range(700)}
     for f in [*fps][:40]:
         for _ in range(4):
             f ^= 1 << rnd.randrange(64)
             fps.add(f)
             fps.add(f ^ 1 << rnd.randrange(64))
     fps = sorted(f - (f >> 63 << 64) for f in fps)
-    roots = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), hot)).collect()
-    got = {r["node"]: r["root"] for r in roots}
-    want = brute_groups(fps, fps)
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    assert {tuple(sorted(r)) for r in edges.collect()} == {(b, a) for k, a in enumerate(fps) for b in fps[:k] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    want = brute_groups(fps, [f & (1 << 64) - 1 for f in fps])
     assert {f: got.get(f, f) for f in fps} == want
 
 
+def test_anchors_compare_few_of_a_crowd(spark):
+    fps = [(a << 32 | a * 7 & 0xFFFFFFFF, "x") for a in range(1, 3000)]
+    at = simhash.at_anchors(spark.createDataFrame(fps, "fp long, x string").select("fp"))
+    assert at.count() <= 38 * len(fps)
+    assert at.groupBy("code", "key", "block").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_components_of_a_long_chain(spark):
+    n = 500
+    edges = spark.createDataFrame([(k * 7 % n, (k + 1) * 7 % n) for k in range(n - 1)], "a long, b long").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+
+
 def test_near_groups_of_nothing_and_repeated_rows(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     docs = frame(spark, ["a b c d e", "a b c d e"]).unionByName(frame(spark, ["a b c d e"]))
@@ -88,11 +103,21 @@ def test_near_groups_of_nothing_and_repeated_rows(spark):
     assert simhash.keep_first(docs).count() == 1
 
 
-@pytest.mark.parametrize("chunk", [40, 500_000])
-def test_language_model(spark, chunk):
+def expect(events, n, v, rounds=200):
+    """Weights by expectation-maximisation on the held-out events themselves."""
+    parts = np.array([[f2, f1, 1 / (v + 1)] for f2, f1 in events])
+    lam = np.array([0.4, 0.4, 0.2])
+    for _ in range(rounds):
+        joint = parts * lam
+        lam = (joint / joint.sum(axis=1, keepdims=True)).mean(axis=0)
+    return lam
+
+
+@pytest.mark.parametrize(("chunk", "fan"), [(40, 3), (40, 512), (500_000, 512)])
+def test_language_model(spark, chunk, fan):
     rnd = random.Random(1)
     texts = [words(rnd, rnd.randrange(1, 60), 30) for _ in range(60)] + ["", None, "Same Same same", "Same Same same", "a b " * 2000]
-    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
+    held = [k % 5 == 3 for k in range(len(texts))]
     tokens = [[*(t or "").encode().lower().split(), None] for t in texts]
     uni, bi, ctx = collections.Counter(), collections.Counter(), collections.Counter()
     for t, h in zip(tokens, held, strict=True):
@@ -104,13 +129,20 @@ def test_language_model(spark, chunk):
     n, v = sum(uni.values()), len(uni)
     seen = []
     learn = lm.learn_weights
-    lm.learn_weights = lambda g, k, **kw: seen.append(learn(g, k, **kw)) or seen[-1]
+    lm.learn_weights = lambda *a, **kw: seen.append(learn(*a, **kw)) or seen[-1]
     try:
-        got = {r["doc_id"]: r for r in lm.score_documents(frame(spark, texts), doc_crc32() % 7 == 2, chunk).collect()}
+        got = {r["doc_id"]: r for r in lm.score_documents(frame(spark, texts), F.col("doc_id") % 5 == 3, chunk, fan).collect()}
     finally:
         lm.learn_weights = learn
     w = seen[0]
     assert np.allclose(w.sum(axis=1), 1)
+    events = collections.defaultdict(list)
+    for (a, b), c in bi.items():
+        events[1 + int(math.log2(ctx[a] - 1)) if ctx[a] > 1 else 0] += [((c - 1) / max(1, ctx[a] - 1), (uni[b] - 1) / (n - 1))] * c
+    for bucket, e in events.items():
+        if bucket:
+            mine, best = (np.log(np.array([[*x, 1 / (v + 1)] for x in e]) @ lam).mean() for lam in (w[bucket], expect(e, n, v)))
+            assert mine > best - 0.005
     for k, t in enumerate(tokens):
         r = got[k]
         p = base = 0.0
@@ -123,6 +155,15 @@ def test_language_model(spark, chunk):
     assert lm.score_documents(frame(spark, []), doc_crc32() % 7 == 2).count() == 0
 
 
+def test_rare_words_of_a_large_corpus_keep_their_frequency():
+    for n in (10**3, 10**8, 10**15):  # the grid reaches down to 1 / n
+        f = np.array([1 / n, 3 / n, 1.0, 0.0])
+        cell = lm._cell(f)
+        assert cell.max() < lm._grid(n) and cell[3] == 0
+        assert np.all(np.abs(np.log2(lm._value(cell)[:3] / f[:3])) <= lm.STEP / 2 + 1e-9)
+        assert lm._bucket_of(np.array([n]))[0] < lm._buckets(n)
+
+
 def passages(rnd):
     p = [[words(rnd, rnd.randrange(8, 40)) for _ in range(5)] for _ in range(4)]
     own = lambda: [words(rnd, rnd.randrange(1, 30)) for _ in range(rnd.randrange(0, 6))]
@@ -152,6 +193,36 @@ def test_line_dedup_equals_sql_and_keeps_first(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def brute_tree(rows, shards):
+    """Shard of each row (size, tie, coordinates) by recursion on lists."""
+    out = {}
+
+    def split(part, first, m):
+        if m == 1 or not part:
+            out.update((k, first) for k in part)
+            return
+        width = lambda d: max(rows[k][d] for k in part) - min(rows[k][d] for k in part)
+        d = max(sharding.DIMENSIONS, key=lambda d: (width(d), -sharding.DIMENSIONS.index(d)))
+        key = lambda k: (rows[k][d] << 47) + rows[k]["tie"]
+        goal = sum(rows[k]["size"] for k in part) * (m // 2) / m
+        best, upto = None, 0
+        keys = sorted({key(k) for k in part})
+        sums = collections.Counter()
+        for k in part:
+            sums[key(k)] += rows[k]["size"]
+        cut = None
+        for x in keys:
+            if upto + sums[x] >= goal:
+                cut = x if upto + sums[x] - goal < goal - upto else x - 1
+                break
+            upto += sums[x]
+        split([k for k in part if key(k) <= cut], first, m // 2)
+        split([k for k in part if key(k) > cut], first + m // 2, m - m // 2)
+
+    split(list(range(len(rows))), 0, shards)
+    return out
+
+
 def test_shards(spark):
     rnd = random.Random(4)
     texts = [words(rnd, rnd.randrange(1, 300)) for _ in range(600)] + ["hot text " * 40] * 400 + [None, ""]
@@ -173,6 +244,22 @@ def test_shards(spark):
     assert len(few) == 3 and all(0 <= r["shard"] < 24 for r in few)
 
 
+def test_repeated_rows_can_be_cut_apart(spark):
+    one = frame(spark, ["same text again"])
+    docs = one.crossJoin(spark.range(0, 960, 1, 4).select()).select(one.columns)
+    sizes = [r["n"] for r in sharding.assign(docs).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 24 and min(sizes) >= 35 and max(sizes) <= 45
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_shards_equal_a_tree_by_recursion(spark, sf):
+    sf = f"/root/testdata/{sf}"
+    rows = [r.asDict() for r in sharding.metadata(spark.read.parquet(f"{sf}/documents.parquet")).collect()]
+    want = brute_tree(rows, 24)
+    got = {r["doc_id"]: r["shard"] for r in queries.op5_kd_tree(spark, sf).collect()}
+    assert got == {r["doc_id"]: want[k] for k, r in enumerate(rows)}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     v = rng.standard_normal((600, 16)).astype(np.float32)
@@ -237,6 +324,94 @@ def test_language_id(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rnd = random.Random(3)
+    own = [[f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("qu", "zor", "min")] for k in range(70)]
+    texts = [" ".join(rnd.choice(own[k % 70]) for _ in range(30)) for k in range(700)]
+    langs = [f"l{k % 70:02d}" for k in range(700)]
+    docs = frame(spark, texts, langs)
+    model = langid.fit(docs, ~langid.held_out())
+    assert len(model.languages) == 70
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert np.mean([got[k] == langs[k] for k in range(700) if zlib.crc32(str(k).encode()) % 3 == 1]) > 0.95
+
+
+def plain_grams(text):
+    """Hashed n-gram counts, one by one."""
+    x = b" " + langid._letters(text) + b" "
+    out = collections.Counter()
+    for k in range(len(x)) if len(x) > 2 else ():
+        m = 0xFFFFFFFF
+        hashes = [x[k] * 3266489917]
+        if k + 1 < len(x):
+            hashes.append((x[k] * 257 + x[k + 1]) * 2246822519)
+        if k + 2 < len(x):
+            hashes.append((x[k] * 257 + x[k + 1]) * 65599 + x[k + 2] * 2654435761)
+        for h in hashes:
+            out[((h & m) ^ (h & m) >> 15) % langid.DIMS] += 1
+    return out
+
+
+def test_language_query_equals_plain_cosines(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = [(r["doc_id"], r["lang"]) for r in docs.collect()]
+    model = langid.fit(docs, ~langid.held_out())
+    learn = [plain_grams(texts[d]) for d, lang in rows if lang is not None and texts[d] is not None and zlib.crc32(str(d).encode()) % 3 != 1]
+    df = collections.Counter(p for g in learn for p in g)
+    idf = {p: math.log((1 + sum(map(bool, learn))) / (1 + df[p])) + 1 for p in range(langid.DIMS)}
+    assert np.allclose(model.idf, [idf[p] for p in range(langid.DIMS)])
+    for r in queries.op4_nearest_centroid(spark, sf).collect():
+        t = texts[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if not t or not any(c.isalpha() for c in t):
+            assert r["lang_pred"] == "und"
+            continue
+        v = {p: math.log1p(c) * idf[p] for p, c in plain_grams(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * c[p] for p, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(cos)), key=lambda k: cos[k])
+        assert abs(r["score"] - cos[best]) < 1e-4
+        assert r["lang_pred"] == model.languages[model.owner[best]]
+
+
+def test_toxicity_query_equals_plain_sums(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    chain = toxicity.fit(docs, labels, queries.TOXIC_CHAIN)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op2_classifier_chain(spark, sf).collect():
+        found = {zlib.crc32(w.encode()) % toxicity.DIMS for w in toxicity._WORD.findall((texts[r["doc_id"]] or "").lower())}
+        p = []
+        for link in chain.links:
+            z = link.bias + sum(w for at, w in zip(link.place.tolist(), link.weight, strict=True) if at in found) + sum(a * b for a, b in zip(link.earlier, p, strict=True))
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))) if found else 0.0)
+        assert math.isclose(r["p_low_quality"], p[0], rel_tol=1e-6, abs_tol=1e-9) and math.isclose(r["score"], p[1], rel_tol=1e-6, abs_tol=1e-9)
+        assert r["toxic"] == (p[1] >= toxicity.THRESHOLD)
+
+
+def test_toxicity_of_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    chain = toxicity.fit(docs, labels.filter(~out), queries.TOXIC_CHAIN)
+    x = toxicity.predict(docs, chain).join(labels.filter(out), "doc_id")
+    r = x.agg(*(F.count_if(F.expr(c)) for c in ("rejected AND toxic = 1", "rejected AND toxic = 0", "NOT rejected AND toxic = 1"))).first()
+    print("precision", r[0] / (r[0] + r[1]), "recall", r[0] / (r[0] + r[2]))
+    assert r[0] / (r[0] + r[1]) > 0.85 and r[0] / (r[0] + r[2]) > 0.85
+
+
+def test_conflicting_labels_are_toxic(spark):
+    docs = frame(spark, [f"{'nasty' if k % 2 else 'calm'} word {k % 7}" for k in range(80)])
+    lab = [(k, 0, int(k % 2), "x") for k in range(80)]
+    twice = spark.createDataFrame([*lab, *((k, 0, 0, "y") for k in range(80))], "doc_id long, low int, tox int, text string")
+    a, b = (toxicity.fit(docs, x, ("low", "tox")).links[1] for x in (twice, spark.createDataFrame(lab, "doc_id long, low int, tox int, text string")))
+    assert np.array_equal(a.weight, b.weight)
+
+
 def test_toxicity_chain(spark):
     rnd = random.Random(6)
     rows, labels = [], []
@@ -277,10 +452,10 @@ def test_out_of_fold_probabilities_are_less_certain():
 def test_near_first_keeps_the_smallest(spark):
     near = F.crc32(F.col("id").cast("string").cast("binary"))
     rows = spark.range(20_000).select("id", F.when(F.col("id") < 50, "rare").otherwise("hot").alias("kind"), near.alias("near"))
-    kept = rows.filter(near_first(F.col("near"), F.col("kind"), {"rare": 50, "hot": 19_950}, 200)).toPandas()
+    kept = near_first(rows, F.col("near"), "kind", {"rare": 50, "hot": 19_950}, 200).toPandas()
     every = rows.toPandas()
     for kind, n in (("rare", 50), ("hot", 200)):
         want = every[every.kind == kind].nsmallest(n, "near")
         assert set(want.id) <= set(kept[kept.kind == kind].id)
     assert 200 <= (kept.kind == "hot").sum() < 600
-    assert not len(rows.filter(near_first(F.col("near"), F.col("kind"), {}, 200)).toPandas())
+    assert not len(near_first(rows, F.col("near"), "kind", {}, 200).toPandas())

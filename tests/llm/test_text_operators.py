@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 import pytest
 from public_tokenizers import path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from taperflow.llm import bpe, media_ts, packing
+from taperflow.llm import bpe, media_ts, packing, queries
 
 SCHEMA = "doc_id long, text string, _k int, length int, media string"
 ODD = ["", "  a  b\n\n c ", "x<|endoftext|> y", " <|endoftext|><|endoftext|>", "\x1c\x1da \x85b　 c\xa0 d", "ΑΣ ΣΑΣ Ές", "it's I'LL we've 123 4५६ ²³ ﬁ Å é", "日本語テキスト 🙂🙂", "aaaaaaaa aaaa", "\r\n\r\n a\t\tb   ", "﻿x", "Ɛɛ İ ı ß ẞ", "\x01 a\x01b"]
@@ -43,6 +44,43 @@ def test_bpe_query_columns(spark):
     assert {r["decoded"] for r in full} == {r[1] or "" for r in rows()[:20]}
 
 
+def test_packing_keeps_extra_columns(spark):
+    names = ["_k", "_i", "_pid", "_mid", "_kind", "_n", "_before", "_base", "_full", "_tail", "k", "i", "mid", "pid", "base", "before"]
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(1, 4097), *(f"{c}{k}" for c in names)) for k in range(500)]
+    df = spark.createDataFrame(rows, ", ".join(["length int", *(f"{c} string" for c in names)]))
+    got = packing.harmonic_pack(df.withColumn("offset", F.lit("old"))).collect()
+    assert sorted(tuple(r[c] for c in ["length", *names]) for r in got) == sorted(rows)
+    with pytest.raises(Exception, match="length must be"):
+        packing.harmonic_pack(spark.createDataFrame([(5000,)], "length int")).collect()
+
+
+def test_media_query_keeps_units(spark):
+    sf = "/root/testdata/sf0.001"
+    got = queries.op8_transport_streams(spark, sf).collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        p = media_ts.padded(texts[r["doc_id"]])
+        media = media_ts.mux(p)
+        assert (r["payload_bytes"], r["payload_sha256"], r["media_bytes"], r["media_sha256"]) == (len(p), hashlib.sha256(p).hexdigest(), len(media), hashlib.sha256(media).hexdigest())
+        assert [u["at"] for u in r["units"]] == [*range(0, len(p), 16384)]
+        assert [(u["pts"], u["random_access"]) for u in r["units"]] == [(3600 * k, k % 8 == 0) for k in range(len(r["units"]))]
+
+
+def test_registered_queries_equal_the_library(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    byte, word = (Tokenizer.from_file(path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    for r in queries.op9_pair_index_bpe(spark, sf).collect():
+        ids = byte.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    ids = {d: [*word.encode(t, add_special_tokens=False).ids, 2] for d, t in texts.items()}
+    for r in queries.op1_harmonic_packing(spark, sf).collect():
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(np.array(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
 def test_cuts_are_near_reciprocals():
     for n in [*range(1, 300), 4095, 4096, 4097, 50_000]:
         cuts = packing.reciprocal_cuts(n)
