@@ -145,7 +145,18 @@ same AS (
   FROM diag JOIN l a ON a.d = diag.d AND a.t = diag.t JOIN l b ON b.d = diag.d0 AND b.t = diag.t0 AND b.pos = a.pos - diag.shift AND b.h = a.h
 ), hit AS (
   SELECT DISTINCT same.d, same.t, same.d0, same.t0, same.shift, same.island FROM same JOIN m USING (d, t, d0, t0, shift, pos)
-), dead AS (SELECT DISTINCT same.d, same.t, same.pos FROM same JOIN hit USING (d, t, d0, t0, shift, island)),
+), wr AS (
+  SELECT c.*, cum + w AS upto FROM c JOIN (SELECT DISTINCT d, t FROM p JOIN (SELECT g FROM p GROUP BY g HAVING count(*) > 1) USING (g)) USING (d, t)
+), wn AS (
+  SELECT *, list(h) OVER f AS a, sum(w) OVER f AS n, list(h) OVER b AS z, sum(w) OVER b AS m FROM wr
+  WINDOW f AS (PARTITION BY d, t ORDER BY cum RANGE BETWEEN CURRENT ROW AND {REPEAT - 1} FOLLOWING),
+    b AS (PARTITION BY d, t ORDER BY upto RANGE BETWEEN {REPEAT - 1} PRECEDING AND CURRENT ROW)
+), wf AS (
+  SELECT d, t, array_to_string(a, ',') AS key, pos AS s, pos + len(a) - 1 AS e FROM wn WHERE n >= {REPEAT}
+  UNION ALL SELECT d, t, array_to_string(z, ','), pos - len(z) + 1, pos FROM wn WHERE m - w >= {REPEAT}
+), wd AS (
+  SELECT d, t, unnest(range(s, e + 1)) AS pos FROM wf JOIN (SELECT key, min(row(d, t, s)) AS f FROM wf GROUP BY key) USING (key) WHERE row(d, t, s) > f
+), dead AS (SELECT DISTINCT same.d, same.t, same.pos FROM same JOIN hit USING (d, t, d0, t0, shift, island) UNION SELECT d, t, pos FROM wd),
 kept AS (
   SELECT d.doc_id, d.t, string_agg(d.x, chr(10) ORDER BY d.pos) FILTER (WHERE dead.pos IS NULL) AS text, count(dead.pos) AS n
   FROM (SELECT doc_id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS t, unnest(string_split(text, chr(10))) AS x,
