@@ -1,16 +1,19 @@
-"""Decline-curve arms as one relational plan.
+"""Decline-curve arms.
 
-Every arm is a row of a small table (exponent cap, window, uptime, guard, lag skip).  Series,
-arms and exponents are crossed, each (series, arm, exponent) is a closed-form regression over a
-window, and the exponent of least squared error is taken by ``min_by`` - no loops, no Python.
+An arm is a row of a small table (exponent cap, window, uptime, guard, lag skip).  Each series is
+packed into one row (the only shuffle) and an Arrow kernel fits all arms of a batch of series at
+once: every exponent of the grid is a closed-form regression over the window, first plain, then
+weighted over the months that weren't down, and the exponent of least squared error is taken.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TINY, hyperbolic
+from .packed import each, line, median, pack, padded, reported, windows
 
 DOWNTIME = 0.75
 UPTIME_MONTHS = 24
@@ -28,6 +31,7 @@ ARMS = [
     ("lag_skip_2_b_cap_1p0", 1.0, 36, True, False, 2),
 ]
 KEY = ["well_id", "phase", "arm"]
+B = np.array([k / 100 for k in range(30, 131, 5)])
 
 
 def arms_table(spark, names: list[str] | None = None) -> DataFrame:
@@ -35,67 +39,100 @@ def arms_table(spark, names: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "arm string, b_max double, win int, use_uptime boolean, guard boolean, skip int")
 
 
-def exponents(spark) -> DataFrame:
-    """0.30 .. 1.30 in steps of 0.05."""
-    return spark.range(30, 131, 5).select((F.col("id") / 100).alias("b"))
-
-
-def reported(series: DataFrame) -> DataFrame:
-    """Reported rows with idx (compact), n, the first peak's idx and the mean of the last three."""
-    whole = Window.partitionBy("well_id", "phase")
-    rows = series.filter("q IS NOT NULL AND NOT isnan(q)")
-    rows = rows.withColumns({"idx": F.row_number().over(whole.orderBy("t")) - 1, "n": F.count("*").over(whole)})
-    return rows.withColumns({"peak": F.max_by("idx", F.struct("q", -F.col("idx"))).over(whole), "level": F.avg(F.when(F.col("idx") >= F.col("n") - 3, F.col("q"))).over(whole)})
-
-
-def windowed(series: DataFrame, arms: DataFrame) -> DataFrame:
-    """Rows of each arm's fit window: tt (from 0), len (origin of forecasts), fit_len."""
-    x = reported(series).crossJoin(F.broadcast(arms))
-    x = x.withColumn("start", F.greatest("peak", F.col("n") - F.coalesce("win", "n"))).filter("idx >= start AND n >= 3")
-    length = F.col("n") - F.col("start")
-    x = x.withColumns({"len": length, "fit_len": F.when((F.col("skip") > 0) & (length > F.col("skip") + 2), length - F.col("skip")).otherwise(length)})
-    return x.withColumn("tt", F.col("idx") - F.col("start")).filter("tt < fit_len").select(*KEY, "tt", "q", "len", "fit_len", "b_max", "use_uptime", "guard")
-
-
-def _best(rows: DataFrame, grid: DataFrame, weighted: bool, name: str) -> DataFrame:
-    """The (qi, di, b) of least error for each key; rows: KEY, tt, q, b_max."""
-    by = Window.partitionBy(*KEY, "b")
-    x = rows.select(*KEY, "tt", "q", "b_max").join(F.broadcast(grid), grid["b"] <= F.col("b_max") + 1e-9)
-    x = x.withColumn("z", F.when(F.col("q") > 0, F.pow(F.greatest("q", F.lit(TINY)), -F.col("b"))))
-    if weighted:
-        x = x.withColumn("w", 1 / F.greatest("z", F.lit(TINY)))
-        x = x.withColumn("w", F.pow(F.least(F.greatest(F.col("w") / F.median("w").over(by), F.lit(0.1)), F.lit(10.0)), 2))
-        s = {k: F.sum(v).over(by) for k, v in {"s0": F.col("w"), "st": F.col("w") * F.col("tt"), "sz": F.col("w") * F.col("z"), "stt": F.col("w") * F.col("tt") * F.col("tt"), "stz": F.col("w") * F.col("tt") * F.col("z")}.items()}
-        x = x.withColumns(s).withColumn("c", (F.col("s0") * F.col("stz") - F.col("st") * F.col("sz")) / F.nullif(F.col("s0") * F.col("stt") - F.col("st") * F.col("st"), F.lit(0.0)))
-        x = x.withColumn("a", (F.col("sz") - F.col("c") * F.col("st")) / F.col("s0"))
-    else:
-        tt = F.when(F.col("z").isNotNull(), F.col("tt").cast("double"))
-        x = x.withColumns({"c": F.regr_slope(F.col("z"), tt).over(by), "a": F.regr_intercept(F.col("z"), tt).over(by)})
-    x = x.filter("a > 0 AND c IS NOT NULL").withColumn("c", F.greatest("c", F.lit(0.0)))
-    x = x.withColumns({"qi": F.pow("a", -1 / F.col("b")), "di": F.col("c") / (F.col("a") * F.col("b"))}).filter("di <= 1")
-    r = hyperbolic(F.col("tt"), F.col("qi"), F.col("di"), F.col("b")) - F.col("q")
-    sse = x.groupBy(*KEY, "b", "qi", "di").agg(F.sum(F.pow(r / F.col("q") if weighted else r, 2)).alias("sse"))
-    return sse.groupBy(*KEY).agg(F.min_by(F.struct("qi", "di", "b"), F.struct("sse", "b")).alias(name))
+def _curve(t: np.ndarray, qi: np.ndarray, di: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return qi / (1 + b * di * t) ** (1 / b)
+
+
+def _best(x: np.ndarray, on: np.ndarray, b: np.ndarray, weighted: bool) -> np.ndarray:
+    """(qi, di, b) of least error for each row, NaN without one; the smallest b of equal ones."""
+    t = np.arange(x.shape[1], dtype=float)
+    pos = (on & (x > 0))[:, :, None]
+    with np.errstate(all="ignore"):
+        z = np.where(pos, np.maximum(x, TINY)[:, :, None] ** -b, 0.0)
+        if weighted:
+            w = 1 / np.maximum(z, TINY)
+            rel = w / median(w, np.broadcast_to(pos, z.shape))[:, None]
+            w = np.where(pos, np.clip(rel, 0.1, 10) ** 2, 0)
+            tt = t[:, None]
+            s0, st, sz, stt, stz = (v.sum(axis=1) for v in (w, w * tt, w * z, w * tt * tt, w * tt * z))
+            det = s0 * stt - st * st
+            c = np.where(det != 0, (s0 * stz - st * sz) / det, np.nan)
+            a = (sz - c * st) / s0
+        else:
+            c, a = line(t[None, :, None], z, np.broadcast_to(pos, z.shape))
+        low = np.maximum(c, 0)
+        qi, di = a ** (-1 / b), low / (a * b)
+        good = (a > 0) & ~np.isnan(c) & (di <= 1)
+        r = _curve(t[:, None], qi[:, None], di[:, None], b) - x[:, :, None]
+        if weighted:
+            r = r / x[:, :, None]
+        sse = np.where(on[:, :, None], r * r, 0).sum(axis=1)
+        sse = np.where(good & ~np.isnan(sse), sse, np.inf)
+    pick = sse.argmin(axis=1)
+    rows = np.arange(len(x))
+    out = np.stack([qi[rows, pick], di[rows, pick], b[pick]])
+    return np.where(np.isfinite(sse[rows, pick]), out, np.nan)
+
+
+def _fit_arm(x: np.ndarray, n: np.ndarray, peak: np.ndarray, arm: tuple) -> dict[str, np.ndarray]:
+    """One arm for all series (rows of x, lengths n): qi, di, b, uptime, len; tail: reported over
+    fitted volumes, newest first, NaN where there is none."""
+    _, b_max, win, use_uptime, guard, skip = arm
+    start = np.maximum(peak, n - (n if win is None else win))
+    length = np.where(n >= 3, n - start, 0)
+    size = np.where((skip > 0) & (length > skip + 2), length - skip, length)
+    q, on = windows(x, start, size)
+    grid = B[b_max + 1e-9 >= B]
+    t = np.arange(q.shape[1], dtype=float)
+    p1 = _best(q, on, grid, False)
+    with np.errstate(all="ignore"):
+        trend = _curve(t, *p1[:, :, None])
+        keep = on & (q >= DOWNTIME * trend) & (q > 0)
+        low = on & ((q <= 0) | (q < DOWNTIME * trend))
+        enough = keep.sum(axis=1) >= 3
+        p2 = _best(q, keep & enough[:, None], grid, True)
+        p = np.where(enough & ~np.isnan(p2[0]) & ~np.isnan(p1[0]), p2, p1)
+        cap = _curve(t, *p[:, :, None])
+        near = on & (t >= (size - UPTIME_MONTHS)[:, None]) & (cap > 0)
+        uptime = np.where(near, q / cap, 0).sum(axis=1) / near.sum(axis=1)
+        uptime = np.where(use_uptime & near.any(axis=1), np.clip(uptime, 0, 1), 1.0)
+        depressed = guard & ((low & (t >= (size - 2)[:, None])).sum(axis=1) == 2)
+        back = size[:, None] - 1 - np.arange(q.shape[1])
+        at = np.maximum(back, 0)
+        tail = np.where((back >= 0) & (np.take_along_axis(cap, at, axis=1) > 0), np.take_along_axis(q, at, axis=1) / np.take_along_axis(cap, at, axis=1), np.nan)
+    none = np.isnan(p[0]) | depressed
+    gone = lambda v: np.where(none, np.nan, v)
+    return {"qi": gone(p[0]), "di": gone(p[1]), "b": gone(p[2]), "uptime": gone(uptime), "len": gone(length.astype(float)), "tail": tail}
+
+
+FIELDS = "arm string, qi double, di double, b double, uptime double, len double, level double, tail array<double>"
+
+
+def fit_packed(packed: DataFrame, arms: DataFrame | list[tuple], keys: list[str] | None = None, tail: int = 0) -> DataFrame:
+    """keys, arm, qi, di, b (null: no fit), uptime, len, level of packed series; tail: the newest
+    ratios of reported to fitted volumes."""
+    specs = arms if isinstance(arms, list) else [tuple(r) for r in arms.collect()]  # a row an arm
+
+    def kernel(series: list[np.ndarray]) -> list[dict[str, np.ndarray]]:
+        x, n = padded(series)
+        peak = np.where(np.arange(x.shape[1]) < n[:, None], x, -np.inf).argmax(axis=1)
+        level = np.array([s[-3:].mean() if len(s) else 0.0 for s in series])
+        out = []
+        for arm in specs:
+            got = _fit_arm(x, n, peak, arm)
+            got["tail"] = [r[:tail] for r in got["tail"]]
+            out.append(got | {"arm": [arm[0]] * len(n), "level": level})
+        return out
+
+    keys = keys or KEY[:2]
+    closed = packed.withColumn("q", reported())
+    got = each(closed, keys, FIELDS, kernel)
+    return got.withColumn("len", F.col("len").cast("int"))
 
 
 def fit(series: DataFrame, arms: DataFrame) -> DataFrame:
     """KEY, qi, di, b (null: no fit), uptime, len, level."""
-    spark = series.sparkSession
-    grid = exponents(spark)
-    x = windowed(series, arms)
-    first = x.join(_best(x, grid, False, "p1"), KEY)
-    trend = hyperbolic(F.col("tt"), F.col("p1.qi"), F.col("p1.di"), F.col("p1.b"))
-    marked = first.withColumns({"keep": (F.col("q") >= DOWNTIME * trend) & (F.col("q") > 0), "low": (F.col("q") <= 0) | (F.col("q") < DOWNTIME * trend)})
-    kept = marked.filter("keep").withColumn("kept", F.count("*").over(Window.partitionBy(*KEY))).filter("kept >= 3")
-    both = marked.join(_best(kept, grid, True, "p2"), KEY, "left").withColumn("p", F.coalesce("p2", "p1"))
-    capacity = hyperbolic(F.col("tt"), F.col("p.qi"), F.col("p.di"), F.col("p.b"))
-    ratio = F.when((F.col("tt") >= F.col("fit_len") - UPTIME_MONTHS) & (capacity > 0), F.col("q") / capacity)
-    uptime = F.when(F.first("use_uptime") & F.avg(ratio).isNotNull(), F.least(F.greatest(F.avg(ratio), F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
-    low = F.first("guard") & (F.count_if(F.col("low") & (F.col("tt") >= F.col("fit_len") - 2)) == 2)
-    fits = both.groupBy(*KEY).agg(F.first("p").alias("p"), F.first("len").alias("len"), uptime.alias("uptime"), low.alias("low"))
-    every = series.select("well_id", "phase").distinct().join(reported(series).groupBy("well_id", "phase").agg(F.first("level").alias("level")), ["well_id", "phase"], "left").crossJoin(F.broadcast(arms.select("arm")))
-    out = every.join(fits.filter(~F.col("low")), KEY, "left")
-    return out.select(*KEY, "p.qi", "p.di", "p.b", "uptime", "len", F.coalesce("level", F.lit(0.0)).alias("level"))
+    return fit_packed(pack(series), arms).drop("tail")
 
 
 def forecast(fits: DataFrame, horizon: int) -> DataFrame:
@@ -107,11 +144,9 @@ def forecast(fits: DataFrame, horizon: int) -> DataFrame:
 
 def capacity_ratios(series: DataFrame, months_back: int = 6) -> DataFrame:
     """well_id, phase, offset (months before the cutoff), ratio of reported to fitted capacity."""
-    spark = series.sparkSession
-    arm = arms_table(spark, ["bounded"])
-    x = windowed(series, arm).filter("len >= 3").join(fit(series, arm).select(*KEY, "qi", "di", "b"), KEY)
-    x = x.withColumns({"offset": F.col("fit_len") - F.col("tt"), "cap": hyperbolic(F.col("tt"), F.col("qi"), F.col("di"), F.col("b"))})
-    return x.filter((F.col("offset") <= months_back) & (F.col("cap") > 0)).select("well_id", "phase", F.col("offset").cast("int").alias("offset"), (F.col("q") / F.col("cap")).alias("ratio"))
+    fits = fit_packed(pack(series), arms_table(series.sparkSession, ["bounded"]), tail=months_back).filter("qi IS NOT NULL")
+    x = fits.select("well_id", "phase", F.posexplode("tail").alias("offset", "ratio"))
+    return x.filter("ratio IS NOT NULL AND NOT isnan(ratio)").withColumn("offset", (F.col("offset") + 1).cast("int"))
 
 
 def inner_score(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -128,15 +163,19 @@ ROUTED = ["bounded", "window_24", "window_48", "no_uptime", "recent_low_guard",
 
 
 def routed(series: DataFrame, horizon: int) -> DataFrame:
-    """The arm that does best on each series' own last months, refitted on all of them."""
+    """The arm that does best on each series' own last months, refitted on all of them.
+
+    Every arm is fitted on the whole series and on the part before its own hold-out in one pass over
+    the packed series; the scores are one aggregation."""
     spark = series.sparkSession
     names = [a[0] for a in ARMS if a[0] in ROUTED]
-    arms = arms_table(spark, names)
-    rows = reported(series).withColumn("ih", F.least(F.lit(6), F.floor(F.col("n") / 5))).withColumn("able", (F.col("ih") >= 3) & (F.col("n") - F.col("ih") >= 18))
-    train = rows.filter("able AND idx < n - ih").select("well_id", "phase", F.col("idx").alias("t"), "q")
-    held = rows.filter("able AND idx >= n - ih").select("well_id", "phase", (F.col("idx") - F.col("n") + F.col("ih") + 1).cast("int").alias("h"), F.col("q").alias("actual"))
-    scored = inner_score(forecast(fit(train, arms), 6).join(held, ["well_id", "phase", "h"]), KEY)
-    order = F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)])
+    arms = [a for a in ARMS if a[0] in ROUTED]
+    x = pack(series).withColumn("q", reported()).withColumn("n", F.size("q")).withColumn("ih", F.least(F.lit(6), F.floor(F.col("n") / 5)).cast("int"))
+    able = x.filter("ih >= 3 AND n - ih >= 18")
+    inner = able.select("well_id", "phase", F.slice("q", 1, F.col("n") - F.col("ih")).alias("q"))
+    held = able.select("well_id", "phase", F.posexplode(F.slice("q", F.col("n") - F.col("ih") + 1, F.col("ih"))).alias("h", "actual")).withColumn("h", F.col("h") + 1)
+    scored = inner_score(forecast(fit_packed(inner, arms), 6).join(held, ["well_id", "phase", "h"]), KEY)
+    order = F.create_map(*[F.lit(v) for k, n in enumerate(names) for v in (n, k)])
     best = scored.filter("score IS NOT NULL").groupBy("well_id", "phase").agg(F.min_by("arm", F.struct(F.round("score", 9), order[F.col("arm")])).alias("chosen"))
-    chosen = series.select("well_id", "phase").distinct().join(best, ["well_id", "phase"], "left").select("well_id", "phase", F.coalesce("chosen", F.lit("bounded")).alias("arm"))
-    return forecast(fit(series, arms).join(chosen, KEY, "left_semi"), horizon)
+    whole = fit_packed(x, arms).join(best, ["well_id", "phase"], "left").filter(F.col("arm") == F.coalesce("chosen", F.lit("bounded")))
+    return forecast(whole.drop("chosen", "tail"), horizon)

@@ -9,10 +9,11 @@ minima may get a lower error than a local search from a fixed start would find.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import each, pack, reported
+
 WINDOW = 36
 KEEP = 0.75
 UPTIME = 24
@@ -110,22 +111,13 @@ def control_batch(series: list[np.ndarray], horizon: int) -> np.ndarray:
     return out
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """well_id, phase, q: reported volumes in order."""
-    x = rows.filter("q IS NOT NULL AND NOT isnan(q)").groupBy("well_id", "phase").agg(F.array_sort(F.collect_list(F.struct("t", "q"))).alias("s"))
-    return rows.select("well_id", "phase").distinct().join(x, ["well_id", "phase"], "left").select("well_id", "phase", F.coalesce(F.transform("s", lambda r: r["q"].cast("double")), F.array().cast("array<double>")).alias("q"))
+def forecast_packed(series: DataFrame, horizon: int, keys: list[str] | None = None) -> DataFrame:
+    """keys, v (volumes of h = 1 ..) of packed series."""
+    closed = series.withColumn("q", reported())
+    return each(closed, keys or ["well_id", "phase"], "v array<double>", lambda batch: [{"v": control_batch(batch, horizon)}])
 
 
 def forecast(rows: DataFrame, horizon: int) -> DataFrame:
     """well_id, phase, h, volume; rows: well_id, phase, t, q."""
-    kind = dict(rows.dtypes)["well_id"]
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.slice(at, 512)
-                got = control_batch([np.array(x, float) for x in part.column("q").to_pylist()], horizon)
-                yield pa.RecordBatch.from_arrays([part.column("well_id"), part.column("phase"), pa.array(list(got), pa.list_(pa.float64()))], names=["well_id", "phase", "v"])
-
-    out = packed(rows).mapInArrow(run, f"well_id {kind}, phase string, v array<double>")
+    out = forecast_packed(pack(rows), horizon)
     return out.select("well_id", "phase", F.posexplode("v").alias("h", "volume")).withColumn("h", (F.col("h") + 1).cast("int"))
