@@ -47,16 +47,17 @@ def profiles(rows: DataFrame, groups: DataFrame, min_wells: int = 5) -> DataFram
 
 
 def cohort_forecast(rows: DataFrame, groups: DataFrame, shape: DataFrame, horizon: int, min_wells: int = 5, full: int = 20, thin: int = 18, most: float = 0.65, use_global: bool = True, annual: float | None = TERMINAL) -> DataFrame:
-    """well_id, phase, h, volume, weight, grp (the group used, own or global)."""
+    """well_id, phase, h, volume, weight, grp (the group used, own or, if use_global, the global one;
+    without it a well without a group has no rows)."""
     x = aged(rows)
     last = rows.groupBy("well_id", "phase").agg(F.max("t").alias("last"))
     tops = shape.groupBy("grp", "phase").agg(F.first("support").alias("support"), F.max("age").alias("top")).filter(F.col("support") >= min_wells)
     wells = x.groupBy("well_id", "phase").agg(F.first("n").alias("n"), F.first(F.col("t") - F.col("age")).alias("peak")).filter("n >= 2")
-    wells = wells.join(last, ["well_id", "phase"]).join(groups, "well_id", "left").withColumn("own", F.coalesce("grp", F.lit(GLOBAL))).drop("grp")
+    wells = wells.join(last, ["well_id", "phase"]).join(groups, "well_id", "left").withColumn("own", F.coalesce("grp", F.lit(GLOBAL if use_global else None))).drop("grp")
     own = tops.select(F.col("grp").alias("own"), "phase", F.lit(True).alias("_own"))
-    wells = wells.join(F.broadcast(own), ["own", "phase"], "left")
+    wells = wells.join(own, ["own", "phase"], "left")
     wells = wells.withColumn("grp", F.when(F.col("_own"), F.col("own")).when(F.lit(use_global), F.lit(GLOBAL)))
-    wells = wells.join(F.broadcast(tops), ["grp", "phase"])
+    wells = wells.join(tops, ["grp", "phase"])
     value = shape.select("grp", "phase", F.col("age").alias("at"), "value")
     three = trailing(rows, 3, True).join(wells.select("well_id", "phase", "grp", "peak", "top"), ["well_id", "phase"])
     three = three.withColumn("at", F.least(F.greatest(F.col("t") - F.col("peak"), F.lit(0)), F.col("top"))).join(value, ["grp", "phase", "at"])
@@ -99,10 +100,10 @@ def ratio_priors(slopes: DataFrame, groups: DataFrame) -> DataFrame:
 
 def ratio_forecast(slopes: DataFrame, priors: DataFrame, groups: DataFrame, primary: DataFrame, min_wells: int = 5, cap: float = 0.025, use_global: bool = True) -> DataFrame:
     """well_id, rel, h, volume of the secondary phase.  primary: well_id, h, volume."""
-    x = slopes.filter("n >= 3").join(groups, "well_id", "left").withColumn("grp", F.coalesce("grp", F.lit(GLOBAL)))
+    x = slopes.filter("n >= 3").join(groups, "well_id", "left").withColumn("grp", F.coalesce("grp", F.lit(GLOBAL if use_global else None)))
     own = priors.select("grp", "rel", F.col("prior").alias("own"), F.col("n").alias("own_n"))
     every = priors.filter(F.col("grp") == GLOBAL).select("rel", F.col("prior").alias("every"))
-    x = x.join(F.broadcast(own), ["grp", "rel"], "left").join(F.broadcast(every), "rel", "left")
+    x = x.join(own, ["grp", "rel"], "left").join(every, "rel", "left")
     sparse = F.col("own").isNull() | (F.col("own_n") < min_wells)
     prior = F.coalesce(F.when(sparse & F.lit(use_global), F.col("every")).otherwise(F.col("own")), F.lit(0.0))
     shrink = F.least(F.greatest(F.col("n") / 24, F.lit(0.20)), F.lit(0.65))

@@ -53,22 +53,23 @@ _still = Profile(recovery=False, cohort=False, ratios=False, streak_weight=0.0,
 _peers = replace(_still, cohort=True, need_group=True, min_wells=8, full_wells=30)
 _router = replace(_peers, recovery=True, streak_weight=0.35, candidate_better_weight=0.40, thin_weight=0.10, anchor_better_ratio=0.95, candidate_better_ratio=0.80)
 
+# Names and settings of the published profiles.
 PROFILES: dict[str, Profile] = {
-    "control": replace(_still, terminal=False),
+    "scipy_control": replace(_still, terminal=False),
     "anchor_only": _still,
     "candidate_gate": replace(_still, candidate_better_weight=0.40, candidate_better_ratio=0.80),
     "recovery_conservative": replace(_still, recovery=True, streak_weight=0.35),
     "cohort_conservative": _peers,
-    "selective_cohort": replace(_peers, terminal=False, need_group=False, primary_phases=("oil",), groups=("dj", "eagle_ford", "delaware"), phases=("oil",)),
-    "gated_cohort": replace(_peers, terminal=False, min_wells=12, full_wells=40, cohort_most=0.25, blend_space="log", min_age_support=8, max_log_mad=0.40, max_history_error=0.35, max_month_divergence=log(1.35), max_total_divergence=log(1.18), endpoint=(0.60, 1.60), endpoint_volatility=0.45),
+    "selective_cohort_v1": replace(_peers, terminal=False, need_group=False, primary_phases=("oil",), groups=("dj", "eagle_ford", "delaware"), phases=("oil",)),
+    "gated_cohort_v1": replace(_peers, terminal=False, min_wells=12, full_wells=40, cohort_most=0.25, blend_space="log", min_age_support=8, max_log_mad=0.40, max_history_error=0.35, max_month_divergence=log(1.35), max_total_divergence=log(1.18), endpoint=(0.60, 1.60), endpoint_volatility=0.45),
     "major_conservative": _router,
     "full_conservative": replace(_router, ratios=True, own_ratio_blend=0.97),
-    "all_layers": Profile(),
-    "linear_anchor": Profile(anchor="linear"),
+    "v12_fixed": Profile(),
+    "v11_regression": Profile(anchor="linear"),
     "candidates_only": Profile(anchor="none", recovery=False, cohort=False, ratios=False),
 }
 #: Kept for diagnosis only.
-DIAGNOSTIC = ("linear_anchor", "candidates_only")
+DIAGNOSTIC = ("v11_regression", "candidates_only")
 
 
 def names(production_only: bool = False) -> tuple[str, ...]:

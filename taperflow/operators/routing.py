@@ -1,27 +1,41 @@
 """The routed forecaster: candidates, anchor, recovery, cohorts and ratios in one relational plan.
 
-Backtests turn their origins into series of their own, so every stage is one plan over all
-series.  Branches that a profile can't take are never planned.
+Series are packed once; fits, backtests and the anchor are Arrow kernels over the packed rows, and
+backtest origins are slices of them.  Lineage is cut after the series, the fits and the backtests.
+Branches that a profile can't take are never planned.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import PHASES
+from ..functions.columns import PHASES, hyperbolic
 from . import arps, calendar, cohort, control, families, sequence
-from .metrics import routing_loss
+from .lineage import cut
+from .packed import each, pack, padded
 from .profiles import Profile
 
 KEY = ["well_id", "phase"]
 
 
-def anchor(rows: DataFrame, horizon: int, p: Profile) -> DataFrame:
-    """KEY, h, volume of the profile's anchor."""
+def anchor_volumes(packed: DataFrame, horizon: int, p: Profile, keys: list[str] = KEY) -> DataFrame:
+    """keys, v (volumes of h = 1 ..) of the profile's anchor."""
     if p.anchor == "control":
-        return control.forecast(rows, horizon)
-    return arps.forecast(arps.fit(rows, arps.arms_table(rows.sparkSession, ["bounded"])), horizon).drop("arm")
+        return control.forecast_packed(packed, horizon, keys)
+    arms = [a for a in arps.ARMS if a[0] == "bounded"]
+    at = lambda h: F.when(F.col("qi").isNotNull(), hyperbolic(F.col("len") + h - 1, F.col("qi"), F.col("di"), F.col("b")) * F.col("uptime")).otherwise(F.col("level"))
+    return arps.fit_packed(packed, arms, keys).select(*keys, F.transform(F.sequence(F.lit(1), F.lit(horizon)), at).alias("v"))
+
+
+def _long(volumes: DataFrame) -> DataFrame:
+    return volumes.select(*KEY, F.posexplode("v").alias("h", "volume")).withColumn("h", (F.col("h") + 1).cast("int"))
+
+
+def anchor(packed: DataFrame, horizon: int, p: Profile) -> DataFrame:
+    """KEY, h, volume of the profile's anchor."""
+    return _long(anchor_volumes(packed, horizon, p))
 
 
 def finalize(fc: DataFrame, p: Profile) -> DataFrame:
@@ -30,19 +44,18 @@ def finalize(fc: DataFrame, p: Profile) -> DataFrame:
     return y.select(*KEY, F.col("t").alias("h"), F.col("q").alias("volume"))
 
 
-def anchor_backtest(rows: DataFrame, p: Profile) -> DataFrame:
+def final_volumes(volumes: DataFrame, p: Profile, keys: list[str]) -> DataFrame:
+    """``finalize`` for arrays of equal length without gaps."""
+    last = families.terminal if p.terminal else lambda v: np.maximum(v, 0)
+    return each(volumes, keys, "v array<double>", lambda batch: [{"v": last(padded(batch)[0])}], "v")
+
+
+def anchor_backtest(packed: DataFrame, p: Profile) -> DataFrame:
     """KEY, anchor_score: on the origins and weights of the candidates' backtest."""
-    by = Window.partitionBy(*KEY)
-    pos = rows.withColumn("pos", F.row_number().over(by.orderBy("t")) - 1)
-    o = sequence.origins(rows).withColumn("key", F.concat_ws("|", "well_id", "horizon", "rank"))
-    x = pos.join(o, KEY).filter(F.col("pos") < F.col("cutoff") + F.col("horizon"))
-    held = x.filter("pos >= cutoff").select("key", "phase", "horizon", "rank", F.col("well_id").alias("id"), (F.col("pos") - F.col("cutoff") + 1).cast("int").alias("h"), F.col("q").alias("actual"))
-    able = held.groupBy("key", "phase").agg(F.count_if(F.col("actual") > 0).alias("n"), F.first("horizon").alias("hz")).filter(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("hz") / 2)))
-    held = held.join(able.select("key", "phase"), ["key", "phase"], "left_semi")
-    fc = finalize(anchor(x.filter("pos < cutoff").select(F.col("key").alias("well_id"), "phase", "t", "q"), 6, p), p)
-    loss = routing_loss(held.join(fc.withColumnsRenamed({"well_id": "key", "volume": "forecast"}), ["key", "phase", "h"]), ["key", "phase", "id", "rank"])
-    w = 1 / (1 + F.col("rank"))
-    return loss.groupBy(F.col("id").alias("well_id"), "phase").agg((F.sum(F.col("loss") * w) / F.sum(w)).alias("anchor_score"))
+    keys = [*KEY, "horizon", "rank", "held"]
+    o = families.backtest_origins(packed)
+    got = families.backtest_scores(o, final_volumes(anchor_volumes(o, 6, p, keys), p, keys), KEY)
+    return got.withColumnRenamed("score", "anchor_score")
 
 
 def disruption(rows: DataFrame, fits: DataFrame) -> DataFrame:
@@ -58,9 +71,23 @@ def disruption(rows: DataFrame, fits: DataFrame) -> DataFrame:
     return out.select(*KEY, "streak", low.alias("low"))
 
 
-def phase_forecasts(rows: DataFrame, horizon: int, p: Profile) -> tuple[DataFrame, DataFrame]:
-    """(KEY, h, volume) and diagnostics (KEY, model, route, weight, scores, flags, review)."""
-    spark = rows.sparkSession
+def _keeper(memo: dict | None):
+    """Makes and cuts a table once for each key."""
+    memo = {} if memo is None else memo
+
+    def once(key, make):
+        if key not in memo:
+            memo[key] = cut(make())
+        return memo[key]
+
+    return once
+
+
+def phase_forecasts(rows: DataFrame, horizon: int, p: Profile, memo: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(KEY, h, volume) and diagnostics (KEY, model, route, weight, scores, flags, review).  rows: one
+    a calendar month of each series; memo: keeps what other profiles on the same rows can use."""
+    once = _keeper(memo)
+    packed = once("packed", lambda: pack(rows))
     keys = rows.groupBy(*KEY).agg(F.count_if(F.col("q") > 0).alias("positive"), F.count("*").alias("history"))
     thin = F.col("positive") < p.thin_months
     if p.anchor_alone:
@@ -68,22 +95,21 @@ def phase_forecasts(rows: DataFrame, horizon: int, p: Profile) -> tuple[DataFram
         d = keys.join(steps, KEY, "left").withColumn("volatile", F.coalesce((F.col("m") >= 4) & (F.col("sd") > 0.35), F.lit(False)))
         flags = F.filter(F.array(F.when(thin, "thin_history"), F.when(F.col("volatile"), "volatile_tail")), lambda f: f.isNotNull())
         review = F.least(F.lit(100), F.when(thin, 35).otherwise(0) + F.when(F.col("volatile"), 25).otherwise(0))
-        return finalize(anchor(rows, horizon, p), p), d.select(*KEY, F.lit(f"{p.anchor}_anchor").alias("model"), F.lit("anchor_only_fast_path").alias("route"), F.lit(0.0).alias("weight"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("anchor_score"), flags.alias("flags"), review.alias("review"))
+        return finalize(anchor(packed, horizon, p), p), d.select(*KEY, F.lit(f"{p.anchor}_anchor").alias("model"), F.lit("anchor_only_fast_path").alias("route"), F.lit(0.0).alias("weight"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("anchor_score"), flags.alias("flags"), review.alias("review"))
 
-    rows = rows.persist()
-    specs = families.candidates(spark)
-    win = keys.select(*KEY).join(families.winners(families.backtest(rows, specs, p.terminal)), KEY, "left").select(*KEY, F.coalesce("name", F.lit("hyper_36")).alias("name"), "score")
-    every = families.fit(rows, specs).persist()
-    fits = every.join(win.select(*KEY, "name"), families.KEY, "left_semi")
+    specs = families.CANDIDATES
+    scored = once(("scored", p.terminal), lambda: families.backtest_packed(packed, specs, p.terminal))
+    win = keys.select(*KEY).join(families.winners(scored), KEY, "left").select(*KEY, F.coalesce("name", F.lit("hyper_36")).alias("name"), "score")
+    fits = once(("fits", p.terminal), lambda: families.fit_packed(packed, specs).join(win.select(*KEY, "name"), families.KEY, "left_semi"))
     back = sequence.fallback(rows, horizon, sequence.TERMINAL if p.terminal else None).withColumnRenamed("volume", "flat")
     own = families.forecast(fits, horizon, p.terminal)
     mixed = back.join(own, [*KEY, "h"], "left").select(*KEY, "h", F.coalesce("volume", "flat").alias("own"))
     state = disruption(rows, fits)
     if p.recovery:
-        skips = spark.createDataFrame([(f"skip{k}", "hyperbolic", 36, k) for k in (1, 2, 3)], "name string, family string, window int, skip int")
+        skips = [(f"skip{k}", "hyperbolic", 36, k) for k in (1, 2, 3)]
         upset = state.filter("low OR streak > 0").join(sequence.past_recovery(rows), KEY)
         upset = upset.withColumn("name", F.concat(F.lit("skip"), F.least(F.lit(3), F.greatest(F.lit(1), F.col("streak"))).cast("string")))
-        again = families.forecast(families.fit(rows.join(upset.select(*KEY), KEY, "left_semi"), skips), horizon, p.terminal).join(upset, families.KEY)
+        again = families.forecast(families.fit_packed(packed.join(upset.select(*KEY), KEY, "left_semi"), skips), horizon, p.terminal).join(upset, families.KEY)
         r, s = F.col("recovered"), F.col("streak")
         w = F.when((s >= 3) & ~r, 0.20).when(s >= 2, F.when(r, 0.65).otherwise(0.45)).when(s == 1, F.when(r, 0.85).otherwise(0.72)).otherwise(F.when(r, 0.92).otherwise(0.86))
         by = Window.partitionBy(*KEY)
@@ -96,13 +122,13 @@ def phase_forecasts(rows: DataFrame, horizon: int, p: Profile) -> tuple[DataFram
         facts = facts.withColumns({"anchor_score": F.lit(None).cast("double"), "route": F.lit("no_anchor"), "weight": F.lit(1.0)})
         out = mixed.withColumnRenamed("own", "volume")
     else:
-        facts = facts.join(anchor_backtest(rows, p), KEY, "left")
+        facts = facts.join(once(("anchor_backtest", p.anchor, p.terminal), lambda: anchor_backtest(packed, p)), KEY, "left")
         routes = [("terminal_streak", F.col("streak") >= 2, p.streak_weight), ("depressed_cutoff", F.col("low"), p.depressed_weight), ("anchor_hindcast_better", F.col("anchor_score") < p.anchor_better_ratio * F.col("score"), p.anchor_better_weight), ("candidate_hindcast_better", F.col("score") < p.candidate_better_ratio * F.col("anchor_score"), p.candidate_better_weight), ("thin_history", thin, p.thin_weight)]
         route, weight = F, F
         for name, when, value in routes:
             route, weight = route.when(when, F.lit(name)), weight.when(when, F.lit(value))
         facts = facts.withColumns({"route": route.otherwise("default_anchor"), "weight": weight.otherwise(p.default_weight)})
-        both = mixed.join(anchor(rows, horizon, p).withColumnRenamed("volume", "base"), [*KEY, "h"]).join(facts.select(*KEY, "weight"), KEY)
+        both = mixed.join(once(("anchor", p.anchor, horizon), lambda: anchor(packed, horizon, p)).withColumnRenamed("volume", "base"), [*KEY, "h"]).join(facts.select(*KEY, "weight"), KEY)
         out = finalize(both.select(*KEY, "h", (F.col("weight") * F.col("own") + (1 - F.col("weight")) * F.col("base")).alias("volume")), p)
     six = sequence.trailing(rows, 6).groupBy(*KEY).agg(F.count("*").alias("m"), (F.stddev_pop("q") / F.nullif(F.median(F.abs("q")), F.lit(0.0))).alias("cv"))
     d = facts.join(six, KEY, "left").withColumn("volatile", F.coalesce((F.col("m") >= 6) & (F.col("cv") > 0.55), F.lit(False)))
@@ -111,30 +137,49 @@ def phase_forecasts(rows: DataFrame, horizon: int, p: Profile) -> tuple[DataFram
     return out, d.select(*KEY, F.col("name").alias("model"), "route", "weight", "score", "anchor_score", flags.alias("flags"), F.least(F.lit(100), points).alias("review"))
 
 
-def forecast_wells(wide: DataFrame, groups: DataFrame, horizon: int, p: Profile, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def grouped(rows: DataFrame, groups: DataFrame, p: Profile) -> DataFrame:
+    """The groups (well_id, grp) of the wells in rows.  Where the profile needs groups, a well without
+    one is an error, named."""
+    x = rows.select("well_id").distinct().join(groups, "well_id", "left")
+    if p.need_group and (p.cohort or p.ratios):
+        told = F.raise_error(F.concat(F.lit("no group is known of well "), F.col("well_id").cast("string"))).cast("string")
+        x = x.withColumn("grp", F.when(F.trim("grp") != "", F.col("grp")).otherwise(told))
+    return x.select("well_id", "grp")
+
+
+def forecast_wells(wide: DataFrame, groups: DataFrame, horizon: int, p: Profile, pool: DataFrame | None = None, memo: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """All phases of all wells: routed phases, then cohort shapes, then ratio coupling.
 
-    wide: well_id, t, oil, gas, water on a gapless calendar; groups: well_id, grp; pool: the wells
-    that make cohorts (the same ones by default).
+    wide: well_id, t, oil, gas, water (months between a well's first and last without a row count as
+    missing); groups: well_id, grp; pool: the wells that make cohorts (the same ones by default);
+    memo: a dict to share between profiles on the same wells, groups and pool.
     """
-    if p.need_group and (p.cohort or p.ratios):
-        groups = groups.filter(F.col("grp").isNotNull())
-    rows = wide.unpivot(["well_id", "t"], list(PHASES), "phase", "q")
-    have = rows.groupBy(*KEY).agg(F.count("q").alias("c")).filter("c > 0").select(*KEY)
-    rows = rows.join(have, KEY, "left_semi")
-    fc, diagnostics = phase_forecasts(rows, horizon, p)
+    memo = {} if memo is None else memo
+    once, given = _keeper(memo), wide
+
+    def seen() -> DataFrame:
+        rows = wide.unpivot(["well_id", "t"], list(PHASES), "phase", "q")
+        return rows.join(rows.groupBy(*KEY).agg(F.count("q").alias("c")).filter("c > 0").select(*KEY), KEY, "left_semi")
+
+    wide = once("wide", lambda: calendar.fill_gaps(given.select("well_id", "t", *PHASES)).drop("inserted"))
+    rows = once("rows", seen)
+    every, groups = groups, once(("groups", p.need_group and (p.cohort or p.ratios)), lambda: grouped(wide, groups, p))
+    fc, diagnostics = phase_forecasts(rows, horizon, p, memo)
     pool = wide if pool is None else pool
+    if p.cohort or p.ratios:
+        fc, diagnostics = cut(fc), cut(diagnostics)
     if p.cohort:
         long = pool.unpivot(["well_id", "t"], list(PHASES), "phase", "q")
-        shape = cohort.profiles(long, groups, p.min_wells).persist()
-        peers = cohort.cohort_forecast(rows, groups, shape, horizon, p.min_wells, p.full_wells, p.thin_months, p.cohort_most, p.use_global, sequence.TERMINAL if p.terminal else None)
-        allow = peers
-        if p.groups:
-            allow = allow.filter(F.col("grp").isin(*p.groups))
-        if p.phases:
-            allow = allow.filter(F.col("phase").isin(*p.phases))
-        if p.primary_phases:
-            allow = allow.join(calendar.primary_phase(wide).filter(F.col("primary_phase").isin(*p.primary_phases)), "well_id", "left_semi")
+        peer = (p.min_wells, p.full_wells, p.thin_months, p.cohort_most, p.use_global, p.terminal)
+        shape = once(("shape", p.min_wells), lambda: cohort.profiles(long, every, p.min_wells))
+        allow = once(("peers", horizon, *peer), lambda: cohort.cohort_forecast(rows, groups, shape, horizon, p.min_wells, p.full_wells, p.thin_months, p.cohort_most, p.use_global, sequence.TERMINAL if p.terminal else None))
+        routes = allow.select(*KEY, "grp").distinct().join(calendar.primary_phase(wide), "well_id", "left")
+        reason = F.when(F.lit(bool(p.primary_phases)) & ~F.col("primary_phase").isin(*p.primary_phases or ("",)), "primary_phase_not_allowed")
+        reason = reason.when(F.lit(bool(p.groups)) & ~F.col("grp").isin(*p.groups or ("",)), "group_not_allowed")
+        reason = reason.when(F.lit(bool(p.phases)) & ~F.col("phase").isin(*p.phases or ("",)), "phase_not_allowed")
+        routes = routes.select(*KEY, reason.otherwise("allowed").alias("cohort_reason"))
+        diagnostics = diagnostics.join(routes, KEY, "left").withColumn("cohort_reason", F.coalesce("cohort_reason", F.lit("no_profile")))
+        allow = allow.join(routes.filter("cohort_reason = 'allowed'"), KEY, "left_semi")
         gate = gates(rows, groups, shape, horizon, p)
         upset = diagnostics.filter("exists(flags, f -> f like 'terminal%')").select(*KEY)
         allow = allow.join(gate, KEY, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor").join(upset, KEY, "left_anti")
@@ -144,13 +189,17 @@ def forecast_wells(wide: DataFrame, groups: DataFrame, horizon: int, p: Profile,
         fc = pairs.select(*KEY, "h", F.when(F.col("weight") > 0, cohort.blend(F.col("anchor"), F.col("volume"), F.col("weight"), p.blend_space)).otherwise(F.col("anchor")).alias("volume"))
     if p.ratios:
         primary = calendar.primary_phase(wide)
+        fc = cut(fc)
         base = fc.join(primary, "well_id").filter("phase = primary_phase").select("well_id", "h", "volume")
-        slopes = cohort.ratio_slopes(wide)
-        ratio = cohort.ratio_forecast(slopes, cohort.ratio_priors(cohort.ratio_slopes(pool), groups), groups, base, p.min_wells, use_global=p.use_global)
+        slopes = once("slopes", lambda: cohort.ratio_slopes(wide))
+        ratio = cohort.ratio_forecast(slopes, cohort.ratio_priors(slopes if pool is wide else cohort.ratio_slopes(pool), every), groups, base, p.min_wells, use_global=p.use_global)
         phase = F.when(F.col("rel").isin("wor", "wgr"), "water").when(F.col("rel") == "gor", "gas").otherwise("oil")
-        ratio = ratio.join(slopes.select("well_id", "rel", "volatile"), ["well_id", "rel"]).select("well_id", phase.alias("phase"), "h", F.col("volume").alias("ratio"), F.when(F.col("volatile"), 0.985).otherwise(p.own_ratio_blend).alias("beta"))
+        beta = F.when(F.col("volatile"), 0.985).otherwise(p.own_ratio_blend)
+        ratio = ratio.join(slopes.select("well_id", "rel", "volatile"), ["well_id", "rel"]).select("well_id", phase.alias("phase"), "h", F.col("volume").alias("ratio"), beta.alias("beta"), "volatile")
         low = diagnostics.filter(F.array_contains("flags", "terminal_low")).select(*KEY)
         ratio = ratio.join(low, KEY, "left_anti")
+        wild = ratio.filter("volatile").select(*KEY, F.lit(20).alias("more")).distinct()
+        diagnostics = diagnostics.join(wild, KEY, "left").withColumn("review", F.least(F.lit(100), F.col("review") + F.coalesce("more", F.lit(0)))).drop("more")
         fc = fc.join(ratio, [*KEY, "h"], "left").select(*KEY, "h", F.when(F.col("ratio").isNotNull(), F.col("beta") * F.col("volume") + (1 - F.col("beta")) * F.col("ratio")).otherwise(F.col("volume")).alias("volume"))
     return fc, diagnostics
 
