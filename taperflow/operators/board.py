@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import json
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import method_label
+from .lineage import cut
 
 ROLES = ("eval", "cohort", "dev", "confirm", "confirm2", "confirm3")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="taperflow-"))
-    return df.checkpoint()
-
-
 def hash_order(column: str, salt: str) -> F.Column:
     """A frozen order of ids: MD5 of id and salt."""
     return F.md5(F.concat(F.col(column).cast("string"), F.lit("|" + salt)))
@@ -30,25 +25,70 @@ def series_hash(rows: DataFrame) -> DataFrame:
     return rows.groupBy("well_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("t", line.alias("x"))))["x"], ";"), 256).alias("series_hash"))
 
 
-def collapse_duplicates(wells: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """well_id, cluster, keep.  Wells with an equal api or an equal series hash are one cluster
-    (transitively); blank apis link nothing.  The smallest order (column ord) is kept.
+def split_hashes(rows: DataFrame, cutoff: int) -> DataFrame:
+    """well_id, train_hash, full_hash: of the months up to the cutoff, and of all."""
+    train = series_hash(rows.filter(F.col("t") <= cutoff)).withColumnRenamed("series_hash", "train_hash")
+    return series_hash(rows).withColumnRenamed("series_hash", "full_hash").join(train, "well_id", "left")
+
+
+def well_key(play: F.Column, bucket: F.Column, order: F.Column) -> F.Column:
+    """play|bucket|the first ten digits of the order's hash."""
+    return F.concat_ws("|", play, bucket, F.substring(order, 1, 10))
+
+
+def board_id(selected: DataFrame, basis: dict) -> str:
+    """SHA-256 of the basis and the sorted (well_key, train_hash) of a board's wells as canonical
+    JSON.  A board's wells are bounded by its roles."""
+    keys = sorted([r["well_key"], r["train_hash"]] for r in selected.select("well_key", "train_hash").collect())
+    return hashlib.sha256(json.dumps({**basis, "selected": keys}, sort_keys=True).encode()).hexdigest()
+
 
-    Labels spread by the minimum over each key until none changes: aggregations and joins, no
-    pairs; each round is checkpointed.
+def provenance_summary(wells: DataFrame) -> DataFrame:
+    """label, value, n, train_reported, holdout_reported (means), all_holdout, all_full (wells): by role
+    and by play.  wells: role, play, train_fraction, holdout_fraction."""
+    x = wells.select("train_fraction", "holdout_fraction", F.explode(F.array(F.struct(F.lit("role").alias("label"), F.col("role").alias("value")), F.struct(F.lit("play").alias("label"), F.col("play").alias("value")))).alias("g"))
+    whole = F.col("holdout_fraction") >= 1
+    finite = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
+    return x.groupBy("g.label", "g.value").agg(F.count("*").alias("n"), finite("train_fraction").alias("train_reported"), finite("holdout_fraction").alias("holdout_reported"), F.count_if(whole).alias("all_holdout"), F.count_if(whole & (F.col("train_fraction") >= 1)).alias("all_full"))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node reachable) of undirected edges (u, v; u > v).
+
+    Alternating steps: each node's larger neighbours are linked to the least of its neighbourhood,
+    then all but the least neighbour of a node are linked to that one.  Paths shrink by half or so
+    each round; rounds are checkpointed and go on until the edges don't change.
     """
-    x = _cut(wells.select("well_id", "ord", "api", "series_hash").withColumn("label", F.col("ord")))
-    for _ in range(most_rounds):
-        by_api = x.filter("api IS NOT NULL AND api <> ''").groupBy("api").agg(F.min("label").alias("a"))
-        y = x.join(by_api, "api", "left").withColumn("label1", F.least("label", F.coalesce("a", "label"))).drop("a")
-        by_hash = y.groupBy("series_hash").agg(F.min("label1").alias("b"))
-        y = _cut(y.join(by_hash, "series_hash", "left").withColumn("next", F.least("label1", F.coalesce("b", "label1"))).select("well_id", "ord", "api", "series_hash", F.col("label").alias("was"), F.col("next").alias("label")))
-        changed = y.filter("label <> was").limit(1).count()
-        x = y.drop("was")
-        if not changed:
+    edges, last = cut(edges.filter("u > v").distinct()), None
+    while True:
+        sign = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if sign == last or not sign[0]:
             break
-    first = F.row_number().over(Window.partitionBy("label").orderBy("ord", "well_id")) == 1
-    return x.select("well_id", F.col("label").alias("cluster"), first.alias("keep"))
+        last = sign
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = cut(small.filter("u <> v").distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def collapse_duplicates(wells: DataFrame) -> DataFrame:
+    """well_id, cluster, keep.  Wells with an equal api or an equal series hash are one cluster
+    (transitively); blank apis link nothing.  The smallest order (column ord, one a well) is kept.
+
+    Wells are linked to the smallest of each key, so there are no pairs, however common a key is.
+    """
+    x = cut(wells.select("well_id", "ord", "api", "series_hash"))
+    edges = None
+    for key, rows in (("api", x.filter("trim(api) <> ''")), ("series_hash", x.filter("series_hash IS NOT NULL"))):
+        part = rows.join(rows.groupBy(key).agg(F.min("ord").alias("v")), key).select(F.col("ord").alias("u"), "v")
+        edges = part if edges is None else edges.unionByName(part)
+    roots = connected(edges)
+    y = x.join(roots, x["ord"] == roots["node"], "left").withColumn("cluster", F.coalesce("root", "ord"))
+    first = F.row_number().over(Window.partitionBy("cluster").orderBy("ord", "well_id")) == 1
+    return y.select("well_id", "cluster", first.alias("keep"))
 
 
 def role_counts(sizes: dict[tuple, int], wanted: dict[str, int]) -> dict[str, dict[tuple, int]]:
@@ -88,10 +128,20 @@ def assign_roles(wells: DataFrame, wanted: dict[str, int], cell: tuple[str, str]
     return joined.select(*(x[c] for c in wells.columns), F.coalesce("role", F.lit("unused")).alias("role"))
 
 
-def partition(wells: DataFrame, salt: str) -> DataFrame:
-    """Every third well of a hash order confirms, the others tune."""
-    n = F.row_number().over(Window.partitionBy("role").orderBy(F.sha2(F.concat_ws("|", F.lit(salt), "well_id"), 256))) - 1
-    return wells.withColumn("part", F.when(n % 3 == 0, "confirm").otherwise("tune"))
+def partition(wells: DataFrame, salt: str, cell: tuple[str, ...] = ("role",)) -> DataFrame:
+    """Every third well of a cell's hash order confirms, the others tune.  Where no well or every well
+    would confirm, the first two thirds of one order over all wells tune and the rest confirm."""
+    from .ordering import numbered
+
+    rank = lambda s: F.sha2(F.concat_ws("|", F.lit(s), F.col("well_id").cast("string")), 256)
+    n = F.row_number().over(Window.partitionBy(*cell).orderBy(rank(salt))) - 1
+    out = wells.withColumn("part", F.when(n % 3 == 0, "confirm").otherwise("tune"))
+    tune, total = out.agg(F.count_if(F.col("part") == "tune"), F.count("*")).first()
+    if 0 < tune < total or total < 2:
+        return out
+    cutoff = max(1, min(total - 1, round(2 * total / 3)))
+    x = numbered(wells.withColumn("_rank", rank(salt + "-fallback")), ["_rank"], "_at")
+    return x.withColumn("part", F.when(F.col("_at") < cutoff, "tune").otherwise("confirm")).drop("_rank", "_at")
 
 
 def month_class(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -83,6 +83,11 @@ def availability(rows: DataFrame) -> DataFrame:
     return rows.groupBy("well_id").agg(*((F.count(p) > 0).alias(p) for p in PHASES))
 
 
+def availability_counts(rows: DataFrame) -> DataFrame:
+    """wells, and how many have any reported month of each phase."""
+    return availability(rows).agg(F.count("*").alias("wells"), *(F.count_if(p).alias(p) for p in PHASES))
+
+
 def primary_phase(rows: DataFrame) -> DataFrame:
     """Oil if its total is a sixth of gas's or more."""
     pos = lambda p: F.coalesce(F.sum(F.greatest(F.col(p), F.lit(0.0))), F.lit(0.0))

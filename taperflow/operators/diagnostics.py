@@ -46,6 +46,18 @@ def endpoint_bands(rows: DataFrame) -> DataFrame:
     return g.select("well_id", "phase", band.alias("band"), "ratio")
 
 
+def seed_spread(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, seeds, rate and spread (mean and population deviation over seeds) of the share flagged.
+    rows: seed, flagged and ``by``."""
+    one = rows.groupBy("seed", *by).agg(F.avg(F.col("flagged").cast("double")).alias("rate"))
+    return one.groupBy(*by).agg(F.count("*").alias("seeds"), F.avg("rate").alias("rate"), F.stddev_pop("rate").alias("spread"))
+
+
+def routing_counts(diagnostics: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by (route), n, weight (mean): which routes a profile's units took."""
+    return diagnostics.groupBy(*(by or ["route"])).agg(F.count("*").alias("n"), F.avg("weight").alias("weight"))
+
+
 def confusion(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, tp, fp, fn, tn, precision, recall, fpr; rows: flagged, truth."""
     f, t = F.col("flagged"), F.col("truth")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import TINY
+from ..functions.columns import TINY, pool_score
 
 
 def _a() -> Column:
@@ -24,8 +24,14 @@ def bias() -> Column:
     return F.avg(F.when(_a().isNotNull() & (_a() != 0) & _p().isNotNull(), (_p() - _a()) / _a() * 100))
 
 
+def spee_score() -> Column:
+    """Pool score of the monthly log errors of positive pairs."""
+    e = F.when((_a() > 0) & (_p() > 0), F.ln(_p() / _a()))
+    return pool_score(e)
+
+
 #: Aggregates by name, over (actual, forecast).
-METRICS = {"mape": mape, "bias": bias}
+METRICS = {"mape": mape, "bias": bias, "spee_score": spee_score}
 
 
 def log_errors(rows: DataFrame, by: list[str], policy: str = "epsilon", floor: float = 1e-6) -> DataFrame:
@@ -44,18 +50,61 @@ def audit(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(_a().isNull()).alias("missing_actual"), F.count_if(_a() <= 0).alias("nonpositive_actual"), F.count_if((_a() > 0) & (_p() <= 0)).alias("zero_forecast"), F.count_if(_a() > 0).alias("scored"))
 
 
-def cumulative(rows: DataFrame, by: list[str], floor: float = 1e-6) -> DataFrame:
-    """by, e: ln of total forecast over total actual in months with an actual."""
+def merge_audits(audits: DataFrame, by: list[str]) -> DataFrame:
+    """Audits (and their median epsilon, if they have one) summed up."""
+    counts = [c for c in ("rows", "missing_actual", "nonpositive_actual", "zero_forecast", "scored") if c in audits.columns]
+    more = [F.median("epsilon").alias("epsilon")] if "epsilon" in audits.columns else []
+    sums = [F.sum(c).alias(c) for c in counts]
+    return (audits.groupBy(*by) if by else audits.groupBy()).agg(*sums, *more)
+
+
+def _unusable(c: Column) -> Column:
+    return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+
+
+def cumulative(rows: DataFrame, by: list[str], floor: float = 1e-6, zero: str = "epsilon") -> DataFrame:
+    """by, e: ln of total forecast over total actual in months with an actual.  Null if any forecast
+    of the unit is missing or not finite, or the total actual isn't positive; a total forecast of zero
+    is set to a share of the actual, dropped (null) or an error, by policy."""
     a = F.sum(F.when(_a().isNotNull(), F.greatest(_a(), F.lit(0.0))))
     f = F.sum(F.when(_a().isNotNull(), F.greatest(_p(), F.lit(0.0))))
-    return rows.groupBy(*by).agg(a.alias("a"), f.alias("f")).select(*by, F.when(F.col("a") > 0, F.ln(F.greatest("f", floor * F.col("a")) / F.col("a"))).alias("e"))
+    x = rows.groupBy(*by).agg(a.alias("a"), f.alias("f"), F.count_if(_unusable(_p())).alias("bad"))
+    low = {"epsilon": F.ln(F.greatest(F.col("f"), floor * F.col("a")) / F.col("a")), "drop": F.lit(None).cast("double"), "error": F.raise_error(F.lit("total forecast of zero")).cast("double")}[zero]
+    return x.select(*by, F.when((F.col("a") > 0) & (F.col("bad") == 0), F.when((F.col("f") > 0) & (F.col("f") >= floor * F.col("a")), F.ln(F.col("f") / F.col("a"))).otherwise(low)).alias("e"))
 
 
 def monthly_mean(rows: DataFrame, by: list[str], floor: float = 1e-4) -> DataFrame:
-    """by, e: mean log error of months with a positive actual (two at least); forecasts of zero or
-    less at a floor."""
-    x = log_errors(rows, by, "epsilon", floor)
-    return x.groupBy(*by).agg(F.when(F.count("e") >= 2, F.avg("e")).alias("e"))
+    """by, e, status, actual_positive, forecast_floored: mean log error of months with a positive
+    actual; forecasts of zero or less at a floor.  Null with a status if fewer than two actuals are
+    positive or a forecast of them is missing or not finite."""
+    w = Window.partitionBy(*by)
+    pos = _a() > 0
+    eps = F.greatest(F.lit(1e-9), floor * F.median(F.when(pos, _a())).over(w))
+    x = rows.withColumn("_eps", eps)
+    e = F.when(pos & ~_unusable(_p()), F.ln(F.when(_p() > 0, _p()).otherwise(F.col("_eps")) / _a()))
+    x = x.groupBy(*by).agg(F.avg(e).alias("m"), F.count_if(pos).alias("actual_positive"), F.count_if(pos & (_p() <= 0)).alias("forecast_floored"), F.count_if(pos & _unusable(_p())).alias("bad"))
+    status = F.when(F.col("actual_positive") < 2, "insufficient_actual_positive").when(F.col("bad") > 0, "nonfinite_forecast").otherwise("ok")
+    return x.select(*by, F.when(status == "ok", F.col("m")).alias("e"), status.alias("status"), "actual_positive", "forecast_floored")
+
+
+def ablation_mean(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, e: mean log error of months that both vectors have and whose actual is positive (two at
+    least); a forecast that isn't finite or positive counts as 1e-9.  Months beyond the shorter vector
+    have no row."""
+    pos = _a() > 0
+    e = F.when(pos, F.ln(F.when(_unusable(_p()) | (_p() <= 0), F.lit(1e-9)).otherwise(_p()) / _a()))
+    return rows.groupBy(*by).agg(F.when(F.count_if(pos) >= 2, F.avg(e)).alias("e"))
+
+
+def arm_summary(errors: DataFrame, by: list[str]) -> DataFrame:
+    """``decomposition`` with mean and median of |e|."""
+    more = errors.groupBy(*by).agg(F.median(F.abs("e")).alias("median_abs"))
+    return decomposition(errors, by).join(more, by)
+
+
+def available_mean(errors: DataFrame, by: list[str]) -> DataFrame:
+    """by, e: the mean of the errors that there are (of a well's phases, say)."""
+    return errors.groupBy(*by).agg(F.avg("e").alias("e"))
 
 
 def decomposition(errors: DataFrame, by: list[str]) -> DataFrame:
@@ -76,6 +125,24 @@ def tails(errors: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, F.col("p")[0].alias("p90"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "largest", "catastrophic")
 
 
+def provider_benchmark(actual: DataFrame, forecasts: DataFrame, metric: str = "mape") -> DataFrame:
+    """phase, scored, unavailable, missing (units), median and mean of the metric over scored units.
+    actual: well_id, phase, h, actual, available; forecasts: well_id, phase, h, volume.  A phase that a
+    well hasn't is unavailable; an available unit without a forecast is missing, loudly."""
+    unit = ["well_id", "phase"]
+    there = forecasts.select(*unit).distinct().withColumn("_there", F.lit(True))
+    pairs = actual.join(forecasts.withColumnRenamed("volume", "forecast"), [*unit, "h"], "left")
+    x = pairs.groupBy(*unit).agg(F.first("available").alias("available"), METRICS[metric]().alias("m")).join(there, unit, "left")
+    status = F.when(~F.col("available"), "unavailable").when(F.col("_there").isNull(), "missing").otherwise("scored")
+    x = x.withColumn("status", status).withColumn("m", F.when(status == "scored", F.col("m")))
+    return x.groupBy("phase").agg(*(F.count_if(F.col("status") == k).alias(k) for k in ("scored", "unavailable", "missing")), F.median("m").alias("median"), F.avg("m").alias("mean"))
+
+
+def pad_streams(rows: DataFrame, pads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, pad, phase, h, actual, forecast: the wells of a pad summed up.  pads: well_id, pad."""
+    return rows.join(pads, "well_id").groupBy(*by, "pad", "phase", "h").agg(F.sum("actual").alias("actual"), F.sum("forecast").alias("forecast"))
+
+
 def routing_loss(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, loss: log part, relative part and share of forecasts where nothing was produced; 9 if
     forecasts are missing or fewer than two actuals are positive."""

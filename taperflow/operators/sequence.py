@@ -105,5 +105,16 @@ def fallback(rows: DataFrame, horizon: int, monthly: float | None = TERMINAL) ->
 
 def balanced_order(rows: DataFrame, cell: list[str], order: str) -> DataFrame:
     """Round-robin over cells: position (from 1)."""
+    from .ordering import numbered
+
     x = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy(order)))
-    return x.withColumn("position", F.row_number().over(Window.orderBy("_r", *cell))).drop("_r")
+    return numbered(x, ["_r", *cell], "_at").withColumn("position", (F.col("_at") + 1).cast("int")).drop("_r", "_at")
+
+
+def common_keys(arms: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The keys that all of several tables have: one aggregation, however many there are."""
+    every = None
+    for k, arm in enumerate(arms):
+        part = arm.select(*keys, F.lit(k).alias("_arm"))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy(*keys).agg(F.count_distinct("_arm").alias("_n")).filter(F.col("_n") == len(arms)).drop("_n")
