@@ -30,6 +30,17 @@ def parse_volume(text: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def unreadable_volume(text: Column) -> Column:
+    """Whether there is a text that is no number (nan and inf are numbers, and missing)."""
+    x = F.trim(text)
+    return F.coalesce((x != "") & F.regexp_replace(x, ",", "").try_cast("double").isNull(), F.lit(False))
+
+
+def pad_or_self(pad: Column, well: Column) -> Column:
+    """A blank pad is the well itself."""
+    return F.coalesce(F.when(F.trim(pad) != "", F.trim(pad)), well.cast("string"))
+
+
 def group_label(raw: Column) -> Column:
     """Play or basin label: lower case, separators as single underscores, aliases resolved,
     blank as the global group."""

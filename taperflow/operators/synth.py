@@ -6,23 +6,55 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+# Scenarios, curve kinds and the ranges that their parameters are drawn from.
 SCENARIOS = ("clean", "downtime", "temporary_cutoff_dip", "shut_in", "reactivation", "allocation_noise", "thin_history", "missing_months")
-KINDS = ("hyperbolic", "exponential", "stretched", "two_regime")
+KINDS = ("hyperbolic", "exponential", "sepd", "two_regime")
+MONTHS, THIN_MONTHS = (18, 49), (7, 49)
+FIRST_VOLUME = (2500, 12000)
+HYPERBOLIC = {"b": (0.45, 1.2), "di": (0.045, 0.16)}
+EXPONENTIAL = (0.025, 0.09)
+SEPD = {"tau": (10, 30), "shape": (0.5, 0.95)}
+TWO_REGIME = {"b": 1.1, "di": 0.18, "late": 0.035, "switch": 18}
+#: Start and monthly growth of the ratios to the primary phase.
+OIL_RATIOS = {"gas": ((0.8, 4.0), (0.005, 0.035)), "water": ((0.1, 1.0), (-0.015, 0.025))}
+GAS_RATIOS = {"oil": ((0.005, 0.08), (-0.030, 0.020)), "water": ((0.003, 0.08), (-0.015, 0.025))}
+COMMON_NOISE, PHASE_NOISE, ALLOCATION_NOISE = 0.07, 0.04, 0.22
+DOWN, DIP, REACTIVATED = (0.0, 0.35), (0.0, 0.25), 0.88
 SCHEMA = "seed long, well_id string, scenario string, grp string, t int, split string, oil double, gas double, water double"
 
 
-def base_curve(kind: str, months: int, rng: np.random.Generator) -> np.ndarray:
+def base_curve(kind: str, months: int, first: float, rng: np.random.Generator) -> np.ndarray:
     t = np.arange(months, dtype=float)
-    qi, d = rng.uniform(500, 8000), rng.uniform(0.03, 0.12)
     if kind == "hyperbolic":
-        b = rng.uniform(0.4, 1.2)
-        return qi / (1 + b * d * t) ** (1 / b)
+        b, d = rng.uniform(*HYPERBOLIC["b"]), rng.uniform(*HYPERBOLIC["di"])
+        return first / (1 + b * d * t) ** (1 / b)
     if kind == "exponential":
-        return qi * np.exp(-d * t)
-    if kind == "stretched":
-        return qi * np.exp(-((t * d) ** rng.uniform(0.55, 0.95)))
-    turn = int(rng.integers(6, 18))
-    return qi * np.exp(-d * np.minimum(t, turn) - 0.3 * d * np.maximum(t - turn, 0))
+        return first * np.exp(-rng.uniform(*EXPONENTIAL) * t)
+    if kind == "sepd":
+        return first * np.exp(-((t / rng.uniform(*SEPD["tau"])) ** rng.uniform(*SEPD["shape"])))
+    b, d, turn = TWO_REGIME["b"], TWO_REGIME["di"], min(TWO_REGIME["switch"], months // 2)
+    early = first / (1 + b * d * np.minimum(t, turn)) ** (1 / b)  # a hyperbola that an exponential follows
+    return early * np.exp(-TWO_REGIME["late"] * np.maximum(t - turn, 0))
+
+
+def _disturbed(scenario: str, v: np.ndarray, n: int, rng: np.random.Generator) -> None:
+    """Changes volumes (phases by months, n of them history) in place."""
+    if scenario == "downtime":
+        for at in rng.choice(np.arange(5, max(6, n - 2)), min(3, max(1, n // 12)), replace=False):
+            v[:, at] *= rng.uniform(*DOWN)
+    elif scenario == "temporary_cutoff_dip":
+        v[:, n - 2 : n] *= rng.uniform(*DIP, (len(v), 1))
+    elif scenario == "shut_in":
+        v[:, n - 3 :] = 0
+    elif scenario == "reactivation":
+        begin = max(4, n - 10)
+        back = max(begin + 1, n - 5)
+        v[:, begin:back] = 0
+        v[:, back:] *= REACTIVATED
+    elif scenario == "allocation_noise":
+        v[:, :n] *= np.exp(rng.normal(0, ALLOCATION_NOISE, (len(v), n)))
+    elif scenario == "missing_months":
+        v[:, rng.choice(np.arange(3, max(4, n - 2)), min(2, max(1, n // 15)), replace=False)] = np.nan
 
 
 def cases(seed: int, wells: int, horizon: int) -> list[tuple]:
@@ -30,27 +62,16 @@ def cases(seed: int, wells: int, horizon: int) -> list[tuple]:
     out = []
     for k in range(wells):
         scenario = SCENARIOS[k % len(SCENARIOS)]
-        n = int(rng.integers(7, 18)) if scenario == "thin_history" else int(rng.integers(18, 49))
-        main = base_curve(KINDS[k // len(SCENARIOS) % len(KINDS)], n + horizon, rng) * np.exp(rng.normal(0, 0.05, n + horizon))
-        wide = {"oil": main, "gas": main * rng.uniform(1, 3), "water": main * rng.uniform(0.2, 0.8)}
-        if k % 3 == 2:
-            wide["oil"], wide["gas"] = main * 0.1, main * 8
-        volumes = np.stack([wide[p] * np.exp(rng.normal(0, 0.03, n + horizon)) for p in ("oil", "gas", "water")])
-        if scenario == "downtime":
-            volumes[:, rng.choice(n, max(1, n // 8), replace=False)] *= rng.uniform(0, 0.4)
-        elif scenario == "temporary_cutoff_dip":
-            volumes[:, n - 2 : n] *= rng.uniform(0.05, 0.3)
-        elif scenario == "shut_in":
-            volumes[:, n - 2 :] = 0
-        elif scenario == "reactivation":
-            volumes[:, n - 3 : n] = 0
-        elif scenario == "allocation_noise":
-            volumes[:, :n] *= np.exp(rng.normal(0, 0.45, (3, n)))
-        elif scenario == "missing_months":
-            volumes[:, 1 + rng.choice(n - 2, max(1, n // 6), replace=False)] = np.nan
-        for t in range(n + horizon):
-            v = [None if np.isnan(x) else float(x) for x in volumes[:, t]]
-            out.append((seed, f"s{seed}w{k:05d}", scenario, f"basin_{k // 6 % 4}", t, "train" if t < n else "holdout", *v))
+        n = int(rng.integers(*(THIN_MONTHS if scenario == "thin_history" else MONTHS)))
+        t = np.arange(n + horizon, dtype=float)
+        primary, ratios = ("oil", OIL_RATIOS) if k % 3 else ("gas", GAS_RATIOS)
+        main = base_curve(KINDS[k % len(KINDS)], n + horizon, rng.uniform(*FIRST_VOLUME), rng)
+        wide = {primary: main} | {p: main * rng.uniform(*start) * np.exp(rng.uniform(*growth) * t) for p, (start, growth) in ratios.items()}
+        v = np.stack([wide[p] for p in ("oil", "gas", "water")]) * np.exp(rng.normal(0, COMMON_NOISE, n + horizon))
+        v *= np.exp(rng.normal(0, PHASE_NOISE, v.shape))
+        _disturbed(scenario, v, n, rng)
+        for m in range(n + horizon):
+            out.append((seed, f"s{seed}w{k:05d}", scenario, f"basin_{k % 4}", m, "train" if m < n else "holdout", *(None if np.isnan(x) else float(x) for x in v[:, m])))
     return out
 
 

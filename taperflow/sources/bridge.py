@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import PHASES, month_number
 
 FIRST_MONTH = 1995 * 12
+#: The series run from month 0 to 82; queries that hold months out train up to this one.
+CUT = 70
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +38,13 @@ def part_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """well_id, pad (nation), play (region)."""
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
-    joined = s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])
+    joined = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
     return joined.select(F.col("s_suppkey").alias("well_id"), F.col("n_name").alias("pad"), F.col("r_name").alias("play"))
 
 
-def decline(spark: SparkSession, sf_dir: str, months: int = 48) -> DataFrame:
-    """well_id, t (0 .. months-1), oil, gas, water."""
-    m = supplier_series(spark, sf_dir).filter(F.col("t") < months).select("well_id", "t", F.col("oil").alias("x"))
+def decline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """well_id, t, oil, gas, water: all months of all suppliers."""
+    m = supplier_series(spark, sf_dir).select("well_id", "t", F.col("oil").alias("x"))
     mean = m.groupBy("well_id").agg(F.avg("x").alias("mean"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("well_id"), "s_acctbal")
     rows = m.join(mean, "well_id").join(s, "well_id")
@@ -65,6 +67,6 @@ WELLS_SQL = "SELECT s_suppkey AS well_id, n_name AS pad, r_name AS play FROM sup
 DECLINE_SQL = f"""SELECT well_id, t, oil, oil * (2e0 + 0.01e0 * t) AS gas, oil * 0.4e0 * exp(-0.005e0 * t) AS water FROM (
   SELECT m.well_id, m.t, (2000e0 + abs(s_acctbal)) * power(1e0 + (0.3e0 + 0.05e0 * (m.well_id % 20)) * (0.02e0 + 0.01e0 * (m.well_id % 7)) * m.t, -1e0 / (0.3e0 + 0.05e0 * (m.well_id % 20)))
     * power(m.oil / avg(m.oil) OVER (PARTITION BY m.well_id), 0.25e0) AS oil
-  FROM ({SUPPLIER_SQL}) m JOIN supplier ON s_suppkey = m.well_id WHERE m.t < 48)"""
+  FROM ({SUPPLIER_SQL}) m JOIN supplier ON s_suppkey = m.well_id)"""
 LONG_SQL = "SELECT well_id, t, 'oil' AS phase, oil AS q FROM ({s}) UNION ALL SELECT well_id, t, 'gas', gas FROM ({s}) UNION ALL SELECT well_id, t, 'water', water FROM ({s})"
 DECLINE_LONG_SQL = f"WITH d AS ({DECLINE_SQL}) " + LONG_SQL.replace("({s})", "d")
