@@ -1,6 +1,6 @@
 """The library's queries, by operator name."""
 
-from . import evaluate, forecast, prepare  # noqa: F401
+from . import evaluate, forecast, prepare, storage, studies  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

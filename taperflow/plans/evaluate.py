@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import pool_score
-from ..operators import board, cohort, control, diagnostics, families, gates, metrics, profiles, resample, routing, submission, synth
+from ..operators import board, cohort, control, diagnostics, families, gates, holdout, metrics, ordering, profiles, resample, routing, submission, synth
 from ..sources import bridge, sinks
 from ..sources.bridge import DECLINE_LONG_SQL, DECLINE_SQL, WELLS_SQL, table
 from .prepare import ROUGH, _rough
 from .registry import query, r6
 
-#: Actuals are the decline series from month 36; two arms are simple functions of it.
-PAIRS = f"""pr AS MATERIALIZED (SELECT well_id, phase, t - 35 AS h, CASE WHEN (t + well_id) % 9 = 0 THEN NULL WHEN (t + well_id) % 13 = 0 THEN 0e0 ELSE q END AS actual,
-  CASE WHEN (t + well_id) % 10 = 1 THEN 0e0 ELSE q * (1 + 0.02e0 * ((well_id * 7 + t) % 11 - 5)) END AS a, q * (1 + 0.03e0 * ((well_id * 5 + t * 3) % 13 - 6)) AS b FROM ({DECLINE_LONG_SQL}) WHERE t > 35)"""
+CUT = bridge.CUT
+#: Actuals are the decline series after the cut; two arms are simple functions of it.
+PAIRS = f"""pr AS MATERIALIZED (SELECT well_id, phase, t - {CUT} AS h, CASE WHEN (t + well_id) % 9 = 0 THEN NULL WHEN (t + well_id) % 13 = 0 THEN 0e0 ELSE q END AS actual,
+  CASE WHEN (t + well_id) % 10 = 1 THEN 0e0 ELSE q * (1 + 0.02e0 * ((well_id * 7 + t) % 11 - 5)) END AS a, q * (1 + 0.03e0 * ((well_id * 5 + t * 3) % 13 - 6)) AS b FROM ({DECLINE_LONG_SQL}) WHERE t > {CUT})"""
 
 
 def _pairs(spark, sf):
-    x = bridge.longer(bridge.decline(spark, sf)).filter("t > 35")
+    x = bridge.longer(bridge.decline(spark, sf)).filter(F.col("t") > CUT)
     k, q = F.col("t") + F.col("well_id"), F.col("q")
     actual = F.when(k % 9 == 0, F.lit(None).cast("double")).when(k % 13 == 0, 0.0).otherwise(q)
     a = F.when(k % 10 == 1, 0.0).otherwise(q * (1 + 0.02 * ((F.col("well_id") * 7 + F.col("t")) % 11 - 5)))
     b = q * (1 + 0.03 * ((F.col("well_id") * 5 + F.col("t") * 3) % 13 - 6))
-    return x.select("well_id", "phase", (F.col("t") - 35).alias("h"), actual.alias("actual"), a.alias("a"), b.alias("b"))
+    return x.select("well_id", "phase", (F.col("t") - CUT).alias("h"), actual.alias("actual"), a.alias("a"), b.alias("b"))
 
 
 def _arm(spark, sf, arm="a"):
@@ -32,7 +33,7 @@ def _arm(spark, sf, arm="a"):
 KEY = ["well_id", "phase"]
 
 
-@query("met_01_02_mape_bias", f"WITH {PAIRS} SELECT phase, round(avg(abs((a - actual) / actual) * 100) FILTER (WHERE actual <> 0), 6) AS mape, round(avg((a - actual) / actual * 100) FILTER (WHERE actual <> 0), 6) AS bias FROM pr GROUP BY ALL")
+@query("met_01_02_mape_bias", f"WITH {PAIRS} SELECT phase, round(avg(abs((a - actual) / actual) * 100) FILTER (WHERE actual <> 0), 6) AS mape, round(avg((a - actual) / actual * 100) FILTER (WHERE actual <> 0), 6) AS bias, round(2e0 / 3 * abs(median(ln(a / actual)) FILTER (WHERE a > 0 AND actual > 0)) + 1e0 / 3 * stddev_pop(ln(a / actual)) FILTER (WHERE a > 0 AND actual > 0), 6) AS spee_score FROM pr GROUP BY ALL")
 def met_01(spark, sf):
     return _arm(spark, sf).groupBy("phase").agg(*(r6(f(), n) for n, f in metrics.METRICS.items()))
 
@@ -65,6 +66,42 @@ def met_05(spark, sf):
     return metrics.cumulative(_arm(spark, sf), KEY).select(*KEY, r6("e"))
 
 
+@query("met_09_missing_forecasts", f"WITH {CUME} SELECT well_id, phase, round(CASE WHEN well_id % 5 <> 2 THEN e END, 6) AS e FROM cu")
+def met_09(spark, sf):
+    """A unit with a month that isn't forecast has no error, however good the rest is."""
+    x = _arm(spark, sf).withColumn("forecast", F.when((F.col("well_id") % 5 != 2) | (F.col("h") != 4), F.col("forecast")))
+    return metrics.cumulative(x, KEY).select(*KEY, r6("e"))
+
+
+@query("met_05_zero_totals_dropped", f"WITH {CUME} SELECT well_id, phase, round(CASE WHEN well_id % 7 <> 3 THEN e END, 6) AS e FROM cu")
+def met_05z(spark, sf):
+    x = _arm(spark, sf).withColumn("forecast", F.when(F.col("well_id") % 7 == 3, 0.0).otherwise(F.col("forecast")))
+    return metrics.cumulative(x, KEY, zero="drop").select(*KEY, r6("e"))
+
+
+@query("met_10_ablation_mean", f"WITH {PAIRS} SELECT well_id, phase, round(CASE WHEN count(*) FILTER (WHERE actual > 0) >= 2 THEN avg(ln(CASE WHEN a > 0 THEN a ELSE 1e-9 END / actual)) FILTER (WHERE actual > 0) END, 6) AS e FROM pr GROUP BY ALL")
+def met_10(spark, sf):
+    return metrics.ablation_mean(_arm(spark, sf), KEY).select(*KEY, r6("e"))
+
+
+@query("met_17_arm_summary", f"""WITH {CUME}, x AS (SELECT 'a' AS arm, e FROM cu UNION ALL SELECT 'b', eb FROM cu)
+SELECT arm, count(e) AS n, round(median(e), 6) AS median, round(2e0 / 3 * abs(median(e)) + 1e0 / 3 * stddev_pop(e), 6) AS score, round(avg(abs(e)), 6) AS mean_abs, round(median(abs(e)), 6) AS median_abs FROM x GROUP BY ALL""")
+def met_17(spark, sf):
+    e = metrics.cumulative(_arm(spark, sf), KEY).withColumn("arm", F.lit("a")).unionByName(metrics.cumulative(_arm(spark, sf, "b"), KEY).withColumn("arm", F.lit("b")))
+    return metrics.arm_summary(e, ["arm"]).select("arm", "n", *(r6(c) for c in ("median", "score", "mean_abs", "median_abs")))
+
+
+@query("agg_21_all_phase_means", f"WITH {CUME} SELECT well_id, round(avg(CASE WHEN phase <> 'gas' OR well_id % 4 <> 1 THEN e END), 6) AS e FROM cu GROUP BY ALL")
+def agg_21(spark, sf):
+    e = metrics.cumulative(_arm(spark, sf), KEY).withColumn("e", F.when((F.col("phase") != "gas") | (F.col("well_id") % 4 != 1), F.col("e")))
+    return metrics.available_mean(e, ["well_id"]).select("well_id", r6("e"))
+
+
+@query("agg_16_merged_audits", f"WITH {PAIRS} SELECT well_id % 3 AS part, count(*) AS rows, count(*) FILTER (WHERE actual IS NULL) AS missing_actual, count(*) FILTER (WHERE actual <= 0) AS nonpositive_actual, count(*) FILTER (WHERE actual > 0 AND a <= 0) AS zero_forecast, count(*) FILTER (WHERE actual > 0) AS scored FROM pr GROUP BY ALL")
+def agg_16(spark, sf):
+    return metrics.merge_audits(metrics.audit(_arm(spark, sf), KEY).withColumn("part", F.col("well_id") % 3), ["part"])
+
+
 @query("met_06_decomposition", f"""WITH {CUME}, s AS (SELECT phase, count(e) AS n, median(e) AS median, 2e0 / 3 * abs(median(e)) AS bp, 1e0 / 3 * stddev_pop(e) AS sp, avg(abs(e)) AS ma FROM cu GROUP BY ALL)
 SELECT phase, n, round(median, 6) AS median, round(bp, 6) AS bias_part, round(sp, 6) AS spread_part, round(ma, 6) AS mean_abs, round(bp + sp, 6) AS score, round(bp / (bp + sp), 6) AS bias_share FROM s""")
 def met_06(spark, sf):
@@ -72,9 +109,10 @@ def met_06(spark, sf):
     return x.select("phase", "n", *(r6(c) for c in ("median", "bias_part", "spread_part", "mean_abs", "score", "bias_share")))
 
 
-@query("met_08_monthly_mean", f"WITH {LOGE.replace('1e-6 * greatest', '1e-4 * greatest')} SELECT well_id, phase, round(CASE WHEN count(e) >= 2 THEN avg(e) END, 6) AS e FROM le GROUP BY ALL")
+@query("met_08_monthly_mean", f"""WITH {LOGE.replace('1e-6 * greatest', '1e-4 * greatest').replace('greatest(1e-12, 1e-4', 'greatest(1e-9, 1e-4')}
+SELECT well_id, phase, round(CASE WHEN count(e) >= 2 THEN avg(e) END, 6) AS e, CASE WHEN count(e) >= 2 THEN 'ok' ELSE 'insufficient_actual_positive' END AS status, count(e) AS actual_positive, count(*) FILTER (WHERE actual > 0 AND a <= 0) AS forecast_floored FROM le GROUP BY ALL""")
 def met_08(spark, sf):
-    return metrics.monthly_mean(_arm(spark, sf), KEY).select(*KEY, r6("e"))
+    return metrics.monthly_mean(_arm(spark, sf), KEY).select(*KEY, r6("e"), "status", "actual_positive", "forecast_floored")
 
 
 @query("met_12_13_tails", f"WITH {CUME} SELECT phase, round(quantile_cont(abs(e), 0.9), 6) AS p90, round(quantile_cont(abs(e), 0.95), 6) AS p95, round(quantile_cont(abs(e), 0.99), 6) AS p99, round(max(abs(e)), 6) AS largest, round(avg((abs(e) > ln(2e0))::INT), 6) AS catastrophic FROM cu GROUP BY ALL")
@@ -87,17 +125,17 @@ def met_12(spark, sf):
 s AS (SELECT well_id, phase, any_value(off) AS off, any_value(gone) AS gone, avg(abs((a - actual) / actual) * 100) FILTER (WHERE actual <> 0) AS mape FROM v GROUP BY ALL)
 SELECT phase, count(*) FILTER (WHERE NOT off AND NOT gone) AS scored, count(*) FILTER (WHERE off) AS unavailable, count(*) FILTER (WHERE gone AND NOT off) AS missing, round(median(mape) FILTER (WHERE NOT off AND NOT gone), 6) AS mape_median, round(avg(mape) FILTER (WHERE NOT off AND NOT gone), 6) AS mape_mean FROM s GROUP BY ALL""")
 def met_14(spark, sf):
-    off, gone = (F.col("well_id") % 6 == 5) & (F.col("phase") == "water"), F.col("well_id") % 5 == 3
-    s = _arm(spark, sf).groupBy(*KEY).agg(metrics.mape().alias("mape")).withColumn("status", F.when(off, "unavailable").when(gone, "missing").otherwise("scored"))
-    ok = F.when(F.col("status") == "scored", F.col("mape"))
-    return s.groupBy("phase").agg(*(F.count_if(F.col("status") == k).alias(k) for k in ("scored", "unavailable", "missing")), r6(F.median(ok), "mape_median"), r6(F.avg(ok), "mape_mean"))
+    p = _pairs(spark, sf)
+    actual = p.select(*KEY, "h", "actual").withColumn("available", (F.col("well_id") % 6 != 5) | (F.col("phase") != "water"))
+    x = metrics.provider_benchmark(actual, p.filter("well_id % 5 <> 3").select(*KEY, "h", F.col("a").alias("volume")), "mape")
+    return x.select("phase", "scored", "unavailable", "missing", r6("median", "mape_median"), r6("mean", "mape_mean"))
 
 
 @query("met_15_pad_benchmark", f"""WITH {PAIRS}, w AS ({WELLS_SQL}), p AS (SELECT pad, phase, h, sum(actual) AS actual, sum(a) AS a FROM pr JOIN w USING (well_id) GROUP BY ALL)
 SELECT pad, phase, round(avg(abs((a - actual) / actual) * 100) FILTER (WHERE actual <> 0), 6) AS mape, round(ln(sum(a) FILTER (WHERE actual IS NOT NULL) / nullif(sum(actual), 0)), 6) AS e FROM p GROUP BY ALL""")
 def met_15(spark, sf):
     """Streams of a pad are summed, then scored."""
-    x = _pairs(spark, sf).join(F.broadcast(bridge.wells(spark, sf)), "well_id").groupBy("pad", "phase", "h").agg(F.sum("actual").alias("actual"), F.sum("a").alias("forecast"))
+    x = metrics.pad_streams(_arm(spark, sf), bridge.wells(spark, sf).select("well_id", "pad"))
     m = x.groupBy("pad", "phase").agg(r6(metrics.mape(), "mape"))
     return m.join(metrics.cumulative(x, ["pad", "phase"]).select("pad", "phase", r6("e")), ["pad", "phase"])
 
@@ -112,29 +150,59 @@ def rt_05(spark, sf):
 
 # Resampling.
 
-UNITS = f"{CUME}, un AS (SELECT row_number() OVER (ORDER BY well_id) - 1 AS unit, e AS a, eb AS b FROM cu WHERE phase = 'oil' AND e IS NOT NULL)"
+UNITS = f"{CUME}, un AS (SELECT row_number() OVER (ORDER BY well_id, phase) - 1 AS unit, well_id, phase, e AS a, eb AS b FROM cu WHERE e IS NOT NULL)"
+
+
+def _errors(spark, sf):
+    a = metrics.cumulative(_arm(spark, sf), KEY).select(*KEY, F.col("e").alias("a"))
+    b = metrics.cumulative(_arm(spark, sf, "b"), KEY).select(*KEY, F.col("e").alias("b"))
+    return a.join(b, KEY).filter("a IS NOT NULL")
 
 
 def _units(spark, sf):
-    from pyspark.sql import Window
+    return ordering.numbered(_errors(spark, sf), KEY, "unit")
+
+
+def draws_sql(reps: int, seed: int, n: str = "n") -> str:
+    """CTE u (rep, unit): the hashed draws over a relation n with the column n."""
+    return f"u AS (SELECT rep, ('0x' || substr(md5('{seed}|' || rep || '|' || k), 1, 13))::BIGINT % n AS unit FROM {n}, range({reps}) a(rep), range(0, (SELECT n FROM {n})) b(k))"
 
-    a = metrics.cumulative(_arm(spark, sf).filter("phase = 'oil'"), KEY).select("well_id", F.col("e").alias("a"))
-    b = metrics.cumulative(_arm(spark, sf, "b").filter("phase = 'oil'"), KEY).select("well_id", F.col("e").alias("b"))
-    x = a.join(b, "well_id").filter("a IS NOT NULL")
-    return x.select((F.row_number().over(Window.orderBy("well_id")) - 1).alias("unit"), "a", "b")
 
+POOL = "(2e0 / 3 * abs(median({x})) + 1e0 / 3 * stddev_pop({x}))"
+DELTA = f"{POOL.format(x='a')} - {POOL.format(x='b')}"
 
-@query("inf_01_paired_bootstrap", f"""WITH {UNITS}, n AS (SELECT count(*) AS n FROM un), d AS (SELECT rep, k, n, ((rep * 7919 + k * 104729 + 17) % 2147483647) AS r FROM n, range(500) a(rep), range(0, (SELECT n FROM n)) b(k)),
-u AS (SELECT rep, ((((r * 48271) % 2147483647) * 48271) % 2147483647) % n AS unit FROM d),
-s AS (SELECT rep, (2e0 / 3 * abs(median(a)) + 1e0 / 3 * stddev_pop(a)) - (2e0 / 3 * abs(median(b)) + 1e0 / 3 * stddev_pop(b)) AS delta FROM u JOIN un USING (unit) GROUP BY ALL)
+
+@query("inf_01_paired_bootstrap", f"""WITH {UNITS}, n AS (SELECT count(*) AS n FROM un), {draws_sql(500, 17)},
+s AS (SELECT rep, {DELTA} AS delta FROM u JOIN un USING (unit) GROUP BY ALL)
 SELECT round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high, round(avg((delta < 0)::INT), 6) AS p_better FROM s""")
 def inf_01(spark, sf):
     u = _units(spark, sf)
     return resample.bootstrap(u, u.count(), 500).select(r6("low"), r6("high"), r6("p_better"))
 
 
-@query("inf_05_leave_one_out", f"""WITH {UNITS}, s AS (SELECT 2e0 / 3 * abs(median(a)) + 1e0 / 3 * stddev_pop(a) AS s FROM un)
-SELECT x.unit, round(2e0 / 3 * abs(median(y.a)) + 1e0 / 3 * stddev_pop(y.a) - any_value(s), 6) AS influence FROM un x JOIN un y ON x.unit <> y.unit CROSS JOIN s GROUP BY ALL""")
+CLUSTERED = f"""cl AS (SELECT well_id, row_number() OVER (ORDER BY well_id) - 1 AS unit FROM (SELECT DISTINCT well_id FROM un)), cn AS (SELECT count(*) AS n FROM cl),
+{draws_sql(300, 20260729, 'cn')}, bs AS (SELECT rep, {DELTA} AS delta FROM u JOIN cl USING (unit) JOIN un USING (well_id) GROUP BY ALL),
+ci AS (SELECT quantile_cont(delta, 0.025) AS low, quantile_cont(delta, 0.975) AS high, avg((delta < 0)::INT) AS p_better FROM bs)""".replace("JOIN un USING (well_id)", "JOIN (SELECT well_id, a, b FROM un) x USING (well_id)")
+
+
+@query("inf_03_clustered_bootstrap", f"WITH {UNITS}, {CLUSTERED} SELECT round(low, 6) AS low, round(high, 6) AS high, round(p_better, 6) AS p_better, CASE WHEN high < 0 THEN 'BETTER' WHEN low > 0 THEN 'WORSE' ELSE 'inconclusive' END AS verdict FROM ci")
+def inf_03(spark, sf):
+    """Wells are drawn with all their phases."""
+    ci = resample.clustered(_errors(spark, sf), "well_id", 300, 20260729)
+    return ci.select(r6("low"), r6("high"), r6("p_better"), resample.verdict(F.col("low"), F.col("high")).alias("verdict"))
+
+
+@query("inf_04_seed_means", f"""WITH {UNITS}, sd AS (SELECT well_id % 20 AS seed, avg(a) AS x FROM un GROUP BY ALL), sn AS (SELECT count(*) AS n FROM sd), si AS (SELECT row_number() OVER (ORDER BY seed) - 1 AS unit, x FROM sd), {draws_sql(400, 1307, 'sn')},
+m AS (SELECT rep, avg(x) AS v FROM u JOIN si USING (unit) GROUP BY ALL) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM m""")
+def inf_04(spark, sf):
+    """The interval of a mean over seeds."""
+    seeds = _errors(spark, sf).groupBy((F.col("well_id") % 20).alias("seed")).agg(F.avg("a").alias("x"))
+    x = ordering.numbered(seeds, ["seed"], "unit")
+    return resample.mean_interval(x, x.count(), 400, 1307).select(r6("low"), r6("high"))
+
+
+@query("inf_05_leave_one_out", f"""WITH {UNITS}, s AS (SELECT {POOL.format(x='a')} AS s FROM un)
+SELECT x.unit, round({POOL.format(x='y.a')} - any_value(s), 6) AS influence FROM un x JOIN un y ON x.unit <> y.unit CROSS JOIN s GROUP BY ALL""")
 def inf_05(spark, sf):
     return resample.leave_one_out(_units(spark, sf).select("unit", F.col("a").alias("e"))).select(F.col("unit").cast("long").alias("unit"), r6("influence"))
 
@@ -144,10 +212,18 @@ def inf_06(spark, sf):
     return resample.win_rate(_units(spark, sf)).select(r6("win_rate"), r6("mean_delta"), r6("median_delta"))
 
 
+@query("srt_04_without_top", f"""WITH {UNITS}, k AS (SELECT *, row_number() OVER (ORDER BY -abs(a), unit) AS r, ceil(0.01e0 * count(*) OVER ())::BIGINT AS top FROM un)
+SELECT count(*) AS n, any_value(top)::INT AS removed, round({POOL.format(x='a')}, 6) AS score, round({POOL.format(x='CASE WHEN r > 1 THEN a END')}, 6) AS without_one, round({POOL.format(x='CASE WHEN r > top THEN a END')}, 6) AS without_share FROM k""")
+def srt_04t(spark, sf):
+    """The score without the most extreme unit, and without the top hundredth."""
+    x = resample.without_top(_units(spark, sf).select("unit", F.col("a").alias("e")))
+    return x.select("n", "removed", *(r6(c) for c in ("score", "without_one", "without_share")))
+
+
 # Cohorts and ratios.
 
-SHAPE = f"""dec AS MATERIALIZED ({DECLINE_LONG_SQL}), g AS (SELECT well_id, play AS grp FROM ({WELLS_SQL})), pk AS (SELECT well_id, phase, min(t) AS peak, any_value(q) AS pq, any_value(n) AS n FROM (SELECT *, max(q) OVER (PARTITION BY well_id, phase) AS m, count(*) OVER (PARTITION BY well_id, phase) AS n FROM dec WHERE t <= 35) WHERE q = m GROUP BY ALL),
-ag AS (SELECT d.well_id, d.phase, d.t - peak AS age, ln(q / pq) AS lr FROM dec d JOIN pk USING (well_id, phase) WHERE d.t <= 35 AND d.t >= peak AND n >= 6 AND q > 0),
+SHAPE = f"""dec AS MATERIALIZED ({DECLINE_LONG_SQL}), g AS (SELECT well_id, play AS grp FROM ({WELLS_SQL})), pk AS (SELECT well_id, phase, min(t) AS peak, any_value(q) AS pq, any_value(n) AS n FROM (SELECT *, max(q) OVER (PARTITION BY well_id, phase) AS m, count(*) OVER (PARTITION BY well_id, phase) AS n FROM dec WHERE t <= {CUT}) WHERE q = m GROUP BY ALL),
+ag AS (SELECT d.well_id, d.phase, d.t - peak AS age, ln(q / pq) AS lr FROM dec d JOIN pk USING (well_id, phase) WHERE d.t <= {CUT} AND d.t >= peak AND n >= 6 AND q > 0),
 al AS (SELECT a.*, grp FROM ag a JOIN g USING (well_id) UNION ALL SELECT a.*, '__global__' FROM ag a),
 c AS (SELECT grp, phase, age, median(lr) AS c, count(*) AS n FROM al GROUP BY ALL), md AS (SELECT grp, phase, age, 1.4826e0 * median(abs(lr - c)) AS log_mad FROM al JOIN c USING (grp, phase, age) GROUP BY ALL),
 su AS (SELECT grp, phase, count(DISTINCT well_id) AS support, max(age) AS top FROM al GROUP BY ALL),
@@ -158,7 +234,7 @@ shp AS (SELECT grp, phase, age, min(coalesce(v, v0 + (v1 - v0) * (age - a0) / nu
 
 
 def _shape(spark, sf):
-    rows = bridge.longer(bridge.decline(spark, sf)).filter("t <= 35")
+    rows = bridge.longer(bridge.decline(spark, sf)).filter(F.col("t") <= CUT)
     groups = bridge.wells(spark, sf).select("well_id", F.col("play").alias("grp"))
     return rows, groups, cohort.profiles(rows, groups)
 
@@ -169,18 +245,19 @@ def coh_02(spark, sf):
 
 
 @query("coh_05_06_forecast", f"""WITH {SHAPE}, tp AS (SELECT grp, phase, any_value(support) AS support, max(age) AS top FROM shp GROUP BY ALL HAVING any_value(support) >= 5),
-w AS (SELECT p.well_id, p.phase, p.peak, p.n, CASE WHEN o.grp IS NOT NULL THEN g.grp ELSE '__global__' END AS grp FROM pk p JOIN g USING (well_id) LEFT JOIN tp o ON o.grp = g.grp AND o.phase = p.phase),
+la AS (SELECT well_id, phase, max(t) AS last FROM dec WHERE t <= {CUT} GROUP BY ALL),
+w AS (SELECT p.well_id, p.phase, p.peak, p.n, last, CASE WHEN o.grp IS NOT NULL THEN g.grp ELSE '__global__' END AS grp FROM pk p JOIN la USING (well_id, phase) JOIN g USING (well_id) LEFT JOIN tp o ON o.grp = g.grp AND o.phase = p.phase),
 x AS (SELECT w.*, support, top FROM w JOIN tp USING (grp, phase)),
-r AS (SELECT well_id, phase, t, q, row_number() OVER (PARTITION BY well_id, phase ORDER BY t DESC) AS back FROM dec WHERE t <= 35 AND q > 0),
+r AS (SELECT well_id, phase, t, q, row_number() OVER (PARTITION BY well_id, phase ORDER BY t DESC) AS back FROM dec WHERE t <= {CUT} AND q > 0),
 sc AS (SELECT x.well_id, x.phase, median(r.q / greatest(value, 1e-9)) AS scale FROM x JOIN r USING (well_id, phase) JOIN shp s ON s.grp = x.grp AND s.phase = x.phase AND s.age = least(greatest(r.t - x.peak, 0), top) WHERE back <= 3 GROUP BY ALL)
-SELECT x.well_id, x.phase, h::INT AS h, round(s.value * exp(-(-ln(1 - 0.06e0) / 12) * greatest(35 - peak + h - top, 0)) * scale, 6) AS volume, round(least(greatest((18 - x.n) / 18e0, 0), 0.65e0) * least(greatest((x.support - 4) / 15e0, 0), 1), 6) AS weight, x.grp
-FROM x JOIN sc USING (well_id, phase) CROSS JOIN range(1, 13) q(h) JOIN shp s ON s.grp = x.grp AND s.phase = x.phase AND s.age = least(35 - peak + h, top)""")
+SELECT x.well_id, x.phase, h::INT AS h, round(s.value * exp(-(-ln(1 - 0.06e0) / 12) * greatest(last - peak + h - top, 0)) * scale, 6) AS volume, round(least(greatest((18 - x.n) / 18e0, 0), 0.65e0) * least(greatest((x.support - 4) / 15e0, 0), 1), 6) AS weight, x.grp
+FROM x JOIN sc USING (well_id, phase) CROSS JOIN range(1, 13) q(h) JOIN shp s ON s.grp = x.grp AND s.phase = x.phase AND s.age = least(last - peak + h, top)""")
 def coh_05(spark, sf):
     rows, groups, shape = _shape(spark, sf)
     return cohort.cohort_forecast(rows, groups, shape, 12).select("well_id", "phase", "h", r6("volume"), r6("weight"), "grp")
 
 
-RATIO = f"""dw AS MATERIALIZED (SELECT * FROM ({DECLINE_SQL}) WHERE t <= 35), pp AS (SELECT well_id, CASE WHEN sum(oil) >= sum(gas) / 6 THEN 'oil' ELSE 'gas' END AS pp FROM dw GROUP BY ALL),
+RATIO = f"""dw AS MATERIALIZED (SELECT * FROM ({DECLINE_SQL}) WHERE t <= {CUT}), pp AS (SELECT well_id, CASE WHEN sum(oil) >= sum(gas) / 6 THEN 'oil' ELSE 'gas' END AS pp FROM dw GROUP BY ALL),
 rr AS (SELECT well_id, CASE WHEN pp = 'oil' THEN 'gor' ELSE 'cgr' END AS rel, t, ln(CASE WHEN pp = 'oil' THEN gas / oil ELSE oil / gas END) AS lr FROM dw JOIN pp USING (well_id) UNION ALL SELECT well_id, CASE WHEN pp = 'oil' THEN 'wor' ELSE 'wgr' END, t, ln(CASE WHEN pp = 'oil' THEN water / oil ELSE water / gas END) FROM dw JOIN pp USING (well_id)),
 rb AS (SELECT *, row_number() OVER (PARTITION BY well_id, rel ORDER BY t DESC) AS back FROM rr),
 rs AS (SELECT well_id, rel, CASE WHEN count(*) >= 4 THEN least(greatest(regr_slope(lr, t), -0.025e0), 0.025e0) END AS slope, median(exp(lr)) FILTER (WHERE back <= 6) AS level, count(*) AS n, stddev_pop(lr) > 0.30e0 AS volatile FROM rb WHERE back <= 18 GROUP BY ALL)"""
@@ -188,13 +265,13 @@ rs AS (SELECT well_id, rel, CASE WHEN count(*) >= 4 THEN least(greatest(regr_slo
 
 @query("coh_04_ratio_slopes", f"WITH {RATIO} SELECT well_id, rel, round(slope, 6) AS slope, round(level, 6) AS level, n, volatile FROM rs")
 def coh_04(spark, sf):
-    return cohort.ratio_slopes(bridge.decline(spark, sf).filter("t <= 35")).select("well_id", "rel", r6("slope"), r6("level"), "n", "volatile")
+    return cohort.ratio_slopes(bridge.decline(spark, sf).filter(F.col("t") <= CUT)).select("well_id", "rel", r6("slope"), r6("level"), "n", "volatile")
 
 
 @query("coh_03_15_ratio_priors", f"WITH {RATIO}, g AS (SELECT well_id, play AS grp FROM ({WELLS_SQL})), e AS (SELECT grp, rel, slope FROM rs JOIN g USING (well_id) UNION ALL SELECT '__global__', rel, slope FROM rs) SELECT grp, rel, round(median(slope), 6) AS prior, count(*) AS n FROM e WHERE slope IS NOT NULL GROUP BY ALL")
 def coh_15(spark, sf):
     groups = bridge.wells(spark, sf).select("well_id", F.col("play").alias("grp"))
-    return cohort.ratio_priors(cohort.ratio_slopes(bridge.decline(spark, sf).filter("t <= 35")), groups).select("grp", "rel", r6("prior"), "n")
+    return cohort.ratio_priors(cohort.ratio_slopes(bridge.decline(spark, sf).filter(F.col("t") <= CUT)), groups).select("grp", "rel", r6("prior"), "n")
 
 
 # Boards and provenance.
@@ -210,9 +287,19 @@ def brd_01(spark, sf):
     return board.collapse_duplicates(w)
 
 
-@query("brd_03_roles")
+def roles_sql() -> str:
+    """Each role takes the wells of least (rank in the cell, cell) among those left."""
+    left = "w0 AS (SELECT *, CASE WHEN well_id % 2 = 0 THEN 'b1' ELSE 'b2' END AS bucket, md5(well_id || '|roles') AS ord FROM w), n AS (SELECT greatest(1, count(*) // 8) AS n FROM w)"
+    took = []
+    for k, role in enumerate(board.ROLES):
+        left += f", r{k} AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY k, play, bucket) AS place FROM (SELECT well_id, play, bucket, ord, row_number() OVER (PARTITION BY play, bucket ORDER BY ord) AS k FROM w{k})) WHERE place <= (SELECT n FROM n)), w{k + 1} AS (SELECT * FROM w{k} WHERE well_id NOT IN (SELECT well_id FROM r{k}))"
+        took.append(f"SELECT well_id, play, bucket, '{role}' AS role FROM r{k}")
+    return f"WITH w AS ({WELLS_SQL}), {left} " + " UNION ALL ".join([*took, f"SELECT well_id, play, bucket, 'unused' FROM w{len(board.ROLES)}"])
+
+
+@query("brd_03_roles", roles_sql())
 def brd_03(spark, sf):
-    """Roles by round-robin over cells; tests hold it against a simulation."""
+    """Roles by round-robin over cells, restarting at the first cell for each."""
     w = bridge.wells(spark, sf).withColumns({"bucket": F.when(F.col("well_id") % 2 == 0, "b1").otherwise("b2"), "ord": board.hash_order("well_id", "roles")})
     n = w.count()
     return board.assign_roles(w, {r: max(1, n // 8) for r in board.ROLES}).select("well_id", "play", "bucket", "role")
@@ -220,7 +307,7 @@ def brd_03(spark, sf):
 
 @query("brd_06_partition", f"WITH w AS ({WELLS_SQL}), o AS (SELECT well_id, row_number() OVER (PARTITION BY play ORDER BY sha256('tune|' || well_id)) - 1 AS k, play FROM w) SELECT well_id, CASE WHEN k % 3 = 0 THEN 'confirm' ELSE 'tune' END AS part FROM o")
 def brd_06(spark, sf):
-    return board.partition(bridge.wells(spark, sf).withColumnRenamed("play", "role"), "tune").select("well_id", "part")
+    return board.partition(bridge.wells(spark, sf), "tune", ("play",)).select("well_id", "part")
 
 
 METHODS = "ev AS (SELECT user_id AS well_id, ts::DATE AS month, CASE event_type WHEN 'purchase' THEN 'Reported ' WHEN 'click' THEN 'REPORTED' WHEN 'view' THEN 'dca' WHEN 'signup' THEN NULL ELSE 'Test' END AS method FROM events), mc AS (SELECT well_id, month, list_distinct(list(upper(trim(method))) FILTER (WHERE method IS NOT NULL)) AS s FROM ev GROUP BY ALL), cl AS (SELECT well_id, month, CASE WHEN coalesce(len(s), 0) = 0 THEN 'UNKNOWN' WHEN len(s) = 1 THEN s[1] ELSE 'MIXED' END AS method FROM mc)"
@@ -261,23 +348,33 @@ def prv_05(spark, sf):
 # Validation, diagnostics, gates.
 
 
-@query("val_03_failures", f"""WITH {PAIRS}, u AS (SELECT DISTINCT well_id, phase, well_id % 11 <> 4 AS available FROM pr), f AS (SELECT well_id, phase, h, CASE WHEN well_id % 7 = 3 AND h = 2 THEN -1e0 ELSE a END AS v FROM pr WHERE well_id % 9 <> 2 AND NOT (well_id % 5 = 1 AND h > 10)),
-s AS (SELECT well_id, phase, count(*) AS n, count(*) FILTER (WHERE v < 0) AS bad FROM f GROUP BY ALL)
-SELECT well_id, phase, CASE WHEN NOT available THEN 'phase_unavailable' WHEN n IS NULL THEN 'forecast_missing' WHEN n <> 12 THEN 'length_mismatch' ELSE 'nonfinite_or_negative' END AS reason FROM u LEFT JOIN s USING (well_id, phase) WHERE NOT available OR n IS NULL OR n <> 12 OR bad > 0""")
+@query("val_03_failures", f"""WITH {PAIRS}, u AS (SELECT DISTINCT well_id, phase, well_id % 11 <> 4 AS available, CASE WHEN well_id % 13 = 6 THEN -2 WHEN well_id % 13 = 7 THEN 3 ELSE 0 END AS gap, CASE WHEN well_id % 17 = 5 THEN 'no fit' END AS problem FROM pr),
+f AS (SELECT well_id, phase, h - gap AS h, CASE WHEN well_id % 7 = 3 AND h = 2 THEN -1e0 ELSE a END AS v, gap FROM pr JOIN u USING (well_id, phase) WHERE h <= 12 AND well_id % 9 <> 2 AND NOT (well_id % 5 = 1 AND h > 10)),
+s AS (SELECT well_id, phase, count(*) FILTER (WHERE h >= 1 AND (gap = 0 OR h <= 12)) AS n, count(*) FILTER (WHERE h >= 1 AND (gap = 0 OR h <= 12) AND v < 0) AS bad FROM f GROUP BY ALL)
+SELECT well_id, phase, CASE WHEN gap < 0 THEN 'date_error: the start is before the well''s next month' WHEN NOT available THEN 'phase_unavailable' WHEN problem IS NOT NULL THEN 'provider_error: ' || problem WHEN n IS NULL THEN 'forecast_missing' WHEN n <> 12 THEN 'length_mismatch:' || n ELSE 'nonfinite_or_negative_forecast' END AS reason
+FROM u LEFT JOIN s USING (well_id, phase) WHERE gap < 0 OR NOT available OR problem IS NOT NULL OR n IS NULL OR n <> 12 OR bad > 0""")
 def val_03(spark, sf):
-    p = _pairs(spark, sf)
-    units = p.select(*KEY).distinct().withColumn("available", F.col("well_id") % 11 != 4)
-    f = p.filter("well_id % 9 <> 2 AND NOT (well_id % 5 = 1 AND h > 10)").select(*KEY, "h", F.when((F.col("well_id") % 7 == 3) & (F.col("h") == 2), -1.0).otherwise(F.col("a")).alias("volume"))
+    """Every reason that a unit can fail for."""
+    p, k = _pairs(spark, sf), F.col("well_id")
+    units = p.select(*KEY).distinct().withColumns({"available": k % 11 != 4, "gap": F.when(k % 13 == 6, -2).when(k % 13 == 7, 3).otherwise(0), "problem": F.when(k % 17 == 5, "no fit")})
+    f = p.filter("h <= 12 AND well_id % 9 <> 2 AND NOT (well_id % 5 = 1 AND h > 10)").select(*KEY, "h", F.when((F.col("well_id") % 7 == 3) & (F.col("h") == 2), -1.0).otherwise(F.col("a")).alias("volume"))
     return submission.generate(units, f, 12)[1]
 
 
+@query("val_01_input", f"WITH {PAIRS}, d AS ({DECLINE_SQL}) SELECT count(DISTINCT well_id) AS wells, count(DISTINCT CASE WHEN well_id % 3 <> 0 THEN well_id END) AS oil, count(DISTINCT well_id) AS gas, 0::BIGINT AS water, (SELECT count(*) FROM supplier) AS metadata_rows FROM d")
+def val_01(spark, sf):
+    """Wells, metadata rows and available phases (AGG-20)."""
+    d = bridge.decline(spark, sf).withColumns({"oil": F.when(F.col("well_id") % 3 != 0, F.col("oil")), "water": F.lit(None).cast("double")})
+    return submission.validate_input(d, bridge.wells(spark, sf)).select("wells", "oil", "gas", "water", "metadata_rows")
+
+
 @query("snk_03_failure_counts", f"WITH {PAIRS} SELECT CASE WHEN well_id % 3 = 0 THEN 'a' ELSE 'b' END AS reason, count(*) AS count FROM (SELECT DISTINCT well_id, phase FROM pr) GROUP BY ALL")
 def snk_03(spark, sf):
     x = _pairs(spark, sf).select(*KEY).distinct().withColumn("reason", F.when(F.col("well_id") % 3 == 0, "a").otherwise("b"))
     return sinks.failure_counts(x)
 
 
-@query("val_02_problems", f"WITH {PAIRS} SELECT 'wrong_horizon' AS problem, well_id, phase FROM pr GROUP BY well_id, phase HAVING count(*) FILTER (WHERE well_id % 4 <> 1 OR h < 12) <> 12 UNION ALL SELECT 'bad_volume', well_id, phase FROM pr WHERE actual IS NULL AND (well_id % 4 <> 1 OR h < 12)")
+@query("val_02_problems", f"WITH {PAIRS.replace('WHERE t >', 'WHERE t <= 82 AND t >')} SELECT 'wrong_horizon' AS problem, well_id, phase FROM pr GROUP BY well_id, phase HAVING count(*) FILTER (WHERE well_id % 4 <> 1 OR h < 12) <> 12 UNION ALL SELECT 'bad_volume', well_id, phase FROM pr WHERE actual IS NULL AND (well_id % 4 <> 1 OR h < 12)")
 def val_02(spark, sf):
     return submission.problems(_pairs(spark, sf).filter("well_id % 4 <> 1 OR h < 12").withColumn("volume", F.col("actual")), 12)
 
@@ -309,13 +406,60 @@ def agg_13(spark, sf):
     return x.select("phase", "tp", "fp", "fn", "tn", r6("precision"), r6("recall"), r6("fpr"))
 
 
-@query("gate_01_promotion", f"""WITH {UNITS}, s AS (SELECT 2e0 / 3 * abs(median(a)) + 1e0 / 3 * stddev_pop(a) AS sa, 2e0 / 3 * abs(median(b)) + 1e0 / 3 * stddev_pop(b) AS sb, avg((abs(a) > ln(2e0))::INT) - avg((abs(b) > ln(2e0))::INT) AS cd FROM un)
-SELECT gate, round(value, 6) AS value, passed FROM (SELECT unnest([{{'gate': 'no_failures', 'value': 0e0, 'passed': true}}, {{'gate': 'better', 'value': sa - sb, 'passed': sa < sb}}, {{'gate': 'interval', 'value': NULL, 'passed': false}}, {{'gate': 'relative', 'value': (sa - sb) / sb, 'passed': (sa - sb) / sb <= -0.02e0}}, {{'gate': 'catastrophic', 'value': cd, 'passed': cd <= 0.01e0}}, {{'gate': 'segments', 'value': NULL, 'passed': false}}], recursive := true) FROM s)""")
+EVIDENCE = f"""{UNITS}, {CLUSTERED}, lb AS ({WELLS_SQL}), sg AS (SELECT play, count(*) AS n, {DELTA} AS delta FROM un JOIN lb USING (well_id) GROUP BY ALL),
+ev AS (SELECT count(DISTINCT well_id) AS wells, {DELTA} AS delta, ({DELTA}) / abs({POOL.format(x='b')}) AS relative, avg((abs(a) > ln(2e0))::INT) - avg((abs(b) > ln(2e0))::INT) AS catastrophic, quantile_cont(abs(a), 0.95) - quantile_cont(abs(b), 0.95) AS p95,
+  (SELECT high FROM ci) AS high, (SELECT p_better FROM ci) AS p_better, (SELECT coalesce(max(delta) FILTER (WHERE n >= 10), 0) FROM sg) AS worst10, (SELECT coalesce(max(delta) FILTER (WHERE n >= 20), 0) FROM sg) AS worst20 FROM un)"""
+GATE_SQL = {
+    "no_mismatch": ("0e0", "true"), "no_failures": ("0e0", "true"), "better": ("delta", "delta < 0"), "interval": ("high", "high < 0"), "catastrophic_1": ("catastrophic", "catastrophic <= 0.01e0"), "catastrophic_05": ("catastrophic", "catastrophic <= 0.005e0"),
+    "relative_2": ("relative", "relative <= -0.02e0"), "relative_1": ("relative", "relative <= -0.01e0"), "segments_10": ("worst10", "worst10 <= 0.05e0"), "segments_20": ("worst20", "worst20 <= 0.03e0"), "wells_30": ("wells", "wells >= 30"), "wells_100": ("wells", "wells >= 100"),
+    "cumulative_2": ("delta", "delta <= 0.02e0"), "cumulative_1": ("delta", "delta <= 0.01e0"), "probability": ("p_better", "p_better >= 0.95e0"), "p95": ("p95", "p95 <= 0.02e0"), "runtime": ("1.5e0", "true"),
+}
+
+
+def gates_sql(names: list[str]) -> str:
+    plain = lambda n: n.rstrip("0123456789").rstrip("_") if n != "p95" else n
+    return f"WITH {EVIDENCE} " + " UNION ALL ".join(f"SELECT '{plain(n)}' AS gate, round(({GATE_SQL[n][0]})::DOUBLE, 6) AS value, {GATE_SQL[n][1]} AS passed FROM ev" for n in names)
+
+
+def _evidence(spark, sf):
+    p = _errors(spark, sf).select(*KEY, "a", "b")
+    return holdout.evidence(p, bridge.wells(spark, sf), ["play"], p, 0, 0, 1.5, 300)
+
+
+@query("gate_01_promotion", gates_sql(["no_mismatch", "no_failures", "better", "interval", "relative_2", "catastrophic_1", "segments_10"]))
 def gate_01(spark, sf):
-    bad = lambda c: F.avg((F.abs(c) > F.ln(F.lit(2.0))).cast("double"))
-    s = _units(spark, sf).agg(pool_score(F.col("a")).alias("sa"), pool_score(F.col("b")).alias("sb"), (bad("a") - bad("b")).alias("catastrophic_delta"))
-    ev = s.select(F.lit(0).alias("failures"), (F.col("sa") - F.col("sb")).alias("delta"), metrics.relative_delta(F.col("sa"), F.col("sb")).alias("relative"), "catastrophic_delta")
-    return gates.evaluate(ev, "selection").select("gate", r6("value"), "passed")
+    return gates.evaluate(_evidence(spark, sf), "selection").select("gate", r6("value"), "passed")
+
+
+@query("gate_02_confirmation", gates_sql(["wells_30", "no_failures", "better", "interval", "relative_2", "catastrophic_1", "cumulative_2", "segments_10"]))
+def gate_02(spark, sf):
+    return gates.evaluate(_evidence(spark, sf), "confirmation").select("gate", r6("value"), "passed")
+
+
+@query("gate_03_04_strict", gates_sql(["no_mismatch", "wells_100", "no_failures", "relative_1", "probability", "catastrophic_05", "p95", "cumulative_1", "segments_20", "runtime"]))
+def gate_03(spark, sf):
+    return gates.evaluate(_evidence(spark, sf), "strict").select("gate", r6("value"), "passed")
+
+
+@query("gate_01_recommendation", f"WITH {EVIDENCE} SELECT p AS promoted, CASE WHEN p THEN 'a' ELSE 'scipy_control' END AS recommendation FROM (SELECT delta < 0 AND high < 0 AND relative <= -0.02e0 AND catastrophic <= 0.01e0 AND worst10 <= 0.05e0 AS p FROM ev)")
+def gate_01r(spark, sf):
+    return gates.promote(_evidence(spark, sf), "selection", "a")
+
+
+@query("gate_06_seeds", """WITH s AS (SELECT user_id % 30 AS seed, avg(value) / 100 - 0.52 AS delta FROM events GROUP BY ALL) SELECT 'better' AS gate, round(avg(delta), 6) AS value, avg(delta) < 0 AS passed FROM s
+UNION ALL SELECT 'win_rate', round(avg((delta < 0)::INT), 6), avg((delta < 0)::INT) >= 0.70 FROM s UNION ALL SELECT 'clean', round(min(delta), 6), min(delta) <= 0.05 FROM s UNION ALL SELECT 'worst', round(max(delta), 6), max(delta) <= 0.25 FROM s""")
+def gate_06(spark, sf):
+    """A challenger over seeds: mean delta, share of seeds won, the clean and the worst scenario."""
+    s = table(spark, sf, "events").groupBy((F.col("user_id") % 30).alias("seed")).agg((F.avg("value") / 100 - 0.52).alias("delta"))
+    ev = s.agg(F.avg("delta").alias("delta"), F.avg((F.col("delta") < 0).cast("double")).alias("win_rate"), F.min("delta").alias("clean_relative"), F.max("delta").alias("worst_scenario"))
+    return gates.evaluate(ev, "seeds").select("gate", r6("value"), "passed")
+
+
+@query("gate_07_classifier", f"""WITH {PAIRS}, c AS (SELECT count(*) FILTER (WHERE a > b AND well_id % 3 = 0) AS tp, count(*) FILTER (WHERE a > b AND well_id % 3 <> 0) AS fp, count(*) FILTER (WHERE a <= b AND well_id % 3 <> 0) AS tn FROM pr)
+SELECT 'precision' AS gate, round(tp / (tp + fp), 6) AS value, tp / (tp + fp) >= 0.9 AS passed FROM c UNION ALL SELECT 'clean_fpr', round(fp / (fp + tn), 6), fp / (fp + tn) <= 0.05 FROM c""")
+def gate_07(spark, sf):
+    x = diagnostics.confusion(_pairs(spark, sf).select((F.col("a") > F.col("b")).alias("flagged"), (F.col("well_id") % 3 == 0).alias("truth")), [])
+    return gates.evaluate(x.select("precision", F.col("fpr").alias("clean_fpr")), "classifier").select("gate", r6("value"), "passed")
 
 
 @query("gate_10_fail_closed", f"WITH {PAIRS}, u AS (SELECT well_id, phase, h, median(actual) OVER (PARTITION BY well_id, phase) AS m FROM pr) SELECT u.well_id, u.phase, u.h::INT AS h, round(CASE WHEN u.well_id % 4 = 1 THEN greatest(1e-9, 1e-4 * m) ELSE b END, 6) AS volume FROM u JOIN pr USING (well_id, phase, h)")
@@ -330,37 +474,53 @@ def gate_10(spark, sf):
 # Families and routing.
 
 
-@query("fit_08_exponential", f"""WITH dec AS MATERIALIZED ({DECLINE_LONG_SQL}), p AS (SELECT well_id, phase, min(t) AS pk FROM (SELECT *, max(q) OVER (PARTITION BY well_id, phase) AS m FROM dec WHERE t <= 35) WHERE q = m GROUP BY ALL),
-x AS (SELECT d.well_id, d.phase, (t - greatest(pk, 18))::DOUBLE AS tt, q, 36 - greatest(pk, 18) AS origin FROM dec d JOIN p USING (well_id, phase) WHERE t <= 35 AND t >= greatest(pk, 18)),
-c1 AS (SELECT well_id, phase, regr_slope(ln(q), tt) AS c, regr_intercept(ln(q), tt) AS a, count(*) AS n FROM x GROUP BY ALL HAVING count(*) >= 5),
-k AS (SELECT x.*, n, count(*) OVER (PARTITION BY x.well_id, x.phase) AS kn FROM x JOIN c1 USING (well_id, phase) WHERE q >= 0.65e0 * exp(a + least(c, -1e-6) * tt)),
+def exponential_sql(source: str, window: int) -> str:
+    """Two-pass exponential fits of the window on the calendar; the last CTE is f8."""
+    return f"""sr AS ({source}), en AS (SELECT well_id, phase, min(t) AS t0, max(t) + 1 AS e FROM sr GROUP BY ALL),
+p AS (SELECT well_id, phase, min(t) AS pk FROM (SELECT *, max(q) OVER (PARTITION BY well_id, phase) AS m FROM sr) WHERE q = m GROUP BY ALL),
+x AS (SELECT d.well_id, d.phase, (t - greatest(pk, e - {window}, t0))::DOUBLE AS tt, q, e - greatest(pk, e - {window}, t0) AS origin FROM sr d JOIN p USING (well_id, phase) JOIN en USING (well_id, phase) WHERE t >= greatest(pk, e - {window})),
+c1 AS (SELECT well_id, phase, regr_slope(ln(q), tt) AS c, regr_intercept(ln(q), tt) AS a, count(*) AS n FROM x WHERE q > 0 GROUP BY ALL HAVING count(*) >= 5),
+k AS (SELECT x.*, n, count(*) OVER (PARTITION BY x.well_id, x.phase) AS kn FROM x JOIN c1 USING (well_id, phase) WHERE q > 0 AND q >= 0.65e0 * exp(a + least(c, -1e-6) * tt)),
 c2 AS (SELECT well_id, phase, regr_slope(ln(q), tt) AS c, regr_intercept(ln(q), tt) AS a FROM k WHERE kn >= 5 AND kn < n GROUP BY ALL),
 f AS (SELECT c1.well_id, c1.phase, coalesce(c2.c, c1.c) AS c, coalesce(c2.a, c1.a) AS a FROM c1 LEFT JOIN c2 USING (well_id, phase)),
-u AS (SELECT x.well_id, x.phase, any_value(a) AS a, any_value(c) AS c, any_value(origin) AS origin, avg(least(q / exp(a + least(c, -1e-6) * tt), 1)) AS uptime FROM x JOIN f USING (well_id, phase) GROUP BY ALL)
-SELECT well_id, phase, h::INT AS h, round(exp(a + least(c, -1e-6) * (origin + h - 1)) * uptime, 6) AS volume FROM u CROSS JOIN range(1, 7) r(h)""")
+u AS (SELECT x.well_id, x.phase, any_value(a) AS a, any_value(c) AS c, any_value(origin) AS origin, coalesce(avg(least(q / exp(a + least(c, -1e-6) * tt), 1)) FILTER (WHERE tt >= origin - 24 AND q IS NOT NULL), 1) AS uptime FROM x JOIN f USING (well_id, phase) GROUP BY ALL),
+f8 AS (SELECT well_id, phase, h::INT AS h, round(exp(a + least(c, -1e-6) * (origin + h - 1)) * uptime, 6) AS volume FROM u CROSS JOIN range(1, 7) r(h))"""
+
+
+@query("fit_08_exponential", f"WITH {exponential_sql(f'SELECT * FROM ({DECLINE_LONG_SQL}) WHERE t <= {CUT}', 18)} SELECT * FROM f8")
 def fit_08(spark, sf):
-    rows = bridge.longer(bridge.decline(spark, sf)).filter("t <= 35")
+    rows = bridge.longer(bridge.decline(spark, sf)).filter(F.col("t") <= CUT)
     return families.forecast(families.fit(rows, families.candidates(spark, ["exp_18"])), 6).select("well_id", "phase", "h", r6("volume"))
 
 
+GAPPED = f"SELECT * FROM ({DECLINE_LONG_SQL}) WHERE t <= {CUT} AND (t * 7 + well_id * 3) % 10 > 2"
+
+
+@query("fit_11_calendar_gaps", f"WITH {exponential_sql(GAPPED, 36)} SELECT * FROM f8")
+def fit_11(spark, sf):
+    """Three months in ten have no row: fits go by calendar months, not by the place of a row."""
+    rows = bridge.longer(bridge.decline(spark, sf)).filter(F.col("t") <= CUT).filter("(t * 7 + well_id * 3) % 10 > 2")
+    return families.forecast(families.fit(rows, families.candidates(spark, ["exp_36"])), 6).select("well_id", "phase", "h", r6("volume"))
+
+
 @query("rt_01_03_candidate_board")
 def rt_03(spark, sf):
     """Seven candidates over rolling origins; tests hold the fits against plain regressions."""
-    rows = bridge.longer(bridge.decline(spark, sf), ("oil",)).filter("t <= 35")
+    rows = bridge.longer(bridge.decline(spark, sf)).filter(F.col("t") <= CUT)
     return families.winners(families.backtest(rows, families.candidates(spark))).select("well_id", "phase", "name", r6("score"))
 
 
 @query("fc_13_control")
 def fc_13(spark, sf):
     """The bounded nonlinear control; tests hold its error against a dense grid."""
-    rows = bridge.longer(bridge.decline(spark, sf)).filter("t <= 35")
+    rows = bridge.longer(bridge.decline(spark, sf)).filter(F.col("t") <= CUT)
     return control.forecast(rows, 12).select("well_id", "phase", "h", r6("volume"))
 
 
 @query("rt_12_13_routed_wells")
 def rt_13(spark, sf):
     """The profile with gated cohorts over the control."""
-    wide = bridge.decline(spark, sf).filter("t <= 35")
+    wide = bridge.decline(spark, sf).filter(F.col("t") <= CUT)
     groups = bridge.wells(spark, sf).select("well_id", F.col("play").alias("grp"))
     return routing.forecast_wells(wide, groups, 12, profiles.profile("cohort_conservative"))[0].select("well_id", "phase", "h", r6("volume"))
 
@@ -368,7 +528,7 @@ def rt_13(spark, sf):
 @query("gen_02_stress_cases")
 def gen_02(spark, sf):
     """Synthetic wells by scenario: months and missing months."""
-    x = synth.stress(spark, [1, 2, 3], 48)
+    x = synth.stress(spark, [1, 2, 3])
     return x.groupBy("seed", "scenario", "split").agg(F.count("*").alias("months"), F.count_if(F.col("oil").isNull()).alias("missing"), F.count_if(F.col("oil") == 0).alias("zeros"))
 
 
@@ -377,7 +537,7 @@ def gen_03(spark, sf):
     """The control and the linear arm on the same synthetic wells, by scenario."""
     from ..operators import arps
 
-    x = calendar_free(synth.stress(spark, [1, 2], 64))
+    x = calendar_free(synth.stress(spark, [1, 2]))
     train = x.filter("split = 'train'").select("well_id", "phase", "t", "q")
     act = x.filter("split = 'holdout'").join(train.groupBy("well_id").agg((F.max("t") + 1).alias("o")), "well_id").select("well_id", "phase", "scenario", (F.col("t") - F.col("o") + 1).alias("h"), F.col("q").alias("actual"))
     lin = arps.forecast(arps.fit(train, arps.arms_table(spark, ["bounded"])), 12).select("well_id", "phase", F.lit("linear").alias("arm"), "h", "volume")

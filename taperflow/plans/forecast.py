@@ -9,7 +9,7 @@ from ..operators import arps, calendar, metrics, sequence
 from ..sources import bridge
 from .registry import query, r6
 
-CUT, H = 35, 12
+CUT, H = bridge.CUT, 12
 
 
 def _train(spark, sf, phases=("oil", "gas", "water")):
@@ -66,11 +66,11 @@ EVERY = [a[0] for a in arps.ARMS]
 
 
 def _one_arm(key: str, arm: str) -> None:
-    sql = f"WITH {arms_sql([arm], TRAIN_SQL + " AND phase = 'oil'")} SELECT well_id, phase, h, round(volume, 6) AS volume FROM fc"
+    sql = f"WITH {arms_sql([arm], TRAIN_SQL)} SELECT well_id, phase, h, round(volume, 6) AS volume FROM fc"
 
     @query(key, sql)
     def _(spark, sf):
-        fc = arps.forecast(arps.fit(_train(spark, sf, ("oil",)), arps.arms_table(spark, [arm])), H)
+        fc = arps.forecast(arps.fit(_train(spark, sf), arps.arms_table(spark, [arm])), H)
         return fc.select("well_id", "phase", "h", r6("volume"))
 
 
@@ -89,16 +89,16 @@ def fc_arm_board(spark, sf):
 
 
 def _headline(spark, sf):
-    """Split, official arm, twelve months, cumulative log error, pool score by play."""
-    fc = arps.forecast(arps.fit(_train(spark, sf, ("oil",)), arps.arms_table(spark, ["bounded"])), H)
-    pairs = fc.join(_actual(spark, sf, ("oil",)), ["well_id", "phase", "h"]).withColumnRenamed("volume", "forecast")
-    e = metrics.cumulative(pairs, ["well_id"]).join(F.broadcast(bridge.wells(spark, sf)), "well_id", "left")
-    return e.groupBy("play").agg(F.count("*").alias("wells"), r6(pool_score(F.col("e")), "score"))
+    """Split, official arm, twelve months, cumulative log error of each phase, pool score by play."""
+    fc = arps.forecast(arps.fit(_train(spark, sf), arps.arms_table(spark, ["bounded"])), H)
+    pairs = fc.join(_actual(spark, sf), ["well_id", "phase", "h"]).withColumnRenamed("volume", "forecast")
+    e = metrics.cumulative(pairs, ["well_id", "phase"]).join(bridge.wells(spark, sf), "well_id", "left")
+    return e.groupBy("play").agg(F.count("*").alias("units"), r6(pool_score(F.col("e")), "score"))
 
 
-query("headline_score_by_play", f"""WITH {arms_sql(["bounded"], TRAIN_SQL + " AND phase = 'oil'")}, act AS ({ACTUAL_SQL}), w AS ({bridge.WELLS_SQL}),
-e AS (SELECT well_id, ln(sum(greatest(volume, 0)) / sum(actual)) AS e FROM fc JOIN act USING (well_id, phase, h) GROUP BY ALL)
-SELECT play, count(*) AS wells, round(CASE WHEN count(e) >= 2 THEN 2e0 / 3 * abs(median(e)) + 1e0 / 3 * stddev_pop(e) END, 6) AS score FROM e LEFT JOIN w USING (well_id) GROUP BY ALL""")(_headline)
+query("headline_score_by_play", f"""WITH {arms_sql(["bounded"], TRAIN_SQL)}, act AS ({ACTUAL_SQL}), w AS ({bridge.WELLS_SQL}),
+e AS (SELECT well_id, phase, ln(sum(greatest(volume, 0)) / sum(actual)) AS e FROM fc JOIN act USING (well_id, phase, h) GROUP BY ALL)
+SELECT play, count(*) AS units, round(CASE WHEN count(e) >= 2 THEN 2e0 / 3 * abs(median(e)) + 1e0 / 3 * stddev_pop(e) END, 6) AS score FROM e LEFT JOIN w USING (well_id) GROUP BY ALL""")(_headline)
 
 
 @query("fc_12_inner_score", f"""WITH {arms_sql(["bounded", "window_24"], TRAIN_SQL)}, act AS ({ACTUAL_SQL})
@@ -111,16 +111,16 @@ def fc_12(spark, sf):
 _INNER = [n for n in EVERY if n in arps.ROUTED]
 
 
-@query("fc_11_routed", f"""WITH tr AS ({TRAIN_SQL} AND phase = 'oil'), chosen AS (
-  WITH {arms_sql(_INNER, "SELECT * FROM tr WHERE t < 30").replace(f"range(1, {H + 1})", "range(1, 7)")},
-  sc AS (SELECT well_id, arm, 2e0 / 3 * abs(median(ln(volume / q))) + 1e0 / 3 * stddev_pop(ln(volume / q)) AS score
-    FROM fc JOIN (SELECT well_id, t - 29 AS h, q FROM tr WHERE t >= 30) a USING (well_id, h) GROUP BY ALL)
-  SELECT well_id, arm FROM sc QUALIFY row_number() OVER (PARTITION BY well_id ORDER BY round(score, 9), list_position({_INNER}, arm)) = 1),
-{arms_sql(_INNER, "SELECT * FROM tr")}
-SELECT well_id, phase, arm, h, round(volume, 6) AS volume FROM fc JOIN chosen USING (well_id, arm)""")
+@query("fc_11_routed", f"""WITH tr AS (SELECT *, row_number() OVER (PARTITION BY well_id, phase ORDER BY t) AS rn, count(*) OVER (PARTITION BY well_id, phase) AS rows FROM ({TRAIN_SQL}) WHERE q IS NOT NULL), chosen AS (
+  WITH {arms_sql(_INNER, "SELECT well_id, phase, t, q FROM tr WHERE rn <= rows - 6").replace(f"range(1, {H + 1})", "range(1, 7)")},
+  sc AS (SELECT well_id, phase, arm, 2e0 / 3 * abs(median(ln(volume / q))) + 1e0 / 3 * stddev_pop(ln(volume / q)) AS score
+    FROM fc JOIN (SELECT well_id, phase, rn - rows + 6 AS h, q FROM tr WHERE rn > rows - 6) a USING (well_id, phase, h) GROUP BY ALL)
+  SELECT well_id, phase, arm FROM sc QUALIFY row_number() OVER (PARTITION BY well_id, phase ORDER BY round(score, 9), list_position({_INNER}, arm)) = 1),
+{arms_sql(_INNER, "SELECT well_id, phase, t, q FROM tr")}
+SELECT well_id, phase, arm, h, round(volume, 6) AS volume FROM fc JOIN chosen USING (well_id, phase, arm)""")
 def fc_11(spark, sf):
     """Arms routed by each series' own last six months."""
-    return arps.routed(_train(spark, sf, ("oil",)).filter(F.col("well_id").isNotNull()), H).select("well_id", "phase", "arm", "h", r6("volume"))
+    return arps.routed(_train(spark, sf).filter(F.col("well_id").isNotNull()), H).select("well_id", "phase", "arm", "h", r6("volume"))
 
 
 @query("fc_14_capacity_ratios", f"""WITH {arms_sql(["bounded"], TRAIN_SQL)}

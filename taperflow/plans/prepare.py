@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns
-from ..operators import board, calendar, sequence, submission
+from ..operators import board, calendar, providers, sequence, submission
 from ..sources import bridge, sinks
 from ..sources.bridge import DECLINE_LONG_SQL, DECLINE_SQL, PART_SQL, SUPPLIER_SQL, WELLS_SQL, table
 from .registry import query, r6
@@ -16,7 +16,7 @@ SUP = f"sup AS MATERIALIZED ({SUPPLIER_SQL})"
 DEC = f"dec AS MATERIALIZED ({DECLINE_SQL})"
 LONG = f"lng AS MATERIALIZED ({DECLINE_LONG_SQL})"
 W = f"w AS ({WELLS_SQL})"
-ROUGH = f"""{LONG}, rough AS (SELECT well_id, phase, t, CASE WHEN (t + well_id) % 11 = 4 THEN NULL WHEN t >= 48 - (well_id % 4) THEN 0e0 WHEN (t + well_id) % 7 = 3 THEN q * 0.2e0 ELSE q END AS q FROM lng)"""
+ROUGH = f"""{LONG}, rough AS (SELECT well_id, phase, t, CASE WHEN (t + well_id) % 11 = 4 THEN NULL WHEN t >= 83 - (well_id % 4) THEN 0e0 WHEN (t + well_id) % 7 = 3 THEN q * 0.2e0 ELSE q END AS q FROM lng)"""
 
 
 def _long(spark, sf):
@@ -26,7 +26,7 @@ def _long(spark, sf):
 def _rough(spark, sf):
     """The decline series with missing months, dips and trailing zeros."""
     k = F.col("t") + F.col("well_id")
-    q = F.when(k % 11 == 4, F.lit(None).cast("double")).when(F.col("t") >= 48 - F.col("well_id") % 4, 0.0).when(k % 7 == 3, F.col("q") * 0.2).otherwise(F.col("q"))
+    q = F.when(k % 11 == 4, F.lit(None).cast("double")).when(F.col("t") >= 83 - F.col("well_id") % 4, 0.0).when(k % 7 == 3, F.col("q") * 0.2).otherwise(F.col("q"))
     return _long(spark, sf).select("well_id", "phase", "t", q.alias("q"))
 
 
@@ -50,7 +50,7 @@ def prj_03(spark, sf):
 @query("prj_05_pad_default", "SELECT s_suppkey AS well_id, CASE WHEN s_nationkey % 3 = 0 THEN s_suppkey::VARCHAR ELSE 'pad ' || s_nationkey END AS pad_id FROM supplier")
 def prj_05(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("well_id"), F.when(F.col("s_nationkey") % 3 == 0, "  ").otherwise(F.concat(F.lit("pad "), F.col("s_nationkey").cast("string"))).alias("p"))
-    return s.select("well_id", F.coalesce(F.when(F.trim("p") != "", F.trim("p")), F.col("well_id").cast("string")).alias("pad_id"))
+    return s.select("well_id", columns.pad_or_self(F.col("p"), F.col("well_id")).alias("pad_id"))
 
 
 @query("prj_06_sum_duplicates", "SELECT l_suppkey AS well_id, ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)::INT AS t, round(sum(CASE WHEN l_linenumber = 1 THEN l_quantity END), 4) AS oil, round(sum(l_extendedprice), 2) AS gas, CAST(NULL AS DOUBLE) AS water FROM lineitem GROUP BY 1, 2")
@@ -153,7 +153,7 @@ def prj_20(spark, sf):
 
 @query("jn_01_metadata", f"WITH {SUP}, {W} SELECT coalesce(play, 'none') AS play, count(*) AS months, round(sum(oil), 4) AS oil FROM sup LEFT JOIN (SELECT * FROM w WHERE well_id % 5 <> 0) w USING (well_id) GROUP BY ALL")
 def jn_01(spark, sf):
-    x = bridge.supplier_series(spark, sf).join(F.broadcast(bridge.wells(spark, sf).filter("well_id % 5 <> 0")), "well_id", "left")
+    x = bridge.supplier_series(spark, sf).join(bridge.wells(spark, sf).filter("well_id % 5 <> 0"), "well_id", "left")
     return x.groupBy(F.coalesce("play", F.lit("none")).alias("play")).agg(F.count("*").alias("months"), F.round(F.sum("oil"), 4).alias("oil"))
 
 
@@ -172,8 +172,11 @@ def _vectors(spark, sf):
 
 @query("jn_03_precomputed_missing", f"WITH f AS ({LATE}), s AS (SELECT DISTINCT well_id, phase FROM f) SELECT s.well_id, s.phase, count(h) AS months, count(h) = 0 AS missing FROM s LEFT JOIN (SELECT * FROM f WHERE well_id % 3 <> 1) f USING (well_id, phase) GROUP BY ALL")
 def jn_03(spark, sf):
+    """Stored vectors as a provider: a unit without one has no months and is missing."""
     f = _vectors(spark, sf)
-    x = f.select("well_id", "phase").distinct().join(f.filter("well_id % 3 <> 1"), ["well_id", "phase"], "left")
+    rows = f.withColumnsRenamed({"h": "t", "volume": "q"})
+    got = providers.precomputed(f.filter("well_id % 3 <> 1"))(rows, 12)
+    x = f.select("well_id", "phase").distinct().join(got, ["well_id", "phase"], "left")
     return x.groupBy("well_id", "phase").agg(F.count("h").alias("months"), (F.count("h") == 0).alias("missing"))
 
 
@@ -240,9 +243,9 @@ def jn_15(spark, sf):
 # Sources over tables.
 
 
-@query("src_07_header_query", "SELECT p_partkey AS well_id, CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' WHEN p_type LIKE '%BRASS%' THEN 'brass' ELSE 'other' END AS play, p_size FROM part WHERE p_size BETWEEN 5 AND 30 AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#44') AND p_retailprice >= 1000 AND p_name IS NOT NULL")
+@query("src_07_header_query", "SELECT p_partkey AS well_id, CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' WHEN p_type LIKE '%BRASS%' THEN 'brass' ELSE 'other' END AS play, p_size FROM part WHERE p_size BETWEEN 5 AND 30 AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#44') AND p_retailprice >= 910 AND p_name IS NOT NULL")
 def src_07(spark, sf):
-    p = table(spark, sf, "part").filter(F.col("p_size").between(5, 30) & F.col("p_brand").isin("Brand#11", "Brand#22", "Brand#33", "Brand#44") & (F.col("p_retailprice") >= 1000) & F.col("p_name").isNotNull())
+    p = table(spark, sf, "part").filter(F.col("p_size").between(5, 30) & F.col("p_brand").isin("Brand#11", "Brand#22", "Brand#33", "Brand#44") & (F.col("p_retailprice") >= 910) & F.col("p_name").isNotNull())
     return p.select(F.col("p_partkey").alias("well_id"), F.when(F.col("p_type").contains("STEEL"), "steel").when(F.col("p_type").contains("BRASS"), "brass").otherwise("other").alias("play"), "p_size")
 
 
@@ -281,7 +284,7 @@ def snk_08(spark, sf):
 
 @query("agg_01_pad_streams", f"WITH {DEC}, {W} SELECT pad, t, round(sum(oil), 6) AS oil, round(sum(CASE WHEN well_id % 2 = 0 THEN gas END), 6) AS gas FROM dec JOIN w USING (well_id) GROUP BY ALL")
 def agg_01(spark, sf):
-    x = bridge.decline(spark, sf).join(F.broadcast(bridge.wells(spark, sf)), "well_id")
+    x = bridge.decline(spark, sf).join(bridge.wells(spark, sf), "well_id")
     return x.groupBy("pad", "t").agg(r6(F.sum("oil"), "oil"), r6(F.sum(F.when(F.col("well_id") % 2 == 0, F.col("gas"))), "gas"))
 
 
@@ -301,7 +304,7 @@ SELECT play, phase, count(*) AS n, round(CASE WHEN count(*) >= 2 THEN 2e0 / 3 *
 def agg_09(spark, sf):
     """All segments in one pass of grouping sets."""
     x = _long(spark, sf).withColumn("top", F.max("q").over(Window.partitionBy("well_id", "phase"))).filter("t = 40")
-    x = x.join(F.broadcast(bridge.wells(spark, sf)), "well_id").withColumn("e", F.ln(F.col("q") / F.col("top")))
+    x = x.join(bridge.wells(spark, sf), "well_id").withColumn("e", F.ln(F.col("q") / F.col("top")))
     return x.groupingSets([["play"], ["phase"], []], "play", "phase").agg(F.count("*").alias("n"), r6(columns.pool_score(F.col("e")), "score"))
 
 
@@ -397,17 +400,17 @@ def srt_06(spark, sf):
     return s.select("s_suppkey", board.hash_order("s_suppkey", "salt").alias("a"), F.sha2(F.concat(F.lit("board|"), F.col("s_suppkey").cast("string")), 256).alias("b"))
 
 
-SETS = "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 {op} SELECT o_custkey FROM orders WHERE o_totalprice > 100000"
+SETS = "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 {op} SELECT o_custkey FROM orders WHERE o_totalprice > 350000"
 for _n, _op, _f in (("set_01_union", "UNION", lambda a, b: a.union(b).distinct()), ("set_02_difference", "EXCEPT", lambda a, b: a.subtract(b)), ("set_03_intersection", "INTERSECT", lambda a, b: a.intersect(b))):
 
     @query(_n, SETS.format(op=_op))
     def _(spark, sf, f=_f):
-        return f(table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("k")))
+        return f(table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").filter("o_totalprice > 350000").select(F.col("o_custkey").alias("k")))
 
 
-@query("set_04_symmetric_difference", f"(({SETS.format(op='EXCEPT')}) UNION ALL (SELECT o_custkey FROM orders WHERE o_totalprice > 100000 EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0))")
+@query("set_04_symmetric_difference", f"(({SETS.format(op='EXCEPT')}) UNION ALL (SELECT o_custkey FROM orders WHERE o_totalprice > 350000 EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0))")
 def set_04(spark, sf):
-    a, b = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("k"))
+    a, b = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").filter("o_totalprice > 350000").select(F.col("o_custkey").alias("k"))
     return a.subtract(b).union(b.subtract(a))
 
 
