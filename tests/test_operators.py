@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from taperflow.functions import columns
-from taperflow.operators import arps, board, calendar, control, families, gates, profiles, routing, sequence, submission, synth
+from taperflow.operators import arps, board, calendar, cohort, control, families, gates, holdout, metrics, ordering, profiles, providers, resample, routing, sequence, submission, synth
 from taperflow.sources import files, sinks
 from taperflow.streaming.rescore import rescore
 
@@ -36,7 +36,7 @@ def hyper(t, qi=5000, b=0.8, d=0.08):
 
 def test_entry(spark):
     got = entry.entry(spark)
-    assert got.columns == ["play", "wells", "score"] and got.count() > 0
+    assert got.columns == ["play", "units", "score"] and got.count() > 0
 
 
 def test_arms_recover_a_clean_curve(spark):
@@ -105,9 +105,9 @@ def test_routed_wells(spark):
         rows += [(f"w{k}", t, float(q[t]), float(q[t] * 2), float(q[t] * 0.4)) for t in range(n)]
     wide = spark.createDataFrame(rows, "well_id string, t int, oil double, gas double, water double")
     groups = wide.select("well_id").distinct().withColumn("grp", F.lit("dj"))
-    control_fc = routing.forecast_wells(wide, groups, 6, profiles.profile("control"))[0]
-    picked = routing.forecast_wells(wide, groups, 6, profiles.profile("selective_cohort"))[0]
-    full, diag = routing.forecast_wells(wide, groups, 6, profiles.profile("all_layers"))
+    control_fc = routing.forecast_wells(wide, groups, 6, profiles.profile("scipy_control"))[0]
+    picked = routing.forecast_wells(wide, groups, 6, profiles.profile("selective_cohort_v1"))[0]
+    full, diag = routing.forecast_wells(wide, groups, 6, profiles.profile("v12_fixed"))
     for fc in (control_fc, picked, full):
         assert fc.count() == 14 * 3 * 6 and fc.filter("volume IS NULL OR volume < 0 OR isnan(volume)").count() == 0
     assert np.allclose(vector(control_fc, "w5", "gas"), vector(picked, "w5", "gas"))  # outside its route
@@ -164,10 +164,10 @@ def test_submission_gates_and_reports(spark):
     units = spark.createDataFrame([("a", "oil", True), ("b", "oil", True), ("c", "oil", False), ("d", "oil", True)], "well_id string, phase string, available boolean")
     fc = spark.createDataFrame([("a", "oil", 1, 1.0), ("a", "oil", 2, 2.0), ("b", "oil", 1, 1.0), ("d", "oil", 1, 1.0), ("d", "oil", 2, float("inf"))], "well_id string, phase string, h int, volume double")
     rows, failures = submission.generate(units, fc, 2)
-    assert rows.count() == 2 and {r[0]: r[2] for r in failures.collect()} == {"b": "length_mismatch", "c": "phase_unavailable", "d": "nonfinite_or_negative"}
-    assert "| length_mismatch | 1 |" in sinks.failure_markdown(failures)
+    assert rows.count() == 2 and {r[0]: r[2] for r in failures.collect()} == {"b": "length_mismatch:1", "c": "phase_unavailable", "d": "nonfinite_or_negative_forecast"}
+    assert "| length_mismatch:1 | 1 |" in sinks.failure_markdown(failures)
     assert sinks.markdown_table(rows.orderBy("h")).count("\n") == 4
-    ev = spark.createDataFrame([(0, -0.1, -0.05, -0.2, 0.0, 0.01)], "failures int, delta double, ci_high double, relative double, catastrophic_delta double, worst_segment_10 double")
+    ev = spark.createDataFrame([(0, 0, -0.1, -0.05, -0.2, 0.0, 0.01)], "mismatches int, failures int, delta double, ci_high double, relative double, catastrophic_delta double, worst_segment_10 double")
     assert all(r["passed"] for r in gates.evaluate(ev, "selection").collect())
     assert not all(r["passed"] for r in gates.evaluate(ev, "strict").collect())  # missing evidence fails
 
@@ -221,6 +221,9 @@ def test_response_parsing():
     assert files.parse_response(f"so {text} done") == good
     assert files.parse_response(text[:-2]) == good
     assert files.parse_response("none {x}") is None
+    odd = {"note": "a } brace, a { brace and a \\" quote", "forecasts": {"w": {"oil": [1]}}}
+    assert files.parse_response(f"see {json.dumps(odd)} end") == odd
+    assert files.parse_response('{"forecasts": {"w": {"oil": [1]}}, "why": "two\nlines"}')["why"] == "two\nlines"
 
 
 def test_month_and_group_labels(spark):
@@ -238,3 +241,165 @@ def test_stress_cases_and_rescoring(spark, tmp_path):
     fc = act.withColumn("volume", F.col("actual")).drop("actual")
     rescore(spark.readStream.schema(act.schema).parquet(str(tmp_path / "in")), fc, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert abs(spark.read.parquet(str(tmp_path / "out")).first()["e"]) < 1e-9
+
+
+def test_resamples_are_independent_draws(spark):
+    for n, reps in ((100, 400), (300, 150), (1000, 60)):
+        d = resample.draws(n, reps, 17, spark)
+        share = d.groupBy("rep").agg((F.count_distinct("unit") / n).alias("s")).agg(F.avg("s")).first()[0]
+        assert abs(share - (1 - (1 - 1 / n) ** n)) < 0.01
+        x = np.random.default_rng(n).normal(size=n)
+        values = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "unit long, x double")
+        sd = resample.resampled(values, n, reps, 17, F.avg("x")).agg(F.stddev_pop("value")).first()[0]
+        assert 0.75 < sd / (x.std() / np.sqrt(n)) < 1.3
+    assert resample.bootstrap(spark.createDataFrame([(0, 1.0, 2.0)], "unit long, a double, b double"), 1, 10).first()[:] == (None, None, None)
+
+
+def test_clusters_are_drawn_whole(spark):
+    rows = [(f"w{k}", p, 0.1 * (k % 7) - 0.3 + 0.01 * p, 0.12 * (k % 5) - 0.2) for k in range(40) for p in range(3)]
+    df = spark.createDataFrame(rows, "well_id string, p int, a double, b double")
+    got = resample.clustered(df, "well_id", 50, 3).first()
+    index = {w: k for k, w in enumerate(sorted({r[0] for r in rows}))}
+    own = {k: [r[2:] for r in rows if index[r[0]] == k] for k in range(40)}
+    score = lambda v: 2 / 3 * abs(np.median(v)) + np.std(v) / 3
+    deltas = []
+    for rep in resample.draws(40, 50, 3, spark).groupBy("rep").agg(F.collect_list("unit").alias("u")).collect():
+        a, b = np.array([x for u in rep["u"] for x in own[u]]).T
+        deltas.append(score(a) - score(b))
+    assert np.allclose(got[:2], np.quantile(deltas, [0.025, 0.975])) and np.isclose(got[2], np.mean(np.array(deltas) < 0))
+
+
+def test_numbers_run_over_ranges(spark):
+    rows = spark.range(0, 5000, 1, 7).withColumn("x", F.xxhash64("id") % 100)
+    got = ordering.numbered(rows, ["x", "id"], "n").orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(5000)) and [(r["x"], r["id"]) for r in got] == sorted((r["x"], r["id"]) for r in got)
+
+
+def test_a_long_chain_is_one_cluster(spark):
+    rows = [(f"w{k}", f"{(k * 89) % 240:04d}", f"a{k // 2}", f"h{(k + 1) // 2}") for k in range(240)] + [("x", "9999", "", "hx"), ("y", "9998", None, "hy"), ("z", "9997", " ", "hz")]
+    got = {r["well_id"]: r for r in board.collapse_duplicates(spark.createDataFrame(rows, "well_id string, ord string, api string, series_hash string")).collect()}
+    assert {got[f"w{k}"]["cluster"] for k in range(240)} == {"0000"} and sum(got[f"w{k}"]["keep"] for k in range(240)) == 1
+    assert all(got[w]["keep"] and got[w]["cluster"] == o for w, o, _, _ in rows[240:])
+
+
+def small_wells(spark, n=12, months=24):
+    rows = [(f"w{k}", t, float(hyper(t, 4000 + 100 * k)), float(hyper(t) * 2), float(hyper(t) * 0.4)) for k in range(n) for t in range(months if k else 9)]
+    return spark.createDataFrame(rows, "well_id string, t int, oil double, gas double, water double")
+
+
+def test_wells_without_a_group_are_refused(spark):
+    wide = small_wells(spark)
+    groups = wide.select("well_id").distinct().withColumn("grp", F.when(F.col("well_id") != "w0", F.lit("dj")))
+    with pytest.raises(Exception, match="no group is known of well w0"):
+        routing.forecast_wells(wide, groups, 6, profiles.profile("cohort_conservative"))[0].collect()
+    rows = wide.unpivot(["well_id", "t"], ["oil", "gas", "water"], "phase", "q")
+    shape = cohort.profiles(rows, groups)
+    own = cohort.cohort_forecast(rows, groups, shape, 6, use_global=False)
+    assert own.filter("well_id = 'w0'").isEmpty() and not cohort.cohort_forecast(rows, groups, shape, 6).filter("well_id = 'w0'").isEmpty()
+
+
+def test_months_without_a_row_count(spark):
+    q = hyper(np.arange(36))
+    gaps = np.where(np.arange(36) % 4 == 2, np.nan, q)
+    rows = long(spark, {"null": gaps})
+    absent = rows.filter("q IS NOT NULL").withColumn("well_id", F.lit("absent"))
+    fits = {r["well_id"]: r for r in families.fit(rows.unionByName(absent), families.candidates(spark, ["hyper_36"])).collect()}
+    assert fits["null"][3:] == fits["absent"][3:] and fits["null"]["origin"] == 36
+
+
+def test_terminal_volumes_equal_the_window_form(spark):
+    rng = np.random.default_rng(4)
+    v = np.abs(rng.normal(0, 50, (30, 9))) * np.exp(-0.1 * np.arange(9))
+    v[3], v[4, 5:] = 0, 0
+    rows = spark.createDataFrame([(f"w{k}", "oil", t, float(x)) for k, r in enumerate(v) for t, x in enumerate(r)], "well_id string, phase string, t int, q double")
+    got = {(r["well_id"], r["t"]): r["q"] for r in sequence.terminal_decline(rows).collect()}
+    want = families.terminal(v)
+    assert all(np.isclose(got[f"w{k}", t], want[k, t]) for k in range(30) for t in range(9))
+
+
+def test_providers(spark):
+    rows = long(spark, {"a": hyper(T), "none": [np.nan] * 5})
+    assert {r["well_id"] for r in providers.from_model(lambda q: (lambda n: np.full(n, q[-1])) if len(q) else None)(rows, 4).collect()} == {"a"}
+    with pytest.raises(Exception, match="not 4 months"):
+        providers.from_model(lambda q: lambda n: np.zeros(n + 1))(rows, 4).collect()
+    vectors = spark.createDataFrame([("a", "oil", h, 1.0) for h in (1, 2, 3)], "well_id string, phase string, h int, volume double")
+    assert providers.precomputed(vectors)(rows, 3).count() == 3
+    with pytest.raises(Exception, match="3 months, not 4"):
+        providers.precomputed(vectors)(rows, 4).collect()
+    reg = providers.standard()
+    with pytest.raises(ValueError, match="already"):
+        reg.add("bounded", providers.arm("bounded"))
+    assert reg.forecast(rows.filter("well_id = 'a'"), 3).groupBy("arm").count().count() == len(arps.ARMS) + 1
+
+
+def test_holdout_scores_only_whole_units(spark):
+    wide = small_wells(spark, 6)
+    short = providers.arm("window_24")
+    arms = providers.Registry({"bounded": providers.arm("bounded"), "short": lambda r, h: short(r, h).filter("well_id <> 'w2' OR h > 1")})
+    errors, failures = holdout.retrospective(wide, 17, 6, arms)
+    assert {r["well_id"] for r in failures.collect()} == {"w2"} and {r["reason"] for r in failures.collect()} == {"length_mismatch:5"}
+    assert {r["well_id"] for r in errors.collect()} == {"w1", "w3", "w4", "w5"}
+    assert holdout.comparison(errors, "short", "bounded", 20).first()["units"] == 12
+
+
+def test_missing_forecasts_have_no_error(spark):
+    rows = spark.createDataFrame([("a", 10.0, 10.0), ("a", 10.0, None), ("b", 10.0, 5.0), ("b", None, 7.0), ("c", 0.0, 1.0), ("d", 10.0, 0.0)], "u string, actual double, forecast double")
+    e = {r["u"]: r["e"] for r in metrics.cumulative(rows, ["u"]).collect()}
+    assert e["a"] is None and np.isclose(e["b"], np.log(0.5)) and e["c"] is None and np.isclose(e["d"], np.log(1e-6))
+    assert {r["u"]: r["e"] for r in metrics.cumulative(rows, ["u"], zero="drop").collect()}["d"] is None
+    with pytest.raises(Exception, match="zero"):
+        metrics.cumulative(rows, ["u"], zero="error").collect()
+
+
+def test_consent_and_provenance_are_asked_for():
+    assert gates.require_consent("dev", False) is None and gates.require_consent("eval", True)["consent"]
+    with pytest.raises(PermissionError):
+        gates.require_consent("eval", False)
+    gates.require_reported({"provenance_gate": {"mode": "reported_full", "min_holdout_reported_fraction": 1.0}})
+    for bad in ({}, {"provenance_gate": {"mode": "mixed"}}, {"provenance_gate": {"mode": "reported_holdout", "min_holdout_reported_fraction": 0.9}}):
+        with pytest.raises(ValueError):
+            gates.require_reported(bad)
+
+
+def test_promotion_needs_every_gate(spark):
+    wells = spark.createDataFrame([(f"w{k}", "p" if k % 2 else "q") for k in range(40)], "well_id string, play string")
+    pairs = spark.createDataFrame([(f"w{k}", ph, 0.01 * (k % 5) - 0.02, 0.4 * (k % 5) - 0.6) for k in range(40) for ph in ("oil", "gas")], "well_id string, phase string, a double, b double")
+    ev = holdout.evidence(pairs, wells, ["play"], pairs, 0, 0, 1.0, 60)
+    assert gates.promote(ev, "selection", "new").first()[:] == (True, "new")
+    assert gates.promote(ev.drop("ci_high"), "selection", "new").first()[:] == (False, "scipy_control")
+    assert gates.promote(holdout.evidence(pairs, wells, ["play"], pairs, 1, 0, 1.0, 60), "selection", "new").first()["promoted"] is False
+
+
+def test_input_policies(spark, tmp_path):
+    (tmp_path / "history.csv").write_text("well_id,month,oil\n1,2024-01-01,5\n1,2024-03-01,7\n")
+    assert [r["oil"] for r in files.read_input(spark, str(tmp_path)).orderBy("t").collect()] == [5.0, None, 7.0]
+    (tmp_path / "manifest.json").write_text('{"gap_policy": "zero"}')
+    assert [r["oil"] for r in files.read_input(spark, str(tmp_path)).orderBy("t").collect()] == [5.0, 0.0, 7.0]
+    for text, told in (("1,2024-01-01,5\n1,2024-03-01,7\n", "missing month"), ("1,2024-01-01,5\n1,2024-01-01,7\n", "duplicate"), ("1,2024-01-01,12x\n", "unreadable")):
+        (tmp_path / "history.csv").write_text("well_id,month,oil\n" + text)
+        with pytest.raises(Exception, match=told):
+            files.read_history(spark, str(tmp_path / "history.csv")).collect()
+    (tmp_path / "raw.csv").write_text("API12,Report Month,Oil Prod,Gas Prod\n7,2024-01,12x,1\n8,2024-01,3,1\n")
+    good, bad = files.read_raw(spark, str(tmp_path / "raw.csv"))
+    assert [(r["well_id"], r["oil"], r["gas"]) for r in good.collect()] == [("8", 3.0, 1.0)] and [r["reason"] for r in bad.collect()] == ["bad_number"]
+    with pytest.raises(RuntimeError):
+        files.database_url("NO_SUCH_URL")
+    (tmp_path / "env").write_text("# x\nNO_SUCH_URL='jdbc:x'\n")
+    assert files.database_url("NO_SUCH_URL", str(tmp_path / "env")) == "jdbc:x"
+
+
+def test_boards_and_reports_are_written(spark, tmp_path):
+    w = spark.createDataFrame([("k1", "h1", "eval", "p", 1.0, 1.0), ("k2", "h2", "dev", "p", 0.5, 1.0)], "well_key string, train_hash string, role string, play string, train_fraction double, holdout_fraction double")
+    s = spark.createDataFrame([("k2", "2024-01-01", 1.0, None, 2.0, "train"), ("k1", "2024-01-01", 1.0, None, 2.0, "train")], "well_key string, month string, oil double, gas double, water double, split string")
+    c = spark.createDataFrame([("a", "a", True), ("b", "a", False)], "well_id string, cluster string, keep boolean")
+    made = sinks.write_board(spark, str(tmp_path / "b"), w, s, c, {"cutoff": 3})
+    assert files.read_board(spark, str(tmp_path / "b"))[2]["board_id"] == made["board_id"] != board.board_id(w.limit(1), {"cutoff": 3})
+    assert json.loads((tmp_path / "b" / "duplicates.json").read_text()) == {"clusters": 1, "dropped": 1, "largest": 2}
+    sinks.write_report(spark, str(tmp_path / "r"), "scores", w.select("well_key"), "v12_fixed", gates.require_consent("eval", True))
+    assert json.loads((tmp_path / "r" / "receipt.json").read_text())["locked"] and len(json.loads((tmp_path / "r" / "scores.json").read_text())["rows"]) == 2
+    with pytest.raises(ValueError):
+        submission.render(w, [{"name": "x", "source": "role"}], ["y"])
+    with pytest.raises(ValueError):
+        submission.problems(w, 3)
+    with pytest.raises(Exception, match="repeats"):
+        submission.validate_input(small_wells(spark, 2), spark.createDataFrame([("w0",), ("w0",)], "well_id string")).collect()
