@@ -33,7 +33,7 @@ from .common import WS, checkpoint, fresh, slices, written
 CAPACITY = 4096
 SLACK = 1 / 64
 END_ID = 2
-CACHE_TOKENS = 1_000_000
+CACHE_TOKENS = 200_000
 
 _WORDS = [i.to_bytes(4, "little") for i in range(1 << 16)]
 # The tokenizer's pattern for Latin script and common punctuation, its letters and numerals listed.
