@@ -7,7 +7,7 @@ import pytest
 from taperflow.llm import linededup
 
 
-def brute(texts):
+def brute(texts, least=50):
     """doc: places of the lines in a run of lines of 50 words or more that has an earlier place."""
     docs = [(t or "").split("\n") for t in texts]
     out = {k: set() for k in range(len(texts))}
@@ -21,7 +21,7 @@ def brute(texts):
                     if i < min(len(a), len(docs[j]) + shift) and a[i] == docs[j][i - shift]:
                         run.append(i)
                         continue
-                    if sum(a[x].count(" ") + 1 for x in run) >= 50:
+                    if sum(a[x].count(" ") + 1 for x in run) >= least:
                         out[k] |= set(run)
                     run = []
     return out
