@@ -173,12 +173,13 @@ def forecast_wells(wide: DataFrame, groups: DataFrame, horizon: int, p: Profile,
         peer = (p.min_wells, p.full_wells, p.thin_months, p.cohort_most, p.use_global, p.terminal)
         shape = once(("shape", p.min_wells), lambda: cohort.profiles(long, every, p.min_wells))
         allow = once(("peers", horizon, *peer), lambda: cohort.cohort_forecast(rows, groups, shape, horizon, p.min_wells, p.full_wells, p.thin_months, p.cohort_most, p.use_global, sequence.TERMINAL if p.terminal else None))
-        routes = allow.select(*KEY, "grp").distinct().join(calendar.primary_phase(wide), "well_id", "left")
+        routes = rows.select(*KEY).distinct().join(groups, "well_id", "left").join(calendar.primary_phase(wide), "well_id", "left")
+        routes = routes.join(allow.select(*KEY).distinct().withColumn("_peers", F.lit(True)), KEY, "left").withColumn("grp", F.coalesce("grp", F.lit(cohort.GLOBAL)))
         reason = F.when(F.lit(bool(p.primary_phases)) & ~F.col("primary_phase").isin(*p.primary_phases or ("",)), "primary_phase_not_allowed")
         reason = reason.when(F.lit(bool(p.groups)) & ~F.col("grp").isin(*p.groups or ("",)), "group_not_allowed")
         reason = reason.when(F.lit(bool(p.phases)) & ~F.col("phase").isin(*p.phases or ("",)), "phase_not_allowed")
-        routes = routes.select(*KEY, reason.otherwise("allowed").alias("cohort_reason"))
-        diagnostics = diagnostics.join(routes, KEY, "left").withColumn("cohort_reason", F.coalesce("cohort_reason", F.lit("no_profile")))
+        routes = cut(routes.select(*KEY, reason.when(F.col("_peers"), "allowed").otherwise("no_profile").alias("cohort_reason")))
+        diagnostics = diagnostics.join(routes, KEY, "left")
         allow = allow.join(routes.filter("cohort_reason = 'allowed'"), KEY, "left_semi")
         gate = gates(rows, groups, shape, horizon, p)
         upset = diagnostics.filter("exists(flags, f -> f like 'terminal%')").select(*KEY)
