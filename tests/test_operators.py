@@ -221,7 +221,7 @@ def test_response_parsing():
     assert files.parse_response(f"so {text} done") == good
     assert files.parse_response(text[:-2]) == good
     assert files.parse_response("none {x}") is None
-    odd = {"note": "a } brace, a { brace and a \\" quote", "forecasts": {"w": {"oil": [1]}}}
+    odd = {"note": 'a } brace, a { brace and a " quote', "forecasts": {"w": {"oil": [1]}}}
     assert files.parse_response(f"see {json.dumps(odd)} end") == odd
     assert files.parse_response('{"forecasts": {"w": {"oil": [1]}}, "why": "two\nlines"}')["why"] == "two\nlines"
 
