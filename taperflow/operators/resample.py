@@ -11,22 +11,39 @@ from pyspark.sql import functions as F
 from ..functions.columns import pool_score
 from .ordering import numbered
 
-#: Units of which the table is sent to every task of a resampling join; beyond, both are shuffled.
-BROADCAST_UNITS = 100_000
+#: Units of which the table (some 50 MB) is sent to every task of a resampling join; beyond, both are shuffled.
+BROADCAST_UNITS = 1_000_000
+#: Draws of a task, and draws that are numbered at once.
+TASK = 250_000
+BLOCK = 4096
 
 
 def draws(units: int, reps: int, seed: int, spark) -> DataFrame:
     """rep, unit: independent draws with replacement, each from the MD5 of (seed, rep, k): the same
-    in any engine."""
-    x = spark.range(reps).withColumnRenamed("id", "rep").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(units - 1))))
+    in any engine.  A replicate's draws are in one partition.
+
+    The k are made block by block: a sequence over all units would be a constant, which the driver
+    holds and sends with its tasks."""
+    last = F.lit(units - 1).cast("long")
+    x = spark.range(reps if units else 0).withColumnRenamed("id", "rep").repartition(max(1, min(reps, -(-units * reps // TASK))), "rep")
+    x = x.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / BLOCK)))).withColumn("_at", F.col("_at") * BLOCK)
+    x = x.withColumn("k", F.explode(F.sequence("_at", F.least(F.col("_at") + BLOCK - 1, last))))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "rep", "k")), 1, 13), 16, 10).cast("long")
-    return x.select("rep", (h % units).alias("unit"))
+    return x.select("rep", F.coalesce(h % units, F.lit(0).cast("long")).alias("unit"))  # never null, said so that joins needn't test it
 
 
 def resampled(rows: DataFrame, units: int, reps: int, seed: int, value: Column) -> DataFrame:
     """rep, value: an aggregate of each resample of the units."""
+    return all_resampled(rows, units, reps, seed, [value.alias("value")])
+
+
+def all_resampled(rows: DataFrame, units: int, reps: int, seed: int, values: list[Column]) -> DataFrame:
+    """rep and the values (named aggregates) of each resample of the units.
+
+    The join names its kind: Spark takes the draws for as few rows as there are replicates and would
+    send them all through the driver."""
     d = draws(units, reps, seed, rows.sparkSession)
-    return d.join(F.broadcast(rows) if units <= BROADCAST_UNITS else rows, "unit").groupBy("rep").agg(value.alias("value"))
+    return d.join(F.broadcast(rows) if units <= BROADCAST_UNITS else rows.hint("merge"), "unit").groupBy("rep").agg(*values)
 
 
 def interval(values: DataFrame, by: list[str] | None = None) -> DataFrame:

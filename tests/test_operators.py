@@ -255,6 +255,19 @@ def test_resamples_are_independent_draws(spark):
     assert resample.bootstrap(spark.createDataFrame([(0, 1.0, 2.0)], "unit long, a double, b double"), 1, 10).first()[:] == (None, None, None)
 
 
+@pytest.mark.parametrize("most", [10**6, 10])
+def test_draws_never_go_through_the_driver(spark, monkeypatch, most):
+    """Units are sent or both sides shuffled; the draws (here 200 of each unit) aren't sent."""
+    monkeypatch.setattr(resample, "BROADCAST_UNITS", most)
+    rows = spark.range(5000).select(F.col("id").alias("unit"), (F.col("id") % 97 / 9).alias("a"))
+    x = resample.resampled(rows, 5000, 200, 17, F.avg("a"))
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    sent = plan.split("BroadcastExchange")[1:]
+    assert "md5" not in "".join(sent) and ("SortMergeJoin" in plan) == (most == 10)
+    assert "Exchange" not in plan.split("BroadcastHashJoin")[0] or most == 10  # a replicate is in one task
+    assert x.count() == 200
+
+
 def test_clusters_are_drawn_whole(spark):
     rows = [(f"w{k}", p, 0.1 * (k % 7) - 0.3 + 0.01 * p, 0.12 * (k % 5) - 0.2) for k in range(40) for p in range(3)]
     df = spark.createDataFrame(rows, "well_id string, p int, a double, b double")
