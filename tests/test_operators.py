@@ -268,6 +268,14 @@ def test_draws_never_go_through_the_driver(spark, monkeypatch, most):
     assert x.count() == 200
 
 
+def test_comparison_shuffles_many_units(spark, monkeypatch):
+    monkeypatch.setattr(resample, "BROADCAST_UNITS", 10)
+    errors = spark.range(300).selectExpr("explode(array('x', 'y')) AS arm", "id AS well_id", "'oil' AS phase", "id % 7 / 9 AS e")
+    x = holdout.comparison(errors, "x", "y", 20)
+    assert "SortMergeJoin [unit" in x._jdf.queryExecution().executedPlan().toString()
+    assert x.first()["delta"] == 0
+
+
 def test_clusters_are_drawn_whole(spark):
     rows = [(f"w{k}", p, 0.1 * (k % 7) - 0.3 + 0.01 * p, 0.12 * (k % 5) - 0.2) for k in range(40) for p in range(3)]
     df = spark.createDataFrame(rows, "well_id string, p int, a double, b double")
