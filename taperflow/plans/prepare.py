@@ -172,11 +172,13 @@ def _vectors(spark, sf):
 
 @query("jn_03_precomputed_missing", f"WITH f AS ({LATE}), s AS (SELECT DISTINCT well_id, phase FROM f) SELECT s.well_id, s.phase, count(h) AS months, count(h) = 0 AS missing FROM s LEFT JOIN (SELECT * FROM f WHERE well_id % 3 <> 1) f USING (well_id, phase) GROUP BY ALL")
 def jn_03(spark, sf):
-    """Stored vectors as a provider: a unit without one has no months and is missing."""
+    """Stored vectors as a provider: a unit without one has no months and is missing.  A vector has all
+    twelve months, a null one where nothing was reported; reported months count."""
     f = _vectors(spark, sf)
     rows = f.withColumnsRenamed({"h": "t", "volume": "q"})
-    got = providers.precomputed(f.filter("well_id % 3 <> 1"))(rows, 12)
-    x = f.select("well_id", "phase").distinct().join(got, ["well_id", "phase"], "left")
+    whole = f.select("well_id", "phase").distinct().withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(12)))).join(f, ["well_id", "phase", "h"], "left")
+    got = providers.precomputed(whole.filter("well_id % 3 <> 1"))(rows, 12)
+    x = f.select("well_id", "phase", F.col("h").alias("told")).join(got.withColumn("told", F.col("h")), ["well_id", "phase", "told"], "left")
     return x.groupBy("well_id", "phase").agg(F.count("h").alias("months"), (F.count("h") == 0).alias("missing"))
 
 
