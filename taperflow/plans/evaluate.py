@@ -68,9 +68,12 @@ def met_05(spark, sf):
 
 @query("met_09_missing_forecasts", f"WITH {CUME} SELECT well_id, phase, round(CASE WHEN well_id % 5 <> 2 THEN e END, 6) AS e FROM cu")
 def met_09(spark, sf):
-    """A unit with a month that isn't forecast has no error, however good the rest is."""
-    x = _arm(spark, sf).withColumn("forecast", F.when((F.col("well_id") % 5 != 2) | (F.col("h") != 4), F.col("forecast")))
-    return metrics.cumulative(x, KEY).select(*KEY, r6("e"))
+    """A unit with a month that isn't forecast has no error, however good the rest is.  The month is a
+    row even if the unit reported nothing in it."""
+    x = _arm(spark, sf).select(*KEY, "h", "actual", "forecast").filter((F.col("well_id") % 5 != 2) | (F.col("h") != 4))
+    none = F.lit(None).cast("double")
+    late = _arm(spark, sf).filter("well_id % 5 = 2").select(*KEY, F.lit(4).alias("h")).distinct().select("*", none.alias("actual"), none.alias("forecast"))
+    return metrics.cumulative(x.unionByName(late), KEY).select(*KEY, r6("e"))
 
 
 @query("met_05_zero_totals_dropped", f"WITH {CUME} SELECT well_id, phase, round(CASE WHEN well_id % 7 <> 3 THEN e END, 6) AS e FROM cu")
