@@ -145,8 +145,9 @@ def ablation_board(wide: DataFrame, groups: DataFrame, actual: DataFrame, horizo
     stats = metrics.decomposition(every, ["arm"]).join(metrics.tails(every, ["arm"]).select("arm", "p95", "largest"), "arm")
     stats = stats.select("arm", "n", "median", (3 * F.col("spread_part")).alias("spread"), "score", "p95", "largest")
     index = cut(numbered(common, ["well_id"], "unit"))
-    drawn = resample.draws(index.count(), reps, seed, rows.sparkSession).join(every.join(index, "well_id"), "unit")
-    scores = cut(drawn.groupBy("rep", "arm").agg(pool_score(F.col("e")).alias("s")))
+    of = cut(every.join(index, "well_id").groupBy("unit").pivot("arm", list(arms)).agg(F.first("e")))  # a row a well
+    drawn = resample.all_resampled(of, index.count(), reps, seed, [pool_score(F.col(a)).alias(a) for a in arms])
+    scores = cut(drawn.unpivot(["rep"], list(arms), "arm", "s"))
     base = scores.filter("arm = 'A_scipy'").select("rep", F.col("s").alias("base"))
     deltas = scores.filter("arm <> 'A_scipy'").join(base, "rep").select("arm", (F.col("s") - F.col("base")).alias("value"))
     against = resample.interval(deltas, ["arm"])

@@ -276,6 +276,21 @@ def test_comparison_shuffles_many_units(spark, monkeypatch):
     assert x.first()["delta"] == 0
 
 
+def test_ablation_board_draws_rows_of_all_arms(spark, monkeypatch):
+    """The board's draws are joined with one row a well, as its intervals by hand."""
+    asked = []
+    whole = resample.all_resampled
+    monkeypatch.setattr(resample, "all_resampled", lambda rows, units, *a: asked.append((rows.count(), units)) or whole(rows, units, *a))
+    rng = np.random.default_rng(5)
+    rows = [(f"w{k}", t, *(float(v) for v in 500 * np.exp(-0.05 * t) * rng.uniform(0.8, 1.2) * np.array([1, 2, 0.4]))) for k in range(6) for t in range(30)]
+    wide = spark.createDataFrame(rows, "well_id string, t int, oil double, gas double, water double")
+    groups = wide.select("well_id", F.lit("g").alias("grp")).distinct()
+    actual = wide.filter("t < 4").selectExpr("well_id", "explode(array('oil', 'gas')) AS phase", "t + 1 AS h", "oil * 0.3 AS actual")
+    got = {r["arm"]: r for r in holdout.ablation_board(wide, groups, actual, 4, names=[], reps=30).collect()}
+    assert asked == [(6, 6)] and set(got) == {"A_scipy", "B_linearized"}
+    assert got["A_scipy"]["low"] is None and got["B_linearized"]["low"] <= got["B_linearized"]["diff"] <= got["B_linearized"]["high"]
+
+
 def test_clusters_are_drawn_whole(spark):
     rows = [(f"w{k}", p, 0.1 * (k % 7) - 0.3 + 0.01 * p, 0.12 * (k % 5) - 0.2) for k in range(40) for p in range(3)]
     df = spark.createDataFrame(rows, "well_id string, p int, a double, b double")
