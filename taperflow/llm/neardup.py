@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import checkpoint, slices
 from .simhash import SEED, components, first_of
 
@@ -106,16 +107,17 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, node (hash of the set), n (its size), counts (by residue), keys (its prefix)."""
+    """doc_id, node (hash of the set), fp (its SimHash), n (its size), counts (by residue), keys (its prefix)."""
     held = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))  # MOST_FREQUENT at most
 
     def run(batches):
         hashes, often = held.value
         for batch in batches:
-            nodes, sizes, residues, keys = [], [], [], []
+            nodes, fps, sizes, residues, keys = [], [], [], [], []
             for t in batch.column(1):
                 h = shingles(t.as_py(), words)
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                fps.append(np.packbits(simhash._counts(h) * 2 > len(h), bitorder="little").view(np.int64)[0])
                 sizes.append(len(h))
                 residues.append(_counts(h))
                 if len(hashes):
@@ -123,9 +125,9 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                     h = h[np.argsort(np.where(hashes[at] == h, often[at], 0), kind="stable")]
                 keys.append(h[: len(h) - _least(len(h), similarity) + 1].view(np.int64))
             node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(sizes, pa.int64()), pa.array(residues, pa.list_(pa.int8())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "counts", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(residues, pa.list_(pa.int8())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "n", "counts", "keys"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node long, n long, counts array<tinyint>, keys array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, fp long, n long, counts array<tinyint>, keys array<long>")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -154,6 +156,18 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, sim
     return both.filter(F.col("common") >= (F.size("su") + F.size("sv") - F.col("common")) * F.lit(similarity) - F.lit(1e-9)).select("u", "v")
 
 
+def covering(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """u, v (u > v): links between nodes whose fingerprints are equal or differ in at most 2 bits, found by
+    anchor covering and checked on the whole sets.  The least node of a fingerprint stands for it."""
+    heads = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    met = nodes.join(heads, "fp").filter("node != head").select("node", "head")
+    near = simhash.links(heads.select("fp"))
+    for c in ("u", "v"):
+        near = near.join(heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")), c)
+    met = met.unionByName(near.select(F.col("hu").alias("node"), F.col("hv").alias("head")))
+    return similar(met.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")), docs, nodes, words, similarity)
+
+
 def bitmaps(asked: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """node, bits (a bit set for each shingle) and ones (how many are set) of the nodes asked for
     (node, distinct)."""
@@ -194,18 +208,20 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str], similarity: float,
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, hot: int) -> DataFrame:
     """u, v: enough links between nodes for the right connected components."""
-    at = nodes.select("node", "n", F.explode("keys").alias("key"))
+    close = checkpoint(covering(docs, nodes, words, similarity))
+    roots = checkpoint(components(close)).withColumnRenamed("root", "_root")
+    at = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("_root", "node").alias("root"), F.explode("keys").alias("key"))
     at = at.withColumn("held", F.count("*").over(Window.partitionBy("key")))
     at = checkpoint(at.filter("held > 1"))
     cold, busy = at.filter(F.col("held") <= hot), at.filter(F.col("held") > hot)
-    found = _pairs(cold, cold, ["key"], similarity, "node > node_b")
+    found = _pairs(cold, cold, ["key"], similarity, "node > node_b AND root != root_b")
     if busy.isEmpty():
-        return similar(found, docs, nodes, words, similarity)
+        return close.unionByName(similar(found, docs, nodes, words, similarity))
     busy = checkpoint(busy.join(bitmaps(busy.select("node").distinct(), docs, nodes, words), "node"))
     blocks = F.pow(F.lit(2.0), F.round(F.log2(F.col("held") / F.lit(BLOCK)))).cast("long")
     dealt = busy.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("block", F.pmod(F.xxhash64("node", "turn"), F.greatest(blocks, F.lit(1))))
-    found = found.unionByName(_pairs(dealt, dealt, ["key", "turn", "block"], similarity, "node > node_b"))
-    edges = checkpoint(similar(found, docs, nodes, words, similarity))
+    found = found.unionByName(_pairs(dealt, dealt, ["key", "turn", "block"], similarity, "node > node_b AND root != root_b"))
+    edges = checkpoint(close.unionByName(similar(found, docs, nodes, words, similarity)))
     roots = checkpoint(components(edges)).withColumnRenamed("root", "_root")
     busy = checkpoint(busy.join(roots, "node", "left").select("key", "node", "n", "bits", "ones", F.coalesce("_root", "node").alias("root")))
     main = busy.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
@@ -217,7 +233,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, hot:
 def near_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable by links, itself included)."""
     marked = checkpoint(prefixes(docs, words, similarity))
-    nodes = checkpoint(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("keys").alias("keys")))
+    nodes = checkpoint(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("keys").alias("keys")))
     roots = checkpoint(components(links(docs, nodes, words, similarity, hot)))
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -67,6 +67,22 @@ def test_stage_drops_what_two_bits_leave(spark):
     assert kept == set(range(12))
 
 
+def test_close_links_come_by_anchor_covering(spark, monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(words(rnd, 900)) for _ in range(6)]
+    texts += [t.rsplit(" ", 1)[0] for t in texts]
+    asked, whole = [], neardup.simhash.links
+    monkeypatch.setattr(neardup.simhash, "links", lambda fps: asked.append(fps.count()) or whole(fps))
+    docs = frame(spark, texts)
+    nodes = neardup.prefixes(docs, 5, 0.8).withColumnRenamed("doc_id", "least")
+    found = {(r["u"], r["v"]) for r in neardup.covering(docs, nodes, 5, 0.8).collect()}
+    bits = {r["least"]: (r["node"], r["fp"]) for r in nodes.collect()}
+    near = {(max(a, b), min(a, b)) for k in range(6) for (a, x), (b, y) in [(bits[k], bits[k + 6])] if ((x ^ y) & (1 << 64) - 1).bit_count() <= 2}
+    assert found == near and len(near) >= 3
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(range(6))
+    assert len(asked) == 2
+
+
 def test_nothing_and_repeated_rows(spark):
     assert neardup.near_groups(frame(spark, [])).count() == 0
     docs = frame(spark, ["a b c d e", "a b c d e"]).unionByName(frame(spark, ["a b c d e"]))
