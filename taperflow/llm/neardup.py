@@ -14,6 +14,9 @@ of members in different components matter, and those are all compared but for th
 shingle's largest component.  Members carry a bitmap of their set, which rules most pairs out before
 they are made.  Nothing is left out; comparisons grow with the members outside that component.
 
+Joins with tables of a row a set are named merge joins: their sides grow with the input, and those that
+are small enough to be sent would each go through the driver, some forty a run.
+
 Groups are the connected components.  Defined results: as for ``simhash``; texts without a word
 are alike, fewer words than a shingle make one shingle, A-Z and ASCII spaces don't count.
 """
@@ -142,16 +145,16 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, sim
 
     pairs = pairs.distinct()
     for c in ("u", "v"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}")), c)
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}")).hint("merge"), c)
     most = F.least(F.col("nu") - _lacks("cu", "cv"), F.col("nv") - _lacks("cv", "cu"))
     pairs = checkpoint(pairs.filter(most >= (F.col("nu") + F.col("nv")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)).select("u", "v"))
     asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    ids = checkpoint(nodes.join(asked, "node").select("node", F.col("least").alias("_id")))
+    ids = checkpoint(nodes.join(asked.hint("merge"), "node").select("node", F.col("least").alias("_id")))
     texts = _texts(docs)
-    texts = texts.join(ids.select("_id").distinct(), texts["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    sets = texts.mapInArrow(run, "node long, s array<long>").join(ids.select("node"), "node", "left_semi")
+    texts = texts.join(ids.select("_id").distinct().hint("merge"), texts["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    sets = texts.mapInArrow(run, "node long, s array<long>").join(ids.select("node").hint("merge"), "node", "left_semi")
     sets = checkpoint(sets.dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")).hint("merge"), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")).hint("merge"), "v")
     both = both.withColumn("common", F.size(F.array_intersect("su", "sv")))
     return both.filter(F.col("common") >= (F.size("su") + F.size("sv") - F.col("common")) * F.lit(similarity) - F.lit(1e-9)).select("u", "v")
 
@@ -160,10 +163,10 @@ def covering(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -
     """u, v (u > v): links between nodes whose fingerprints are equal or differ in at most 2 bits, found by
     anchor covering and checked on the whole sets.  The least node of a fingerprint stands for it."""
     heads = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("head")))
-    met = nodes.join(heads, "fp").filter("node != head").select("node", "head")
+    met = nodes.join(heads.hint("merge"), "fp").filter("node != head").select("node", "head")
     near = simhash.links(heads.select("fp"))
     for c in ("u", "v"):
-        near = near.join(heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")), c)
+        near = near.join(heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")).hint("merge"), c)
     met = met.unionByName(near.select(F.col("hu").alias("node"), F.col("hv").alias("head")))
     return similar(met.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")), docs, nodes, words, similarity)
 
@@ -185,10 +188,10 @@ def bitmaps(asked: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) ->
                 ones.append(int(on.sum()))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(ones, pa.int64())], names=["node", "bits", "ones"])
 
-    ids = checkpoint(nodes.join(asked, "node").select("node", F.col("least").alias("_id")))
+    ids = checkpoint(nodes.join(asked.hint("merge"), "node").select("node", F.col("least").alias("_id")))
     texts = _texts(docs)
-    texts = texts.join(ids.select("_id").distinct(), texts["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    found = texts.mapInArrow(run, "node long, bits array<long>, ones long").join(ids.select("node"), "node", "left_semi")
+    texts = texts.join(ids.select("_id").distinct().hint("merge"), texts["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    found = texts.mapInArrow(run, "node long, bits array<long>, ones long").join(ids.select("node").hint("merge"), "node", "left_semi")
     return checkpoint(found.dropDuplicates(["node"]))
 
 
@@ -210,20 +213,20 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, hot:
     """u, v: enough links between nodes for the right connected components."""
     close = checkpoint(covering(docs, nodes, words, similarity))
     roots = checkpoint(components(close)).withColumnRenamed("root", "_root")
-    at = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("_root", "node").alias("root"), F.explode("keys").alias("key"))
+    at = nodes.join(roots.hint("merge"), "node", "left").select("node", "n", F.coalesce("_root", "node").alias("root"), F.explode("keys").alias("key"))
     at = at.withColumn("held", F.count("*").over(Window.partitionBy("key")))
     at = checkpoint(at.filter("held > 1"))
     cold, busy = at.filter(F.col("held") <= hot), at.filter(F.col("held") > hot)
     found = _pairs(cold, cold, ["key"], similarity, "node > node_b AND root != root_b")
     if busy.isEmpty():
         return close.unionByName(similar(found, docs, nodes, words, similarity))
-    busy = checkpoint(busy.join(bitmaps(busy.select("node").distinct(), docs, nodes, words), "node"))
+    busy = checkpoint(busy.join(bitmaps(busy.select("node").distinct(), docs, nodes, words).hint("merge"), "node"))
     blocks = F.pow(F.lit(2.0), F.round(F.log2(F.col("held") / F.lit(BLOCK)))).cast("long")
     dealt = busy.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("block", F.pmod(F.xxhash64("node", "turn"), F.greatest(blocks, F.lit(1))))
     found = found.unionByName(_pairs(dealt, dealt, ["key", "turn", "block"], similarity, "node > node_b AND root != root_b"))
     edges = checkpoint(close.unionByName(similar(found, docs, nodes, words, similarity)))
     roots = checkpoint(components(edges)).withColumnRenamed("root", "_root")
-    busy = checkpoint(busy.join(roots, "node", "left").select("key", "node", "n", "bits", "ones", F.coalesce("_root", "node").alias("root")))
+    busy = checkpoint(busy.join(roots.hint("merge"), "node", "left").select("key", "node", "n", "bits", "ones", F.coalesce("_root", "node").alias("root")))
     main = busy.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
     open_ = checkpoint(busy.join(main.filter("roots > 1"), "key"))
     rest = _pairs(open_.filter("root != main"), open_, ["key"], similarity, "root != root_b")
@@ -235,9 +238,9 @@ def near_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     marked = checkpoint(prefixes(docs, words, similarity))
     nodes = checkpoint(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("keys").alias("keys")))
     roots = checkpoint(components(links(docs, nodes, words, similarity, hot)))
-    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = nodes.join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(named.join(names, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return marked.select("doc_id", "node").join(named.join(names.hint("merge"), "root").select("node", "component_id").hint("merge"), "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:

@@ -16,7 +16,8 @@ half's part of an anchor is what keeps one that many fingerprints crowd around s
 agree in 16 bits of b besides.  It is the same for all anchors.  (Taking all 63 bits at once would
 need 652 copies.)
 
-Groups are the connected components, by alternating large-star and small-star steps.
+Groups are the connected components, by alternating large-star and small-star steps over all tasks,
+or by one task if there are at most ``TOGETHER`` links.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; fewer words
 than a shingle make one shingle; equal texts have equal fingerprints; repeated rows are kept;
@@ -39,6 +40,9 @@ from .common import checkpoint, fresh, slices
 SHINGLE = 3
 SEED = 42
 THRESHOLD = 2
+#: Edges that one task joins in memory (some 100 MB).  Every exchange of a round costs the driver a thread
+#: and its plans, at any size, so rounds are kept for more edges.
+TOGETHER = 1_000_000
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -124,11 +128,40 @@ def links(fps: DataFrame) -> DataFrame:
     return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges u, v, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """``components`` of at most TOGETHER edges."""
+
+    def run(batches):
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        node, root = smallest_reachable(*(np.concatenate(x) for x in zip(*got, strict=True))) if got else (np.zeros(0, np.int64),) * 2
+        for k in range(0, len(node), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (node, root)], names=["node", "root"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for nodes that have an edge (u > v).
 
     Alternating large-star and small-star steps until nothing changes; each halves path lengths or
-    so, every round's edges are checkpointed, and the end is told by a sum over the edges.
+    so, every round's edges are checkpointed, and the end is told by a sum over the edges.  At most
+    TOGETHER edges are joined by one task.
     """
     edges = checkpoint(edges)
     last = None
@@ -136,6 +169,8 @@ def components(edges: DataFrame) -> DataFrame:
         sign = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == last or not sign[0]:
             break
+        if sign[0] <= TOGETHER:
+            return _in_one_task(edges)
         last = sign
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

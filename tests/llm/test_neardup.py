@@ -87,3 +87,13 @@ def test_nothing_and_repeated_rows(spark):
     assert neardup.near_groups(frame(spark, [])).count() == 0
     docs = frame(spark, ["a b c d e", "a b c d e"]).unionByName(frame(spark, ["a b c d e"]))
     assert neardup.keep_first(docs).count() == 1
+
+
+def test_sets_dont_go_through_the_driver(spark):
+    """No join of near-dedup's last query sends a table, however small."""
+    rnd = random.Random(3)
+    texts = [" ".join(words(rnd, 40)) for _ in range(30)]
+    x = neardup.near_groups(frame(spark, texts + texts[:5]))
+    assert len({r["component_id"] for r in x.collect()}) == 30
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
